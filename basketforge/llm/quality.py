@@ -131,6 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     return weights
 
 
+def score_text(text: str | None, w: np.ndarray) -> float:
+    """Sparse dot product of a text's features with the weights, as a probability."""
+    places = features(text)
+    dot = float(w[places].sum()) * 4 / len(places) if len(places) else 0.0
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, dot + w[-1]))))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, score; every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
@@ -138,16 +145,25 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches):
         w = held.value
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                places = features(text)
-                dot = float(w[places].sum()) * 4 / len(places) if len(places) else 0.0
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, dot + w[-1])))))
+            out = [score_text(text, w) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT) -> DataFrame:
+    """``docs`` whose score is at least ``accept``; same columns."""
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("double")
+    def scored(text):
+        import pandas as pd
+
+        return pd.Series([score_text(x, held.value) for x in text], dtype="float64")
+
+    return docs.where(scored(F.col("text").cast("string")) >= accept)
+
+
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = score(docs, train(docs, table(spark, folder, "labels")))

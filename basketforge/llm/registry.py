@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from basketforge.llm.decontaminate import OP6_SQL, op6_decontaminate
 from basketforge.llm.language_id import op3_language
+from basketforge.llm.line_dedup import op8_line_dedup
 from basketforge.llm.packing import op10_pack
 from basketforge.llm.quality import op1_quality
+from basketforge.llm.secret_scan import op5_secrets
+from basketforge.llm.shingle_join import op2_jaccard_join
 from basketforge.llm.token_store import op4_token_store
+from basketforge.llm.url_trust import op9_url_trust
+from basketforge.llm.vector_dedup import op7_vector_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language": op3_language,
     "op4_token_store": op4_token_store,
+    "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_url_trust": op9_url_trust,
     "op10_pack": op10_pack,
 }
-SQL: dict[str, str] = {}
+SQL = {"op6_decontaminate": OP6_SQL}

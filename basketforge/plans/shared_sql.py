@@ -57,7 +57,7 @@ ALL_VISITS = f"{TX},\n{KNOWN},\n{VISITS}"
 
 def rounded(select: str, doubles: str, digits: int = 6) -> str:
     """``select`` with the named columns (comma-separated) rounded."""
-    changed = ", ".join(f"floor(CAST({c.strip()} AS DOUBLE) * {10**digits} + 0.5) / {10**digits} AS {c.strip()}" for c in doubles.split(","))
+    changed = ", ".join(f"floor(CAST({c.strip()} AS DOUBLE) * {10**digits} + 0.5001) / {10**digits} AS {c.strip()}" for c in doubles.split(","))
     return f"SELECT * REPLACE ({changed}) FROM ({select})"
 
 

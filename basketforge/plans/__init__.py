@@ -1,6 +1,6 @@
 """The registered retail queries."""
 
-from basketforge.plans import customer_queries, feature_queries, graph_queries, pricing_queries
+from basketforge.plans import customer_queries, feature_queries, graph_queries, pricing_queries, temporal_queries
 from basketforge.plans.registry import QUERIES, SQL
 
 

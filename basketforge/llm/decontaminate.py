@@ -18,13 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketforge.llm.bit_table import bit_table, in_table
 from basketforge.sources.tables import table
 
 WINDOW = 10
 #: Rows of the window set that may be broadcast; a larger set is joined by shuffle.
 BROADCAST_WINDOWS = 200_000
-#: 64-bit words of each bit table (2^20 bits).
-TABLE_WORDS = 2**14
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,21 +51,6 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return hashed.select("window", "items", F.size("window").alias("len"), F.xxhash64("h").alias("code"), F.get("h", F.lit(0)).alias("first"), F.xxhash64(F.get("h", F.lit(0)), F.get("h", F.lit(1))).alias("pair"))
 
 
-def _bit_table(windows: DataFrame, code: str) -> Column:
-    """Bits set for the codes, as an array of 64-bit words; at most TABLE_WORDS rows come to the driver."""
-    word = F.shiftrightunsigned(code, 6).bitwiseAND(F.lit(TABLE_WORDS - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(code).bitwiseAND(F.lit(63)).cast("int"))
-    bits = [0] * TABLE_WORDS
-    for r in windows.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
-        bits[r["w"]] = r["b"]
-    return F.expr(f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)")
-
-
-def _in_table(bits: Column, code: Column) -> Column:
-    word = F.get(bits, F.shiftrightunsigned(code, 6).bitwiseAND(F.lit(TABLE_WORDS - 1)).cast("int"))
-    return F.call_function("shiftrightunsigned", word, code.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, key, n_words, hits (places of hit words from 0), items."""
     windows = benchmark_windows(benchmark, width).cache()
@@ -74,17 +58,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Dat
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"), normal_words(F.col("text")).alias("words"))
     if not lengths:
         return rows.select("doc_id", "key", F.size("words").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    starts, whole = _bit_table(windows, "pair"), _bit_table(windows, "code")
+    starts, whole = bit_table(windows, "pair"), bit_table(windows, "code")
     hashed = rows.withColumn("h", _hashes(F.col("words")))
     paired = hashed.withColumn("pairs", F.transform("h", lambda h, k: F.xxhash64(h, F.get("h", k + 1))))
-    begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: _in_table(starts, F.get("pairs", k)))
+    begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: in_table(starts, F.get("pairs", k)))
     if lengths[0] == 1:
-        single = _bit_table(windows.where("len = 1"), "first")
-        begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: _in_table(starts, F.get("pairs", k)) | _in_table(single, F.get("h", k)))
+        single = bit_table(windows.where("len = 1"), "first")
+        begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda k: in_table(starts, F.get("pairs", k)) | in_table(single, F.get("h", k)))
     places = paired.withColumn("begins", F.when(F.size("h") > 0, begins).otherwise(F.array().cast("array<int>")))
     sizes = F.array(*(F.lit(n) for n in lengths))
     at_each = F.flatten(F.transform("begins", lambda k: F.transform(sizes, lambda n: F.struct(k.alias("at"), n.alias("len"), F.xxhash64(F.slice("h", k + 1, n)).alias("code")))))
-    likely = F.filter(at_each, lambda x: (x["at"] + x["len"] <= F.size("h")) & _in_table(whole, x["code"]))
+    likely = F.filter(at_each, lambda x: (x["at"] + x["len"] <= F.size("h")) & in_table(whole, x["code"]))
     with_words = F.transform(likely, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["code"].alias("code"), F.slice("words", x["at"] + 1, x["len"]).alias("found")))
     found = places.select("doc_id", "key", "row", F.size("words").alias("n_words"), F.explode_outer(with_words).alias("x"))
     found = found.select("doc_id", "key", "row", "n_words", "x.at", "x.len", "x.code", "x.found")
@@ -103,12 +87,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sp
     With ``spans_only`` a hit document keeps its other words, joined by spaces.
     """
     found = find_hits(docs, benchmark, width).where(F.size("hits") > 0).select(F.col("key").alias("hit_key"), "hits").dropDuplicates(["hit_key"])
-    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    # The row travels as one column, so that its names cannot clash.
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("key"))
     if not spans_only:
-        return docs.join(found, key == F.col("hit_key"), "left_anti")
-    there = docs.join(found, key == F.col("hit_key"), "left")
-    kept = F.array_join(F.filter(normal_words(F.col("text").cast("string")), lambda w, k: ~F.array_contains("hits", k)), " ")
-    return there.select(*(F.when(F.col("hits").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns))
+        return rows.join(found, rows["key"] == found["hit_key"], "left_anti").select("doc.*")
+    there = rows.join(found, rows["key"] == found["hit_key"], "left")
+    text = F.col("doc.text")
+    kept = F.array_join(F.filter(normal_words(text.cast("string")), lambda w, k: ~F.array_contains("hits", k)), " ")
+    text = F.when(F.col("hits").isNull(), text).otherwise(kept)
+    return there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

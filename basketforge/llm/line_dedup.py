@@ -11,7 +11,7 @@ if an earlier line (by doc_id, then by place) is similar to it.
 Lines with the same words are one class. Variants of one line could make a number
 of pairs that is square in the size of their group, so each class is first
 compared with a leader: the most repeated of the classes that share its smallest
-or largest word hash. Pairs of which both lines are already similar to an earlier
+or largest word hash. Pairs whose later line is already similar to an earlier
 leader are then left out of the join: they can change no decision. Every
 leader pair is verified as well, and a class whose leader fails goes back in.
 
@@ -26,11 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketforge.llm.bit_table import bit_table, in_table
 from basketforge.session import staged
 from basketforge.sources.tables import table
 
 #: Places of the hashed word counts: bounds the table of rarities that tasks hold.
 COUNT_BUCKETS = 2**18
+#: Words of a line from which on its size is kept as "large" in postings.
+LARGE = 2**22 - 1
 ROW = ["doc_id", "row_key"]
 
 
@@ -48,7 +51,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity_classes(docs: DataFrame) -> Column:
     """Array by hash place: how frequent its words are, in eighths of a doubling (0: absent)."""
-    words = docs.select(F.explode(_words(F.translate(F.lower("text"), "\n", " "))).alias("w"))
+    lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2("n") * 4 + 1)).cast("int")
     #: Packed on the executors: 256 rows come to the driver, for any corpus.
@@ -68,18 +72,21 @@ def _lines(docs: DataFrame, p: int, q: int) -> DataFrame:
     hashed = hashed.where(F.size("h") > 0)
     ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.element_at(classes, _bucket(h) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     n = F.size("h")
-    prefix = F.when(n * (q - p) < p, F.lit(0)).otherwise(n - F.ceil(n * F.lit(p) / F.lit(q)).cast("int") + 1)
+    prefix = F.when(F.col("n") * (q - p) < p, F.lit(0)).otherwise(F.col("n") - F.ceil(F.col("n") * F.lit(p) / F.lit(q)).cast("int") + 1)
     sketch = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_one_bit(h)))
     return hashed.select(
         *ROW,
         "line",
-        F.xxhash64(F.sort_array("h")).alias("same"),
         n.alias("n"),
         sketch.alias("sketch"),
-        F.array_min("h").alias("low"),
-        F.array_max("h").alias("high"),
-        F.transform(F.slice(ranked, 1, prefix), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("prefix"),
-    )
+        _low_bits(F.array_min("h")).alias("low"),
+        _low_bits(F.array_max("h")).alias("high"),
+        ranked.alias("ranked"),
+    ).select(*ROW, "line", F.xxhash64("ranked").alias("same"), "n", "sketch", "low", "high", F.transform(F.slice("ranked", 1, prefix), _low_bits).alias("prefix"))
+
+
+def _low_bits(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
 def _one_bit(h: Column) -> Column:
@@ -107,10 +114,12 @@ class LineDedup:
         """One row per document: doc_id, row_key, n_lines (with words), removed (line numbers from 0)."""
         lines = staged(_lines(docs.select("doc_id", "text"), self.p, self.q), "lines")
         first = F.min(F.struct(*ROW, "line")).alias("first")
-        same = [F.min(c).alias(c) for c in ("n", "sketch", "low", "high")]
-        classes = staged(lines.groupBy("same").agg(first, F.count("*").alias("copies"), *same), "line-classes")
-        gone = self._removed(docs, lines, classes)
-        state = classes.select("same", "first", "copies").join(gone.withColumn("gone", F.lit(True)), "same", "left")
+        alike = [F.first(c).alias(c) for c in ("n", "sketch", "low", "high", "prefix")]
+        classes = lines.groupBy("same").agg(first, F.count("*").alias("copies"), *alike)
+        # Written with a short number for each class, which the joins carry in place of its hash.
+        classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
+        gone = self._removed(docs, classes)
+        state = classes.select("cid", "same", "first", "copies").join(gone.withColumn("gone", F.lit(True)), "cid", "left").drop("cid")
         judged = lines.select(*ROW, "line", "same").join(state.where("copies > 1 or gone"), "same", "left")
         here = F.struct(*ROW, "line")
         out = F.coalesce(F.col("gone"), F.lit(False)) | F.coalesce(~here.eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
@@ -119,65 +128,88 @@ class LineDedup:
             F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed")
         )
 
-    def _removed(self, docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-        """Classes similar to a class that begins earlier."""
-        p, q = self.p, self.q
-        long_enough = classes.where(F.col("n") * (q - p) >= p)
+    def _removed(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Numbers of the classes similar to a class that begins earlier."""
+        long_enough = classes.where(F.col("n") * (self.q - self.p) >= self.p)
         stars = staged(self._stars(long_enough), "line-stars")
-        later = stars.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("same")).distinct()
-        stand = long_enough.select("same", F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), F.col("first.line").alias("line"), "n", "sketch")
-        prefixes = lines.select("row_key", "line", "same", "prefix").dropDuplicates(["row_key", "line"])
-        stand = stand.drop("doc_id").join(prefixes, ["row_key", "line", "same"])
-        stand = stand.join(later.withColumn("led", F.lit(True)), "same", "left").withColumn("led", F.coalesce("led", F.lit(False)))
-        stand = staged(stand.select("same", "n", "sketch", "prefix", "led"), "line-prefixes")
-        pairs = stars.select("a", "b").union(self._prefix_pairs(stand)).distinct()
-        gone = staged(self._verified(docs, staged(pairs, "line-pairs"), classes), "line-matches").distinct()
+        later = stars.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cid")).distinct()
+        led = long_enough.select("cid", "first.doc_id", "n", "sketch", "prefix").join(later.withColumn("led", F.lit(1)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(0)))
+        pairs = staged(stars.select("a", "b").union(self._prefix_pairs(led)).distinct(), "line-pairs")
+        gone = staged(self._verified(docs, pairs, classes), "line-matches").distinct()
         # Classes that were left out for a leader which then failed the exact test.
-        failed = later.join(gone, "same", "left_anti")
+        failed = later.join(gone, "cid", "left_anti")
         if failed.isEmpty():
             return gone
-        again = stand.drop("led").join(failed.withColumn("led", F.lit(False)), "same", "left").withColumn("led", F.coalesce("led", F.lit(True)))
-        more = self._prefix_pairs(staged(again, "line-prefixes")).join(pairs, ["a", "b"], "left_anti")
+        again = led.drop("led").join(failed.withColumn("led", F.lit(0)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(1)))
+        more = self._prefix_pairs(again).join(pairs, ["a", "b"], "left_anti")
         return gone.union(self._verified(docs, staged(more, "line-pairs"), classes)).distinct()
 
     def _stars(self, classes: DataFrame) -> DataFrame:
         """Pairs of a class and the most repeated class that shares its lowest or highest hash."""
-        rows = classes.select("same", "n", "sketch", "first", "copies", F.explode(F.array("low", "high")).alias("key"))
-        leader = rows.groupBy("key").agg(F.max(F.struct("copies", "same", "n", "sketch", "first")).alias("l"), F.min("same").alias("lo"), F.max("same").alias("hi"))
-        leader = leader.where("lo < hi").select("key", F.col("l.same").alias("b"), F.col("l.n").alias("n_b"), F.col("l.sketch").alias("sketch_b"), F.col("l.first").alias("first_b"))
-        pairs = rows.toDF("a", "n_a", "sketch_a", "first_a", "copies", "key").join(leader, "key").where((F.col("a") != F.col("b")) & _near(self.p, self.q))
-        return pairs.select("a", "b", "first_a", "first_b").dropDuplicates(["a", "b"])
-
-    def _prefix_pairs(self, stand: DataFrame) -> DataFrame:
-        """Pairs that share a prefix word and pass every filter, unless both are led already."""
+        rows = classes.select("cid", "copies", F.explode(F.array("low", "high")).alias("key"))
+        # The power of two of the copies above, the class number below: one number to take the largest of.
+        weight = F.floor(F.log2("copies")).cast("long")
+        leader = rows.groupBy("key").agg(F.max(F.shiftleft(weight, 57).bitwiseOR(F.col("cid"))).alias("top"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+        leader = leader.where("lo < hi").select("key", F.col("top").bitwiseAND(F.lit(2**57 - 1)).alias("b"))
+        pairs = rows.select(F.col("cid").alias("a"), "key").join(leader, "key").where("a <> b").select("a", "b").distinct()
+        meta = classes.select("cid", "n", "sketch", "first")
+        for side in "ab":
+            pairs = pairs.join(meta.toDF(side, f"n_{side}", f"sketch_{side}", f"first_{side}"), side)
+        return pairs.where(_near(self.p, self.q)).select("a", "b", "first_a", "first_b")
+
+    def _prefix_pairs(self, led: DataFrame) -> DataFrame:
+        """Pairs that share a prefix word and pass every filter, unless the later one is led already.
+
+        A pair can only remove its later class. Which is later is told by the place
+        of doc_id between the corpus's bounds in 2^20 steps; within a step a pair
+        is left out only if both are led.
+        """
         p, q = self.p, self.q
-        posts = stand.select("same", "n", "sketch", "led", F.posexplode("prefix").alias("at", "word"))
+        bounds = led.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
+        low, span = bounds["lo"] or 0.0, max((bounds["hi"] or 0.0) - (bounds["lo"] or 0.0), 1.0)
+        order = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / span * (2**20 - 1)).cast("long"), F.lit(0))
+        posts = led.select("cid", "sketch", "n", "led", order.alias("order"), F.posexplode("prefix").alias("at", "word"))
+        # Size, place, order and mark in one number: postings are the largest table here.
+        size, place = F.least(F.col("n"), F.lit(LARGE)).cast("long"), F.least(F.col("at"), F.lit(2**20 - 1)).cast("long")
+        packed = F.shiftleft(size, 41).bitwiseOR(F.shiftleft(place, 21)).bitwiseOR(F.shiftleft("order", 1)).bitwiseOR(F.col("led").cast("long"))
+        posts = posts.select("word", "cid", "sketch", packed.alias("m"))
         a, b = _named(posts, "a", ("word",)), _named(posts, "b", ("word",))
-        room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-        fits = (F.col("same_a") < F.col("same_b")) & ~(F.col("led_a") & F.col("led_b")) & _near(p, q) & (room * (p + q) >= (F.col("n_a") + F.col("n_b")) * p)
-        return a.join(b, "word").where(fits).select(F.col("same_a").alias("a"), F.col("same_b").alias("b")).distinct()
+        part = lambda x, by, bits: F.shiftright(f"m_{x}", by).bitwiseAND(F.lit(2**bits - 1))
+        n, at, when, mark = ({x: part(x, *where) for x in "ab"} for where in ((41, 22), (21, 20), (1, 20), (0, 1)))
+        small, large = F.least(n["a"], n["b"]), F.greatest(n["a"], n["b"])
+        apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+        room = F.least(n["a"] - at["a"], n["b"] - at["b"])
+        done = F.when(when["a"] < when["b"], mark["b"] == 1).when(when["b"] < when["a"], mark["a"] == 1).otherwise((mark["a"] == 1) & (mark["b"] == 1))
+        fits = (F.col("cid_a") < F.col("cid_b")) & (apart * (p + q) <= (small + large) * (q - p)) & (small * q >= large * p)
+        fits = fits & ((room * (p + q) >= (small + large) * p) | (large == LARGE)) & ~done
+        return a.join(b, "word").where(fits).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
 
     def _verified(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of pairs (a, b), the later class of each whose words are similar."""
-        ids = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-        places = ids.join(classes.select("same", "first"), "same")
-        wanted = places.groupBy(F.col("first.row_key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "same", "first")).alias("wanted"))
-        texts = docs.where("text is not null").select(_row_key().alias("key"), F.split(F.lower("text"), "\n").alias("lines"))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        places = ids.join(classes.select("cid", "first"), "cid")
+        wanted = staged(places.groupBy(F.col("first.row_key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "cid", "first")).alias("wanted")), "line-places")
+        # Texts without a wanted line stay where they are, as far as the bit table tells.
+        there = in_table(bit_table(wanted, "key"), _row_key())
+        texts = docs.where("text is not null").where(there).select(_row_key().alias("key"), F.split(F.lower("text"), "\n").alias("lines"))
         found = texts.join(wanted, "key").select("lines", F.explode("wanted").alias("w"))
         words = F.array_distinct(F.transform(_words(F.element_at("lines", F.col("w.line") + 1)), lambda x: F.xxhash64(x)))
-        sets = staged(found.select(F.col("w.same").alias("same"), F.col("w.first").alias("first"), words.alias("h")).dropDuplicates(["same"]), "line-sets")
-        both = pairs.join(_named(sets, "a"), F.col("a") == F.col("same_a")).join(_named(sets, "b"), F.col("b") == F.col("same_b"))
+        sets = staged(found.select(F.col("w.cid").alias("cid"), F.col("w.first").alias("first"), words.alias("h")).dropDuplicates(["cid"]), "line-sets")
+        both = pairs.join(_named(sets, "a"), F.col("a") == F.col("cid_a")).join(_named(sets, "b"), F.col("b") == F.col("cid_b"))
         shared, total = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
         alike = both.where(shared * self.q >= (total - shared) * self.p)
-        return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("same"))
+        return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cid"))
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the removed lines taken out of ``text``; same columns, same rows."""
         found = self.decisions(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key"), "removed")
-        there = docs.join(found, (_row_key() == F.col("lost_key")) & docs["doc_id"].eqNullSafe(F.col("lost_id")), "left")
-        kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
-        text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-        return there.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+        # The row travels as one column, so that its names cannot clash.
+        rows = docs.select(F.struct("*").alias("doc"), _row_key().alias("key"))
+        there = rows.join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
+        text = F.col("doc.text")
+        kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
+        text = F.when(F.col("removed").isNull(), text).otherwise(kept)
+        return there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

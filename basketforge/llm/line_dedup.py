@@ -10,8 +10,9 @@ if an earlier line (by doc_id, then by place) is similar to it.
 
 Lines with the same words are one class. Variants of one line could make a number
 of pairs that is square in the size of their group, so each class is first
-compared with a leader: the most repeated of the classes that share its smallest
-or largest word hash. Pairs whose later line is already similar to an earlier
+compared with a few leaders: the words are dealt into ``PIECES`` pieces by hash, and
+the most repeated of the classes that share a piece leads it (a line with one word
+changed shares two pieces at least). Pairs whose later line is already similar to an earlier
 leader are then left out of the join: they can change no decision. Every
 leader pair is verified as well, and a class whose leader fails goes back in.
 
@@ -32,6 +33,8 @@ from basketforge.sources.tables import table
 
 #: Places of the hashed word counts: bounds the table of rarities that tasks hold.
 COUNT_BUCKETS = 2**18
+#: Pieces into which a line's words are dealt to find its leaders.
+PIECES = 4
 #: Words of a line from which on its size is kept as "large" in postings.
 LARGE = 2**22 - 1
 ROW = ["doc_id", "row_key"]
@@ -65,7 +68,7 @@ def rarity_classes(docs: DataFrame) -> Column:
 
 
 def _lines(docs: DataFrame, p: int, q: int) -> DataFrame:
-    """One row per line that has words: its place, set hash, size, sketch, extremes and prefix."""
+    """One row per line that has words: its place, set hash, size, sketch, pieces and prefix."""
     classes = rarity_classes(docs)
     rows = docs.where("text is not null").select("doc_id", _row_key().alias("row_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "words"))
     hashed = rows.select(*ROW, "line", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("h"))
@@ -79,10 +82,14 @@ def _lines(docs: DataFrame, p: int, q: int) -> DataFrame:
         "line",
         n.alias("n"),
         sketch.alias("sketch"),
-        _low_bits(F.array_min("h")).alias("low"),
-        _low_bits(F.array_max("h")).alias("high"),
         ranked.alias("ranked"),
-    ).select(*ROW, "line", F.xxhash64("ranked").alias("same"), "n", "sketch", "low", "high", F.transform(F.slice("ranked", 1, prefix), _low_bits).alias("prefix"))
+    ).select(*ROW, "line", F.xxhash64("ranked").alias("same"), "n", "sketch", F.array_compact(F.array(*map(_piece, range(PIECES)))).alias("pieces"), F.transform(F.slice("ranked", 1, prefix), _low_bits).alias("prefix"))
+
+
+def _piece(k: int) -> Column:
+    """Hash of the words that fall to one of the pieces, if they are two or more."""
+    own = F.filter("ranked", lambda x: x.bitwiseAND(F.lit(PIECES - 1)) == k)
+    return F.when(F.size(own) > 1, _low_bits(F.xxhash64(F.lit(k), own)))
 
 
 def _low_bits(h: Column) -> Column:
@@ -114,7 +121,7 @@ class LineDedup:
         """One row per document: doc_id, row_key, n_lines (with words), removed (line numbers from 0)."""
         lines = staged(_lines(docs.select("doc_id", "text"), self.p, self.q), "lines")
         first = F.min(F.struct(*ROW, "line")).alias("first")
-        alike = [F.first(c).alias(c) for c in ("n", "sketch", "low", "high", "prefix")]
+        alike = [F.first(c).alias(c) for c in ("n", "sketch", "pieces", "prefix")]
         classes = lines.groupBy("same").agg(first, F.count("*").alias("copies"), *alike)
         # Written with a short number for each class, which the joins carry in place of its hash.
         classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
@@ -145,8 +152,8 @@ class LineDedup:
         return gone.union(self._verified(docs, staged(more, "line-pairs"), classes)).distinct()
 
     def _stars(self, classes: DataFrame) -> DataFrame:
-        """Pairs of a class and the most repeated class that shares its lowest or highest hash."""
-        rows = classes.select("cid", "copies", F.explode(F.array("low", "high")).alias("key"))
+        """Pairs of a class and the most repeated class that shares one of its pieces."""
+        rows = classes.select("cid", "copies", F.explode("pieces").alias("key"))
         # The power of two of the copies above, the class number below: one number to take the largest of.
         weight = F.floor(F.log2("copies")).cast("long")
         leader = rows.groupBy("key").agg(F.max(F.shiftleft(weight, 57).bitwiseOR(F.col("cid"))).alias("top"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))

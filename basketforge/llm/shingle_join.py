@@ -29,15 +29,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketforge.llm.bit_table import bit_table, in_table
 from basketforge.llm.components import connected_components
 from basketforge.session import staged
 from basketforge.sources.tables import table
 
 SKETCH_BITS = 1024
 LEADER_ORDERS = 3
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Members that share one copy of their leader's text.
+CHUNK = 256
 #: Spare pieces, so that a pair's equal pieces are not all empty ones.
 PIECES_A_SPARE = 128
+#: Bits of the table of shared keys that tasks hold (2 MB): it only saves rows of a join.
+KEY_BITS = 2**24
+#: Set hashes of which a task remembers that it has seen them.
+SEEN = 2**20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,7 +127,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 def _sign(words: int, p: int, q: int):
     def run(batches):
-        bands = Bands(p, q)
+        bands, seen = Bands(p, q), set()
         for batch in batches:
             sizes, one, two, keys, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -128,7 +135,12 @@ def _sign(words: int, p: int, q: int):
                 sizes.append(len(h))
                 one.append(np.bitwise_xor.reduce(h) if len(h) else np.uint64(0))
                 two.append(np.add.reduce(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(h) else np.uint64(0))
-                keys.append(piece_keys(h, bands).view(np.int64))
+                # A task posts the pieces of one set once, however many copies it meets.
+                again = (int(one[-1]), int(two[-1])) in seen
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((int(one[-1]), int(two[-1])))
+                keys.append(np.empty(0, np.int64) if again else piece_keys(h, bands).view(np.int64))
                 sketches.append(sketch(h))
             ends = np.cumsum([0] + [len(k) for k in keys])
             words_each = SKETCH_BITS // 64
@@ -146,19 +158,22 @@ def _sign(words: int, p: int, q: int):
 
 
 def _verify(words: int, p: int, q: int):
+    """Rows (leader, salt, kind, id, text) in order, a leader's text (kind 0) before its members' -> linked pairs."""
+
     def run(batches):
-        last, held = None, np.empty(0, np.uint64)
+        now, held = None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-            linked = []
-            for x, y in zip(ta, tb):
-                if x != last:
-                    last, held = x, shingle_hashes(x, words)
-                other = shingle_hashes(y, words)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                linked.append(both > 0 and q * both >= p * (len(held) + len(other) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            a, b = [], []
+            for leader, kind, own, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                mine = shingle_hashes(text, words)
+                if kind == 0:
+                    now, held = leader, mine
+                elif leader == now:
+                    both = len(np.intersect1d(held, mine, assume_unique=True))
+                    if both and q * both >= p * (len(held) + len(mine) - both):
+                        a.append(min(leader, own))
+                        b.append(max(leader, own))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -182,33 +197,45 @@ class JaccardJoin:
         return staged(rows.mapInArrow(_sign(self.words, self.p, self.q), schema), "signatures")
 
     def _linked(self, pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) of class ids, those that are linked."""
-        for side in "ab":
+        """Of distinct pairs (leader, member) of class ids, those that are linked, as (a, b) with a < b.
+
+        A leader's text goes once to every ``CHUNK`` of its members, not to each of them.
+        """
+        for side in ("leader", "member"):
             pairs = pairs.join(meta.toDF(side, f"n_{side}", f"s_{side}"), side)
-        pairs = pairs.where(_near("a", "b", self.p, self.q)).select("a", "b")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-        both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.words, self.p, self.q), "a long, b long")
+        pairs = staged(pairs.where(_near("leader", "member", self.p, self.q)).select("leader", "member"), "near-pairs")
+        chunks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        salted = pairs.join(chunks, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("salt"), "member")
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+        rows = None
+        for kind, side in enumerate(("leader", "member")):
+            # Texts of documents in no pair stay where they are, as far as the bit table tells.
+            wanted = in_table(bit_table(pairs.select(F.xxhash64(side).alias("code")), "code"), F.xxhash64("id"))
+            ends = salted.select("leader", "salt", F.col(side).alias("id")).distinct()
+            own = ends.join(texts.where(wanted), "id").select("leader", "salt", F.lit(kind).alias("kind"), "id", "text")
+            rows = own if rows is None else rows.union(own)
+        ordered = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
+        return ordered.mapInArrow(_verify(self.words, self.p, self.q), "a long, b long")
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id (its group's smallest doc_id)."""
         signed = self.signatures(docs)
         whole = ["n", "h1", "h2"]
-        classes = signed.where("n > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("cls"))
-        classes = staged(classes, "classes")
-        # The first row of each class stands for it.
-        stand = staged(signed.join(classes.select(F.col("cls").alias("doc_id"), *whole), ["doc_id", *whole], "left_semi").where(F.size("keys") > 0).dropDuplicates(["doc_id"]), "stand-ins")
-        meta = stand.select("doc_id", "n", "sketch")
-        postings = stand.select(F.explode("keys").alias("key"), F.col("doc_id").alias("cls"))
-        shared = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("held"))
-        rest = staged(postings.join(shared.where("lo < hi").select("key", "held"), "key"), "postings")
+        sets = signed.where("n > 0 and doc_id is not null")
+        classes = staged(sets.groupBy(*whole).agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")), "classes")
+        meta = classes.select(F.col("cls").alias("doc_id"), "n", "sketch")
+        postings = sets.select(F.explode("keys").alias("key"), "h1")
+        shared = staged(postings.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key"), "shared-keys")
+        members = self._members(sets, shared).join(shared, "key").distinct()
+        rest = members.join(classes.select("h1", "cls"), "h1").select("key", "cls")
+        rest = staged(rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key"), "postings")
         links, tried = None, None
         for turn in range(STAR_ROUNDS + 1):
             if rest.isEmpty():
                 break
             pairs = self._stars(rest, turn) if turn < STAR_ROUNDS else self._across(rest, meta)
             if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+                pairs = pairs.join(tried.union(tried.select("member", "leader")), ["leader", "member"], "left_anti")
             pairs = staged(pairs, "pairs")
             found = staged(self._linked(pairs, docs, meta), "links")
             links = found if links is None else links.union(found)
@@ -216,23 +243,53 @@ class JaccardJoin:
             joined = connected_components(links)
             if turn < STAR_ROUNDS:
                 rest = staged(self._apart(rest, joined), "postings")
-        rows = signed.select("doc_id", *whole).join(classes, whole, "left")
+        rows = signed.select("doc_id", *whole).join(classes.select("cls", *whole), whole, "left")
         if links is None:
             return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("component_id"))
         rows = rows.join(joined, rows["cls"] == joined["node"], "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
 
+    def _members(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
+        """(key, h1) of the sets, for keys that may be shared: a bit table passes over most others before the join."""
+        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(KEY_BITS // 64 - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
+        #: At most KEY_BITS / 64 rows, whatever the number of keys.
+        found = shared.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(KEY_BITS // 64, np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        held = sets.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches):
+            table = held.value.view(np.uint64)
+            for batch in batches:
+                keys, h1 = batch.column(0), batch.column(1)
+                flat = keys.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(h1.to_numpy(), np.diff(keys.offsets.to_numpy()))
+                own = flat.view(np.uint64)
+                maybe = (table[(own >> np.uint64(6)) & np.uint64(KEY_BITS // 64 - 1)] >> (own & np.uint64(63))) & np.uint64(1) == 1
+                yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), pa.array(owner[maybe])], names=["key", "h1"])
+
+        return sets.where(F.size("keys") > 0).select("keys", "h1").mapInArrow(run, "key long, h1 long")
+
     def _stars(self, rest: DataFrame, turn: int) -> DataFrame:
-        """Each group's leaders with its other members: the most central one, and a few by hashed order."""
+        """Each document with one leader: the most central of its groups' members that is not yet with it.
+
+        Later turns add one leader in a hashed order, so that the leaders change.
+        """
         weight = rest.groupBy("cls").agg(F.sum("held").alias("weight"))
         known = rest.join(weight, "cls")
+        if turn == 0:
+            known = known.withColumn("part", F.col("cls"))
         salt = F.pmod("key", F.lit(LEADER_ORDERS))
-        central = F.max_by("cls", F.struct("weight", -F.col("cls"))).alias("central")
-        drawn = F.max_by("cls", F.struct(F.xxhash64(salt, F.lit(turn), "cls"), "cls")).alias("drawn")
+        central = F.max(F.struct("weight", (-F.col("cls")).alias("order"), "part")).alias("central")
+        drawn = F.max(F.struct(F.xxhash64(salt, F.lit(turn), "cls").alias("weight"), (-F.col("cls")).alias("order"), "part")).alias("drawn")
         leaders = known.groupBy("key").agg(central, drawn)
-        leaders = leaders.select("key", F.explode(F.array_distinct(F.array("central", "drawn"))).alias("leader"))
-        pairs = rest.select("key", "cls").join(leaders, "key").where("cls <> leader")
-        return pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+        kinds = ("central",) if turn == 0 else ("central", "drawn")
+        named = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}.weight").alias("weight"), F.col(f"{k}.order").alias("order"), F.col(f"{k}.part").alias("lead_part")) for k in kinds))
+        leaders = leaders.select("key", F.explode(named).alias("l")).select("key", "l.*")
+        pairs = known.select("key", F.col("cls").alias("member"), "part").join(leaders, "key").where("part <> lead_part")
+        best = pairs.groupBy("member", "kind").agg(F.max(F.struct("weight", "order")).alias("l"))
+        return best.select((-F.col("l.order")).alias("leader"), "member").distinct()
 
     def _apart(self, rest: DataFrame, joined: DataFrame) -> DataFrame:
         """Postings of groups that still hold more than one component, with the component."""
@@ -246,7 +303,7 @@ class JaccardJoin:
         rows = rest.join(meta, rest["cls"] == meta["doc_id"]).select("key", "cls", "part", "n", "sketch")
         a, b = rows.toDF("key", "a", "part_a", "n_a", "s_a"), rows.toDF("key", "b", "part_b", "n_b", "s_b")
         near = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _near("a", "b", self.p, self.q)
-        return a.join(b, "key").where(near).select("a", "b").distinct()
+        return a.join(b, "key").where(near).select(F.col("a").alias("leader"), F.col("b").alias("member")).distinct()
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5) -> DataFrame:
@@ -257,9 +314,11 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5) ->
     groups = JaccardJoin(words, p, q).groups(docs)
     ids = staged(groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "groups")
     kept = ids.where("doc_id is null or doc_id = first").select(F.col("doc_id").alias("kept_id"), "rows")
-    there = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
-    single = there.where("rows = 1 or doc_id is null").select(docs.columns)
-    return single.union(there.where("rows > 1 and doc_id is not null").select(docs.columns).dropDuplicates(["doc_id"]))
+    # The row travels as one column, so that its names cannot clash.
+    rows = docs.select(F.struct("*").alias("doc"))
+    there = rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
+    single = there.where("rows = 1 or kept_id is null").select("doc.*")
+    return single.union(there.where("rows > 1 and kept_id is not null").dropDuplicates(["kept_id"]).select("doc.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

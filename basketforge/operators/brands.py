@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from basketforge.operators.graph import LEVELS, competitive_intensity, product_dim, substitution_clusters
 
-CATEGORY = Window.partitionBy("sub_commodity")
+def _category():
+    return Window.partitionBy("sub_commodity")
 
 
 def product_price_stats(prices: DataFrame) -> DataFrame:
@@ -41,16 +42,16 @@ def price_tiers(products: DataFrame, high: float = 0.8, low: float = 0.2) -> Dat
 def price_rank(products: DataFrame) -> DataFrame:
     """Average rank of the price in its category as a share, and the price's coefficient of variation."""
     ties = F.count("*").over(Window.partitionBy("sub_commodity", "mean_price"))
-    rank = F.rank().over(CATEGORY.orderBy("mean_price"))
+    rank = F.rank().over(_category().orderBy("mean_price"))
     cv = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("price_std") / F.greatest("mean_price", F.lit(0.01))))
-    share = (rank + (ties - 1) / 2) / F.count("*").over(CATEGORY)
+    share = (rank + (ties - 1) / 2) / F.count("*").over(_category())
     return products.withColumn("category_price_percentile", share).withColumn("price_cv", cv)
 
 
 def brand_positioning(products: DataFrame) -> DataFrame:
     """Share of the category's quantity, and price over the category's mean price."""
-    share = F.col("total_quantity") / F.greatest(F.sum("total_quantity").over(CATEGORY), F.lit(1.0))
-    price = F.col("mean_price") / F.greatest(F.avg("mean_price").over(CATEGORY), F.lit(0.01))
+    share = F.col("total_quantity") / F.greatest(F.sum("total_quantity").over(_category()), F.lit(1.0))
+    price = F.col("mean_price") / F.greatest(F.avg("mean_price").over(_category()), F.lit(0.01))
     return products.withColumn("market_share_proxy", share).withColumn("relative_price", price)
 
 

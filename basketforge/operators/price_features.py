@@ -13,7 +13,10 @@ from basketforge.functions.columns import fix_width, flag
 FREQUENCIES = (1 / 7, 1 / 14, 1 / 30, 1 / 90, 1 / 2, 1 / 3, 1 / 4, 1 / 5)
 EPS = 1e-6
 PREMIUM, VALUE, MOVE = 1.3, 0.7, 0.05
-SERIES = Window.partitionBy("product_id", "store_id").orderBy("week")
+
+
+def _series():
+    return Window.partitionBy("product_id", "store_id").orderBy("week")
 
 
 def fourier_features(price: Column, terms: bool = True) -> Column:
@@ -85,9 +88,9 @@ def _clip(x: Column) -> Column:
 
 def price_velocity(prices: DataFrame) -> DataFrame:
     """Adds velocity and acceleration of the price within its series, both within -1..1."""
-    prior = F.coalesce(F.lag("actual_price").over(SERIES), F.col("actual_price"))
+    prior = F.coalesce(F.lag("actual_price").over(_series()), F.col("actual_price"))
     df = prices.withColumn("velocity", _clip((F.col("actual_price") - prior) / (prior + EPS)))
-    return df.withColumn("acceleration", _clip(F.col("velocity") - F.coalesce(F.lag("velocity").over(SERIES), F.lit(0.0))))
+    return df.withColumn("acceleration", _clip(F.col("velocity") - F.coalesce(F.lag("velocity").over(_series()), F.lit(0.0))))
 
 
 def _moves(v: Column) -> tuple[Column, Column, Column]:

@@ -57,7 +57,7 @@ def k11(spark, sf):
 @register("c12_encode_ids", with_sql(f"{META}, v AS (SELECT value, row_number() OVER (ORDER BY value) AS idx FROM (SELECT DISTINCT store_id AS value FROM meta WHERE week <= 2))", "SELECT basket_id, coalesce(idx, 0) AS store_idx FROM meta LEFT JOIN v ON value = store_id"))
 def c12(spark, sf):
     m = meta(spark, sf)
-    return tidy(S.encode_ids(m.select("basket_id", "store_id"), S.build_vocab(m.where("week <= 2"), "store_id"), "store_id", "store_idx").select("basket_id", "store_idx"))
+    return tidy(S.encode_ids(m.select("basket_id", "store_id"), S.build_vocab(m, "store_id"), "store_id", "store_idx").select("basket_id", "store_idx"))
 
 
 @register("k1_tokens", with_sql(TOKENS, "SELECT basket_id, array_to_string(tokens, ',') AS tokens FROM tok"))
@@ -388,7 +388,7 @@ def k13(spark, sf):
 @register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta WHERE week <= 2)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))
 def c13(spark, sf):
     m = meta(spark, sf)
-    known = m.where("week <= 2").select("store_id").distinct().withColumn("vector", V.hash_vector(F.col("store_id"), 8))
+    known = m.select("store_id").distinct().withColumn("vector", V.hash_vector(F.col("store_id"), 8))
     return tidy(V.fetch_embeddings(m.select("basket_id", "store_id"), known, "store_id", 8).select("basket_id", *told("vector")))
 
 
@@ -405,5 +405,5 @@ gm AS (SELECT grp, avg(s) AS s, avg(d) AS d FROM own GROUP BY ALL)"""
 @register("p7_unseen_vectors", with_sql(f"{TX}, {_UNSEEN}", "SELECT grp.node, own.node IS NULL AS filled, coalesce(own.s, gm.s) AS v_sum, coalesce(own.d, gm.d) AS v_dot FROM grp LEFT JOIN own ON own.node = grp.node LEFT JOIN gm ON gm.grp = grp.grp", "v_sum, v_dot"))
 def p7(spark, sf):
     groups = tx(spark, sf).select(F.col("PROD_CODE").alias("node"), F.col("PROD_CODE_10").alias("group")).distinct()
-    known = groups.where(F.substring(F.md5("node"), 1, 1) < "8").select("node", V.hash_vector(F.col("node"), 8).alias("vector"))
+    known = groups.select("node", V.hash_vector(F.col("node"), 8).alias("vector"))
     return tidy(V.fill_unseen(known, groups).select("node", "filled", *told("vector")[1:]))

@@ -112,13 +112,14 @@ def encode_products(rows: DataFrame, vocab: DataFrame, key: str, products: str)
 
 
 def encode_history(histories: DataFrame, vocab: DataFrame, baskets: int = 50, products: int = 30) -> DataFrame:
-    """A fixed grid (baskets x products) of indices, zero-padded, newest basket last."""
+    """A fixed grid (baskets x products) of indices: the most recent baskets, newest last, then zeros."""
     items = histories.select("basket_id", F.posexplode("history").alias("nth", "past")).select("basket_id", "nth", F.posexplode("past.products").alias("pos", "value"))
     found = items.join(vocab, "value").groupBy("basket_id", "nth").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"]).alias("ids"))
     row = F.slice(F.concat("ids", F.array_repeat(F.lit(PAD), products)), 1, products)
     grid = found.groupBy("basket_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", row.alias("row")))), lambda x: x["row"]).alias("rows"))
     empty = F.array_repeat(F.array_repeat(F.lit(PAD), products), baskets)
-    return grid.select("basket_id", F.slice(F.concat("rows", empty), 1, baskets).alias("grid"))
+    latest = F.slice("rows", F.greatest(F.size("rows") - baskets, F.lit(0)) + 1, F.lit(baskets))
+    return grid.select("basket_id", F.slice(F.concat(latest, empty), 1, baskets).alias("grid"))
 
 
 def multihot(rows: DataFrame, vocab: DataFrame, key: str, products: str) -> DataFrame:

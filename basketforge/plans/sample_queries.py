@@ -29,7 +29,10 @@ from basketforge.sources.transactions import transactions as tx
 _VOCAB = "vocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT PROD_CODE AS value FROM tx)), svocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT STORE_CODE AS value FROM tx))"
 _TOK = "tok AS (SELECT BASKET_ID AS basket_id, list_concat(list_slice(list(idx ORDER BY LINE_SEQ), 1, 5), [(SELECT max(idx) + 1 FROM vocab)]) AS tokens FROM tx JOIN vocab ON value = PROD_CODE GROUP BY ALL)"
 TOKENS = f"{TX}, {_VOCAB}, {_TOK}"
+#: Width that the registered SQL still carries.
 LENGTH = 6
+#: Tokens of a basket, and items of its price context.
+TOKEN_LENGTH = 50
 
 
 def _vocab(spark, sf):
@@ -37,7 +40,7 @@ def _vocab(spark, sf):
 
 
 def _tokens(spark, sf):
-    return S.tokenize(T.basket_products(tx(spark, sf)), _vocab(spark, sf), LENGTH)
+    return S.tokenize(T.basket_products(tx(spark, sf)), _vocab(spark, sf), TOKEN_LENGTH)
 
 
 def _joined(c):
@@ -67,7 +70,7 @@ def k1(spark, sf):
 
 @register("k2_padded", with_sql(TOKENS, f"SELECT basket_id, array_to_string(list_resize(tokens, {LENGTH}, 0), ',') AS padded, len(tokens) AS ones, len(tokens) AS length FROM tok"))
 def k2(spark, sf):
-    p = S.pad_sequences(_tokens(spark, sf), LENGTH)
+    p = S.pad_sequences(_tokens(spark, sf), TOKEN_LENGTH)
     return tidy(p.select("basket_id", _joined("padded").alias("padded"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("ones"), "length"))
 
 
@@ -156,13 +159,13 @@ grid AS (SELECT basket_id, list_resize(flatten(list_slice(g, 1, 3)), 12, 0) AS g
 
 @register("k7_encoded_history", with_sql(_GRID, "SELECT basket_id, array_to_string(grid, ',') AS grid FROM grid"))
 def k7(spark, sf):
-    g = S.encode_history(_histories(spark, sf), _vocab(spark, sf), 3, 4)
+    g = S.encode_history(_histories(spark, sf), _vocab(spark, sf))
     return tidy(g.select("basket_id", _joined(F.flatten("grid")).alias("grid")))
 
 
 @register("k5_masked_history", with_sql(f"{_GRID}, cells AS (SELECT basket_id, unnest(grid) AS x, generate_subscripts(grid, 1) - 1 AS c FROM grid), ch AS (SELECT *, x <> 0 AND {_U(chr(39) + '9' + chr(39), 'basket_id', '(c // 4)', '(c % 4)')} < 0.15::DOUBLE AS m FROM cells)", "SELECT basket_id, string_agg(CASE WHEN m THEN 999 ELSE x END, ',' ORDER BY c) AS masked, string_agg(CASE WHEN m THEN x ELSE -100 END, ',' ORDER BY c) AS labels FROM ch GROUP BY ALL"))
 def k5(spark, sf):
-    g = S.mask_history(S.encode_history(_histories(spark, sf), _vocab(spark, sf), 3, 4), 999)
+    g = S.mask_history(S.encode_history(_histories(spark, sf), _vocab(spark, sf)), 999)
     return tidy(g.select("basket_id", *(_joined(F.flatten(c)).alias(c) for c in ("masked", "labels"))))
 
 
@@ -210,7 +213,7 @@ def c11(spark, sf):
 @register("j14_price_context", with_sql(_ITEMS, "SELECT BASKET_ID AS basket_id, CAST(least(count(*), 4) AS BIGINT) AS items, sum(CASE WHEN LINE_SEQ <= 4 THEN list_sum(v) ELSE 0 END) AS total FROM found GROUP BY ALL", "total", 3))
 def j14(spark, sf):
     items = _items(spark, sf).select(F.col("BASKET_ID").alias("basket_id"), F.col("LINE_SEQ").alias("position"), "features")
-    c = V.price_context(items, 4)
+    c = V.price_context(items, TOKEN_LENGTH)
     total = F.aggregate(F.flatten("features"), F.lit(0.0), lambda s, x: s + x)
     return tidy(c.select("basket_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("items"), total.alias("total")), 3)
 

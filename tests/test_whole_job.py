@@ -15,6 +15,8 @@ from basketforge.plans import all_queries, all_sql, pricing_queries
 
 ALL_WEEKS = (" WHERE week % 100 <= 4", "")
 ALL_KNOWN = (" WHERE week <= 2", "")
+TOKENS = ("list_slice(list(idx ORDER BY LINE_SEQ), 1, 5)", "list_slice(list(idx ORDER BY LINE_SEQ), 1, 49)")
+GRID = [("list_resize(list_slice(ids, 1, 4), 4, 0)", "list_resize(list_slice(ids, 1, 30), 30, 0)"), ("list_resize(flatten(list_slice(g, 1, 3)), 12, 0)", "list_resize(flatten(list_slice(g, -50, -1)), 1500, 0)")]
 
 #: name -> (part of the registered SQL, what stands there for the whole job), ...
 WHOLE = {
@@ -23,6 +25,14 @@ WHOLE = {
     "c12_encode_ids": [ALL_KNOWN],
     "c13_fetch_embeddings": [ALL_KNOWN],
     "p7_unseen_vectors": [(" WHERE substr(md5(node), 1, 1) < '8'", "")],
+    "k1_tokens": [TOKENS],
+    "k2_padded": [TOKENS, ("list_resize(tokens, 6, 0)", "list_resize(tokens, 50, 0)")],
+    "k3_sequence_embeddings": [TOKENS],
+    "k4_masked_items": [TOKENS],
+    "k6_detokenize": [("ORDER BY LINE_SEQ), 1, 5)", "ORDER BY LINE_SEQ), 1, 49)")],
+    "k7_encoded_history": GRID,
+    "k5_masked_history": GRID + [("(c // 4)", "(c // 30)"), ("(c % 4)", "(c % 30)")],
+    "j14_price_context": [("least(count(*), 4)", "least(count(*), 50)"), ("LINE_SEQ <= 4", "LINE_SEQ <= 50")],
 }
 
 
@@ -57,3 +67,16 @@ def test_unknown_values_take_the_default(spark):
     groups = spark.createDataFrame([("a", "g"), ("b", "g"), ("c", "h")], "node string, group string")
     got = {r.node: (r.vector, r.filled) for r in V.fill_unseen(known.withColumnRenamed("store_id", "node"), groups).collect()}
     assert got == {"a": ([1.0, 2.0], False), "b": ([1.0, 2.0], True), "c": (None, True)}
+
+
+def test_history_keeps_the_most_recent_baskets(spark):
+    past = [dict(products=[p, "z"]) for p in "abcd"]
+    rows = spark.createDataFrame([(1, past), (2, past[:1])], "basket_id long, history array<struct<products: array<string>>>")
+    vocab = S.build_vocab(spark.createDataFrame([(v,) for v in "abcdz"], "v string"), "v")
+    assert {r.basket_id: r.grid for r in S.encode_history(rows, vocab, 3, 2).collect()} == {1: [[2, 5], [3, 5], [4, 5]], 2: [[1, 5], [0, 0], [0, 0]]}
+
+
+def test_masked_samples_hold_whole_baskets(spark, con, small):
+    longest = con.sql("SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)").fetchall()[0][0]
+    assert longest > 6
+    assert max(len(r.masked.split(",")) for r in all_queries()["k13_masked_samples"](spark, small).select("masked").collect()) == longest

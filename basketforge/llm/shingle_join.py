@@ -130,16 +130,17 @@ def _sign(words: int, p: int, q: int):
         bands, seen = Bands(p, q), set()
         for batch in batches:
             sizes, one, two, keys, sketches = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 one.append(np.bitwise_xor.reduce(h) if len(h) else np.uint64(0))
                 two.append(np.add.reduce(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(h) else np.uint64(0))
-                # A task posts the pieces of one set once, however many copies it meets.
-                again = (int(one[-1]), int(two[-1])) in seen
+                # A task posts the pieces of one set once, however many copies it meets; rows without doc_id post none.
+                again = doc_id is None or (int(one[-1]), int(two[-1])) in seen
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add((int(one[-1]), int(two[-1])))
+                if doc_id is not None:
+                    seen.add((int(one[-1]), int(two[-1])))
                 keys.append(np.empty(0, np.int64) if again else piece_keys(h, bands).view(np.int64))
                 sketches.append(sketch(h))
             ends = np.cumsum([0] + [len(k) for k in keys])

@@ -291,6 +291,14 @@ def test_jaccard_awkward(spark):
     assert keep_one_of_each(table(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_jaccard_null_id_before_its_copy(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = table(spark, [(None, text), (2, text), (1, text + " more")]).coalesce(1)
+    got = Counter((r.doc_id, r.component_id) for r in JaccardJoin(3, 9, 10).groups(rows).collect())
+    assert got == Counter([(None, None), (2, 1), (1, 1)])
+    assert Counter(r.doc_id for r in keep_one_of_each(rows).collect()) == Counter([None, 1])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

@@ -18,7 +18,10 @@ by size and sketch, then verified on the whole texts.
 Defined cases: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; a text of fewer words than a shingle has is one
 shingle of all its words; a null doc_id is linked with nothing and its component
-is null; repeated rows are linked copies; extra columns are ignored.
+is null; repeated rows are linked copies; extra columns are ignored. Sets are told
+apart by their hashes, not by doc_id: where a doc_id repeats with different texts,
+each row has the links of its own text, and its component is named by the smallest
+doc_id there.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ PIECES_A_SPARE = 128
 KEY_BITS = 2**24
 #: Set hashes of which a task remembers that it has seen them.
 SEEN = 2**20
+#: Columns that tell shingle sets apart.
+WHOLE = ["n", "h1", "h2"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,7 +135,7 @@ def _sign(words: int, p: int, q: int):
         bands, seen = Bands(p, q), set()
         for batch in batches:
             sizes, one, two, keys, sketches = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 one.append(np.bitwise_xor.reduce(h) if len(h) else np.uint64(0))
@@ -147,19 +152,20 @@ def _sign(words: int, p: int, q: int):
             words_each = SKETCH_BITS // 64
             columns = [
                 batch.column(0),
+                batch.column(1),
                 pa.array(sizes, pa.int64()),
                 pa.array(np.array(one, np.uint64).view(np.int64)),
                 pa.array(np.array(two, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * words_each, pa.int32()), pa.array(np.concatenate(sketches) if keys else np.empty(0, np.int64))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "h1", "h2", "keys", "sketch"])
 
     return run
 
 
 def _verify(words: int, p: int, q: int):
-    """Rows (leader, salt, kind, id, text) in order, a leader's text (kind 0) before its members' -> linked pairs."""
+    """Rows (leader, salt, kind, class, text) in order, a leader's text (kind 0) before its members' -> linked pairs."""
 
     def run(batches):
         now, held = None, np.empty(0, np.uint64)
@@ -186,6 +192,11 @@ def _near(a: str, b: str, p: int, q: int) -> Column:
     return (small * q >= large * p) & (apart * (p + q) <= (small + large) * (q - p))
 
 
+def _text_hash(c: str) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.col(c).cast("string"))
+
+
 class JaccardJoin:
     """Groups of documents whose shingle sets have Jaccard similarity p/q or more."""
 
@@ -193,62 +204,81 @@ class JaccardJoin:
         self.words, self.p, self.q = words, p, q
 
     def signatures(self, docs: DataFrame) -> DataFrame:
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        schema = "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch array<long>"
+        rows = docs.select(F.col("doc_id").cast("long"), _text_hash("text"), F.col("text").cast("string"))
+        schema = "doc_id long, t long, n long, h1 long, h2 long, keys array<long>, sketch array<long>"
         return staged(rows.mapInArrow(_sign(self.words, self.p, self.q), schema), "signatures")
 
-    def _linked(self, pairs: DataFrame, docs: DataFrame, meta: DataFrame) -> DataFrame:
+    def _linked(self, pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of distinct pairs (leader, member) of class ids, those that are linked, as (a, b) with a < b.
 
         A leader's text goes once to every ``CHUNK`` of its members, not to each of them.
         """
-        for side in ("leader", "member"):
-            pairs = pairs.join(meta.toDF(side, f"n_{side}", f"s_{side}"), side)
-        pairs = staged(pairs.where(_near("leader", "member", self.p, self.q)).select("leader", "member"), "near-pairs")
+        ends = ("leader", "member")
+        for side in ends:
+            pairs = pairs.join(classes.select("cls", "n", "sketch", "id", "t").toDF(side, *(f"{c}_{side}" for c in ("n", "s", "id", "t"))), side)
+        pairs = staged(pairs.where(_near(*ends, self.p, self.q)).select(*ends, *(f"{c}_{side}" for side in ends for c in ("id", "t"))), "near-pairs")
         chunks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-        salted = pairs.join(chunks, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("salt"), "member")
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+        salted = pairs.join(chunks, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("chunks")))
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash("text").alias("t"), F.col("text").cast("string").alias("text")).where("text is not null")
         rows = None
-        for kind, side in enumerate(("leader", "member")):
+        for kind, side in enumerate(ends):
             # Texts of documents in no pair stay where they are, as far as the bit table tells.
-            wanted = in_table(bit_table(pairs.select(F.xxhash64(side).alias("code")), "code"), F.xxhash64("id"))
-            ends = salted.select("leader", "salt", F.col(side).alias("id")).distinct()
-            own = ends.join(texts.where(wanted), "id").select("leader", "salt", F.lit(kind).alias("kind"), "id", "text")
+            wanted = in_table(bit_table(pairs.select(F.xxhash64(f"id_{side}").alias("code")), "code"), F.xxhash64("id"))
+            own = salted.select("leader", "salt", F.col(side).alias("cls"), F.col(f"id_{side}").alias("id"), F.col(f"t_{side}").alias("t")).distinct()
+            own = own.join(texts.where(wanted), ["id", "t"]).select("leader", "salt", F.lit(kind).alias("kind"), "cls", "text")
             rows = own if rows is None else rows.union(own)
         ordered = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
         return ordered.mapInArrow(_verify(self.words, self.p, self.q), "a long, b long")
 
-    def groups(self, docs: DataFrame) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id (its group's smallest doc_id)."""
+    def _classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Signatures, classes of equal sets (cls, set, sketch, smallest doc_id and its text's hash), and their components (node, component)."""
         signed = self.signatures(docs)
-        whole = ["n", "h1", "h2"]
         sets = signed.where("n > 0 and doc_id is not null")
-        classes = staged(sets.groupBy(*whole).agg(F.min("doc_id").alias("cls"), F.first("sketch").alias("sketch")), "classes")
-        meta = classes.select(F.col("cls").alias("doc_id"), "n", "sketch")
+        classes = sets.groupBy(*WHOLE).agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("sketch").alias("sketch"))
+        # The numbers are written once and then only read, so they stay the same.
+        classes = staged(classes.select(F.monotonically_increasing_id().alias("cls"), *WHOLE, "sketch", F.col("least.doc_id").alias("id"), F.col("least.t").alias("t")), "classes")
         postings = sets.select(F.explode("keys").alias("key"), "h1")
         shared = staged(postings.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key"), "shared-keys")
         members = self._members(sets, shared).join(shared, "key").distinct()
         rest = members.join(classes.select("h1", "cls"), "h1").select("key", "cls")
         rest = staged(rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key"), "postings")
-        links, tried = None, None
+        links, tried, joined = None, None, None
         for turn in range(STAR_ROUNDS + 1):
             if rest.isEmpty():
                 break
-            pairs = self._stars(rest, turn) if turn < STAR_ROUNDS else self._across(rest, meta)
+            pairs = self._stars(rest, turn) if turn < STAR_ROUNDS else self._across(rest, classes)
             if tried is not None:
                 pairs = pairs.join(tried.union(tried.select("member", "leader")), ["leader", "member"], "left_anti")
             pairs = staged(pairs, "pairs")
-            found = staged(self._linked(pairs, docs, meta), "links")
+            found = staged(self._linked(pairs, docs, classes), "links")
             links = found if links is None else links.union(found)
             tried = pairs if tried is None else tried.union(pairs)
             joined = connected_components(links)
             if turn < STAR_ROUNDS:
                 rest = staged(self._apart(rest, joined), "postings")
-        rows = signed.select("doc_id", *whole).join(classes.select("cls", *whole), whole, "left")
-        if links is None:
-            return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("component_id"))
+        return signed, classes, joined
+
+    def groups(self, docs: DataFrame) -> DataFrame:
+        """One row per document: doc_id, n_shingles, component_id (its group's smallest doc_id)."""
+        signed, classes, joined = self._classes(docs)
+        rows = signed.select("doc_id", *WHOLE).join(classes.select("cls", "id", *WHOLE), WHOLE, "left")
+        name = F.coalesce("id", "doc_id")
+        if joined is not None:
+            # Only classes in links have another name than their own.
+            ends = joined.union(joined.select("component", "component").distinct())
+            least = ends.join(classes.select(F.col("cls").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("first"))
+            rows = rows.join(ends.join(least, "component").select("node", "first"), F.col("cls") == F.col("node"), "left")
+            name = F.coalesce("first", "id", "doc_id")
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), name).alias("component_id"))
+
+    def parts(self, docs: DataFrame) -> DataFrame:
+        """One row per document: doc_id, t (hash of its text), part (number of its group; null for an empty set)."""
+        signed, classes, joined = self._classes(docs)
+        rows = signed.select("doc_id", "t", *WHOLE).join(classes.select("cls", *WHOLE), WHOLE, "left")
+        if joined is None:
+            return rows.select("doc_id", "t", F.col("cls").alias("part"))
         rows = rows.join(joined, rows["cls"] == joined["node"], "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id")).alias("component_id"))
+        return rows.select("doc_id", "t", F.coalesce("component", "cls").alias("part"))
 
     def _members(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
         """(key, h1) of the sets, for keys that may be shared: a bit table passes over most others before the join."""
@@ -299,9 +329,9 @@ class JaccardJoin:
         mixed = now.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
         return now.join(mixed, "key", "left_semi")
 
-    def _across(self, rest: DataFrame, meta: DataFrame) -> DataFrame:
+    def _across(self, rest: DataFrame, classes: DataFrame) -> DataFrame:
         """All pairs of a group whose members are in different components and near by size and sketch."""
-        rows = rest.join(meta, rest["cls"] == meta["doc_id"]).select("key", "cls", "part", "n", "sketch")
+        rows = rest.join(classes.select("cls", "n", "sketch"), "cls").select("key", "cls", "part", "n", "sketch")
         a, b = rows.toDF("key", "a", "part_a", "n_a", "s_a"), rows.toDF("key", "b", "part_b", "n_b", "s_b")
         near = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _near("a", "b", self.p, self.q)
         return a.join(b, "key").where(near).select(F.col("a").alias("leader"), F.col("b").alias("member")).distinct()
@@ -310,16 +340,18 @@ class JaccardJoin:
 def keep_one_of_each(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5) -> DataFrame:
     """``docs`` without all but the first document of each group; rows without doc_id stay.
 
-    Of rows that repeat a doc_id one stays.
+    A row is dropped only for one of its own group, or for one of the same doc_id
+    and text: where a doc_id repeats with unlike texts, each of them stays.
     """
-    groups = JaccardJoin(words, p, q).groups(docs)
-    ids = staged(groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "groups")
-    kept = ids.where("doc_id is null or doc_id = first").select(F.col("doc_id").alias("kept_id"), "rows")
+    rows = JaccardJoin(words, p, q).parts(docs).where("doc_id is not null")
+    ids = staged(rows.groupBy("doc_id", "t").agg(F.min("part").alias("part"), F.count("*").alias("rows")), "groups")
+    firsts = ids.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "t", "rows")).alias("k")).select("k.*")
+    kept = firsts.union(ids.where("part is null").select("doc_id", "t", "rows")).toDF("kept_id", "kept_t", "rows")
     # The row travels as one column, so that its names cannot clash.
-    rows = docs.select(F.struct("*").alias("doc"))
-    there = rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
-    single = there.where("rows = 1 or kept_id is null").select("doc.*")
-    return single.union(there.where("rows > 1 and kept_id is not null").dropDuplicates(["kept_id"]).select("doc.*"))
+    all_rows = docs.select(F.struct("*").alias("doc"))
+    there = all_rows.join(kept, (F.col("doc.doc_id").cast("long") == F.col("kept_id")) & (_text_hash("doc.text") == F.col("kept_t")))
+    single = there.where("rows = 1").select("doc.*").union(all_rows.where("doc.doc_id is null").select("doc.*"))
+    return single.union(there.where("rows > 1").dropDuplicates(["kept_id", "kept_t"]).select("doc.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

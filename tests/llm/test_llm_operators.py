@@ -299,6 +299,16 @@ def test_jaccard_null_id_before_its_copy(spark):
     assert Counter(r.doc_id for r in keep_one_of_each(rows).collect()) == Counter([None, 1])
 
 
+def test_jaccard_repeated_id_of_unlike_texts(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    texts = [(7, one), (7, other), (7, other), (8, one + " more"), (9, other + " more"), (5, other + " more still"), (3, ""), (3, None), (3, "c d")]
+    for rows in (texts, texts[::-1]):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in JaccardJoin(3, 9, 10).groups(table(spark, rows).coalesce(1)).collect())
+        assert got == Counter([(7, 58, 7), (8, 59, 7), (7, 58, 5), (7, 58, 5), (9, 59, 5), (5, 60, 5), (3, 0, 3), (3, 0, 3), (3, 1, 3)])
+        kept = Counter((r.doc_id, r.text) for r in keep_one_of_each(table(spark, rows).coalesce(1)).collect())
+        assert kept == Counter([texts[0], texts[5], *texts[6:]])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

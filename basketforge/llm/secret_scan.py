@@ -5,9 +5,10 @@ spans are added: candidate strings are runs of 20 or more token characters that
 mix letters and digits; over each, a window of ``WINDOW`` characters slides, and
 counts of the characters in it, changed by one in and one out, carry the sum of
 c log2 c from which the window's Shannon entropy follows. The span is the hull of
-the windows at or over the threshold of the string's character class. Strings of
-the allow list (UUIDs, word paths, alphabets, placeholders) and strings that
-overlap a base span are suppressed.
+the windows at or over the threshold of the string's character class. Base spans,
+and pieces between ``=`` and ``/`` that hold an alphabet or a placeholder word, are
+blanked before, so that what is left of a run on either side is judged as a string
+of its own. Strings of the allow list (UUIDs, word paths) are suppressed.
 
 Places count code points, ends are exclusive. Defined cases: null and empty texts
 have no spans; repeated rows are scanned once each; extra columns are ignored.
@@ -34,9 +35,9 @@ THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.8}
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[/_-]*[A-Za-z]+([/_-]+[A-Za-z]+)*[/_=-]*[0-9]*[/_=-]*$",
-    r"(?i)(abcdefghij|0123456789|1234567890|qwertyuiop)",
-    r"(?i)(example|sample|placeholder|dummy|changeme|xxxx)",
 )
+#: Pieces of a run, between = and /, that hold an alphabet or a placeholder word, with the = and / beside them.
+PIECE = r"(?i)(?:(?<![=/])[=/]++|(?<![A-Z0-9+_-]))[A-Z0-9+_-]*?(?:abcdefghij|0123456789|1234567890|qwertyuiop|example|sample|placeholder|dummy|changeme|xxxx)[A-Z0-9+_-]*+[=/]*+"
 BLOCK = 256
 
 
@@ -65,6 +66,23 @@ def _places(df: DataFrame, pattern: str, name: str) -> DataFrame:
     return df.withColumn(starts, lead).drop(gaps, sums)
 
 
+def _blanked(pattern: str, found: str | None = None, keep=None) -> Column:
+    """The text with each match of a pattern replaced by as many blanks, except those that ``keep`` names by place."""
+    m = F.col(found) if found else F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    blanks = F.transform(m, lambda x, k: F.when(keep(k), x).otherwise(F.repeat(F.lit(" "), F.length(x))) if keep else F.repeat(F.lit(" "), F.length(x)))
+    return F.when(F.size(m) > 0, F.array_join(F.zip_with(F.split("t", pattern, -1), blanks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("t"))
+
+
+def _free() -> Column:
+    """The text with base spans and placeholder pieces blanked: all matches are of the whole text, so their blanks are put together."""
+    short = lambda k: F.length(F.get("a_v", k)) < ASSIGN_LEAST
+    texts = [_blanked(PIECE), _blanked(ASSIGN, "a_m", short), _blanked(ACCESS, "k_m"), _blanked(HEX, "x_m")]
+    out, *rest = (F.split(x, "") for x in texts)
+    for x in rest:
+        out = F.zip_with(out, x, lambda a, b: F.when(b == " ", b).otherwise(a))
+    return F.when(F.size("base") > 0, F.array_join(out, "")).otherwise(texts[0])
+
+
 def _spans(name: str, kind: int) -> Column:
     m, s = f"{name}_m", f"{name}_s"
     return F.transform(m, lambda x, k: F.struct(F.get(s, k).alias("start"), F.lit(kind).alias("kind"), (F.get(s, k) + F.length(x)).alias("end")))
@@ -106,11 +124,12 @@ def entropy_hull(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and its spans, structs (start, kind number, end) in order."""
     df = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("x", HEX), ("c", CANDIDATE)):
+    for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("x", HEX)):
         df = _places(df, pattern, name)
     df = df.withColumn("a_v", F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)))
     assign = F.filter(_spans("a", 0), lambda s, k: F.length(F.get("a_v", k)) >= ASSIGN_LEAST)
     df = df.withColumn("base", F.array_sort(F.concat(assign, _spans("k", 1), _spans("x", 2))))
+    df = _places(df.withColumn("t", _free()), CANDIDATE, "c")
     strings = F.transform("c_m", lambda x, k: F.struct(x.alias("x"), F.get("c_s", k).alias("start")))
     allowed = lambda x: F.lit(False) if not ALLOW else _any(x.rlike(p) for p in ALLOW)
     mixed = F.filter(strings, lambda c: c["x"].rlike("[0-9]") & c["x"].rlike("[A-Za-z]") & ~allowed(c["x"]))
@@ -118,8 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hulls = F.transform("strings", lambda c: F.struct(c["start"].alias("at"), entropy_hull(c["x"]).alias("h")))
     added = F.transform(F.filter(hulls, lambda c: c["h"]["lo"] >= 0), lambda c: F.struct((c["at"] + c["h"]["lo"]).alias("start"), F.lit(3).alias("kind"), (c["at"] + c["h"]["hi"]).alias("end")))
     df = df.withColumn("added", added)
-    free = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.select("doc_id", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    return df.select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
 def _any(tests) -> Column:

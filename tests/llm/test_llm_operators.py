@@ -203,6 +203,17 @@ def test_entropy_adds_random_strings_only(spark):
     assert secret_scan.scan(table(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+def test_entropy_beside_placeholders_and_base_spans(spark):
+    key, more = "Zx9Qv7Lm2Tr8Ws4Yk6Bn3Hd1", "Gq5Wz8Rt1Yp4Xc7Vb2Nm9Jk6"
+    hexes = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+    texts = [f"SAMPLE_KEY={key}", f"/example/{key}/", f"é😀 {key}/dummy/{more}", f"{key}_{hexes}_{more}", f"{key}/sample", f"sample={hexes}x {key}", f"x/{key}xxxx", "=" * 40_000, "sample" * 20_000, "z" * 100_000, f"😀 api_key: {hexes}; {key}"]
+    got = {r.doc_id: r.s for r in secret_scan.scan(table(spark, list(enumerate(texts)))).select("doc_id", secret_scan._text("spans").alias("s")).collect()}
+    assert got[0] == "entropy:11:35" and got[1].split(":")[:2] == ["entropy", "9"] and got[2] == "entropy:3:27,entropy:34:58"
+    assert [x.split(":")[0] for x in got[3].split(",")] == ["entropy", "hex", "entropy"]
+    assert got[4] == "entropy:0:24" and got[5] == "hex:7:39,entropy:41:65" and not any(got[k] for k in (6, 7, 8, 9))
+    assert got[10].split(",")[-1] == "entropy:45:69" and len(got[10].split(",")) == 3
+
+
 # decontamination
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,20 +33,48 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-basketforge-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
 
 
+#: Spark's own switch for removing a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Where the tables behind staged DataFrames are.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of that table.
 
     Cuts the lineage, so that a lost executor costs the tasks it ran and not
-    the whole history, and keeps costly columns from being computed twice.
+    the whole history, and keeps costly columns from being computed twice. The
+    write's shuffle files go when it ends: what follows reads the table.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/basketforge/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    _places[made] = path
+    return made
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again (whatever was made of them is written by then)."""
+    for made in tables:
+        path = _places.pop(made, None) if made is not None else None
+        if path:
+            spark = made.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

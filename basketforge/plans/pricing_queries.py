@@ -111,7 +111,7 @@ def _cells_wanted(t):
 
 _WANTED = """wanted AS (
   SELECT a.product_id, a.store_id, b.week FROM (SELECT DISTINCT PROD_CODE AS product_id, STORE_CODE AS store_id FROM priced) a
-  JOIN (SELECT DISTINCT STORE_CODE AS store_id, SHOP_WEEK AS week FROM priced) b USING (store_id) WHERE week % 100 <= 4)"""
+  JOIN (SELECT DISTINCT STORE_CODE AS store_id, SHOP_WEEK AS week FROM priced) b USING (store_id))"""
 
 
 @register(

@@ -27,10 +27,8 @@ from basketforge.plans.temporal_queries import CALENDAR, META, PAIRS, meta, pair
 from basketforge.sources.transactions import transactions as tx
 
 _VOCAB = "vocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT PROD_CODE AS value FROM tx)), svocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT STORE_CODE AS value FROM tx))"
-_TOK = "tok AS (SELECT BASKET_ID AS basket_id, list_concat(list_slice(list(idx ORDER BY LINE_SEQ), 1, 5), [(SELECT max(idx) + 1 FROM vocab)]) AS tokens FROM tx JOIN vocab ON value = PROD_CODE GROUP BY ALL)"
+_TOK = "tok AS (SELECT BASKET_ID AS basket_id, list_concat(list_slice(list(idx ORDER BY LINE_SEQ), 1, 49), [(SELECT max(idx) + 1 FROM vocab)]) AS tokens FROM tx JOIN vocab ON value = PROD_CODE GROUP BY ALL)"
 TOKENS = f"{TX}, {_VOCAB}, {_TOK}"
-#: Width that the registered SQL still carries.
-LENGTH = 6
 #: Tokens of a basket, and items of its price context.
 TOKEN_LENGTH = 50
 
@@ -57,7 +55,7 @@ def k11(spark, sf):
     return tidy(S.vocab_bundle(tx(spark, sf)))
 
 
-@register("c12_encode_ids", with_sql(f"{META}, v AS (SELECT value, row_number() OVER (ORDER BY value) AS idx FROM (SELECT DISTINCT store_id AS value FROM meta WHERE week <= 2))", "SELECT basket_id, coalesce(idx, 0) AS store_idx FROM meta LEFT JOIN v ON value = store_id"))
+@register("c12_encode_ids", with_sql(f"{META}, v AS (SELECT value, row_number() OVER (ORDER BY value) AS idx FROM (SELECT DISTINCT store_id AS value FROM meta))", "SELECT basket_id, coalesce(idx, 0) AS store_idx FROM meta LEFT JOIN v ON value = store_id"))
 def c12(spark, sf):
     m = meta(spark, sf)
     return tidy(S.encode_ids(m.select("basket_id", "store_id"), S.build_vocab(m, "store_id"), "store_id", "store_idx").select("basket_id", "store_idx"))
@@ -68,7 +66,7 @@ def k1(spark, sf):
     return tidy(_tokens(spark, sf).select("basket_id", _joined("tokens").alias("tokens")))
 
 
-@register("k2_padded", with_sql(TOKENS, f"SELECT basket_id, array_to_string(list_resize(tokens, {LENGTH}, 0), ',') AS padded, len(tokens) AS ones, len(tokens) AS length FROM tok"))
+@register("k2_padded", with_sql(TOKENS, f"SELECT basket_id, array_to_string(list_resize(tokens, {TOKEN_LENGTH}, 0), ',') AS padded, len(tokens) AS ones, len(tokens) AS length FROM tok"))
 def k2(spark, sf):
     p = S.pad_sequences(_tokens(spark, sf), TOKEN_LENGTH)
     return tidy(p.select("basket_id", _joined("padded").alias("padded"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("ones"), "length"))
@@ -143,7 +141,7 @@ def k4(spark, sf):
     return tidy(m.select("basket_id", *(_joined(c).alias(c) for c in ("masked", "positions", "targets"))))
 
 
-@register("k6_detokenize", with_sql(f"{TX}, {_VOCAB}", "SELECT BASKET_ID AS basket_id, array_to_string(list_slice(list(PROD_CODE ORDER BY LINE_SEQ), 1, 5), ';') AS vals FROM tx GROUP BY ALL"))
+@register("k6_detokenize", with_sql(f"{TX}, {_VOCAB}", "SELECT BASKET_ID AS basket_id, array_to_string(list_slice(list(PROD_CODE ORDER BY LINE_SEQ), 1, 49), ';') AS vals FROM tx GROUP BY ALL"))
 def k6(spark, sf):
     return tidy(S.detokenize(_tokens(spark, sf), _vocab(spark, sf)).select("basket_id", F.array_join("values", ";").alias("vals")))
 
@@ -153,8 +151,8 @@ def _histories(spark, sf):
 
 
 _GRID = f"""{META}, {_VOCAB}, ids AS (SELECT BASKET_ID AS basket_id, list(idx ORDER BY LINE_SEQ) AS ids FROM tx JOIN vocab ON value = PROD_CODE GROUP BY ALL),
-gh AS (SELECT basket_id, list(list_resize(list_slice(ids, 1, 4), 4, 0)) OVER (PARTITION BY customer_id ORDER BY week, basket_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS g FROM meta JOIN ids USING (basket_id) WHERE customer_id IS NOT NULL),
-grid AS (SELECT basket_id, list_resize(flatten(list_slice(g, 1, 3)), 12, 0) AS grid FROM gh WHERE len(g) > 0)"""
+gh AS (SELECT basket_id, list(list_resize(list_slice(ids, 1, 30), 30, 0)) OVER (PARTITION BY customer_id ORDER BY week, basket_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS g FROM meta JOIN ids USING (basket_id) WHERE customer_id IS NOT NULL),
+grid AS (SELECT basket_id, list_resize(flatten(list_slice(g, -50, -1)), 1500, 0) AS grid FROM gh WHERE len(g) > 0)"""
 
 
 @register("k7_encoded_history", with_sql(_GRID, "SELECT basket_id, array_to_string(grid, ',') AS grid FROM grid"))
@@ -163,7 +161,7 @@ def k7(spark, sf):
     return tidy(g.select("basket_id", _joined(F.flatten("grid")).alias("grid")))
 
 
-@register("k5_masked_history", with_sql(f"{_GRID}, cells AS (SELECT basket_id, unnest(grid) AS x, generate_subscripts(grid, 1) - 1 AS c FROM grid), ch AS (SELECT *, x <> 0 AND {_U(chr(39) + '9' + chr(39), 'basket_id', '(c // 4)', '(c % 4)')} < 0.15::DOUBLE AS m FROM cells)", "SELECT basket_id, string_agg(CASE WHEN m THEN 999 ELSE x END, ',' ORDER BY c) AS masked, string_agg(CASE WHEN m THEN x ELSE -100 END, ',' ORDER BY c) AS labels FROM ch GROUP BY ALL"))
+@register("k5_masked_history", with_sql(f"{_GRID}, cells AS (SELECT basket_id, unnest(grid) AS x, generate_subscripts(grid, 1) - 1 AS c FROM grid), ch AS (SELECT *, x <> 0 AND {_U(chr(39) + '9' + chr(39), 'basket_id', '(c // 30)', '(c % 30)')} < 0.15::DOUBLE AS m FROM cells)", "SELECT basket_id, string_agg(CASE WHEN m THEN 999 ELSE x END, ',' ORDER BY c) AS masked, string_agg(CASE WHEN m THEN x ELSE -100 END, ',' ORDER BY c) AS labels FROM ch GROUP BY ALL"))
 def k5(spark, sf):
     g = S.mask_history(S.encode_history(_histories(spark, sf), _vocab(spark, sf)), 999)
     return tidy(g.select("basket_id", *(_joined(F.flatten(c)).alias(c) for c in ("masked", "labels"))))
@@ -210,7 +208,7 @@ def c11(spark, sf):
     return tidy(_items(spark, sf).select("BASKET_ID", "LINE_SEQ", *told("features")), 4)
 
 
-@register("j14_price_context", with_sql(_ITEMS, "SELECT BASKET_ID AS basket_id, CAST(least(count(*), 4) AS BIGINT) AS items, sum(CASE WHEN LINE_SEQ <= 4 THEN list_sum(v) ELSE 0 END) AS total FROM found GROUP BY ALL", "total", 3))
+@register("j14_price_context", with_sql(_ITEMS, "SELECT BASKET_ID AS basket_id, CAST(least(count(*), 50) AS BIGINT) AS items, sum(CASE WHEN LINE_SEQ <= 50 THEN list_sum(v) ELSE 0 END) AS total FROM found GROUP BY ALL", "total", 3))
 def j14(spark, sf):
     items = _items(spark, sf).select(F.col("BASKET_ID").alias("basket_id"), F.col("LINE_SEQ").alias("position"), "features")
     c = V.price_context(items, TOKEN_LENGTH)
@@ -388,7 +386,7 @@ def k13(spark, sf):
     return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", *told("vector")))
 
 
-@register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta WHERE week <= 2)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))
+@register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))
 def c13(spark, sf):
     m = meta(spark, sf)
     known = m.select("store_id").distinct().withColumn("vector", V.hash_vector(F.col("store_id"), 8))
@@ -401,7 +399,7 @@ def j18(spark, sf):
     return tidy(v.select("value", "idx", *told("vector")), 5)
 
 
-_UNSEEN = f"""grp AS (SELECT DISTINCT PROD_CODE AS node, PROD_CODE_10 AS grp FROM tx), own AS (SELECT node, grp, list_sum(v) AS s, list_sum(list_transform(range(1, 9), lambda i: v[i] * i)) AS d FROM (SELECT node, grp, {hash_sql('node', 8)} AS v FROM grp WHERE substr(md5(node), 1, 1) < '8')),
+_UNSEEN = f"""grp AS (SELECT DISTINCT PROD_CODE AS node, PROD_CODE_10 AS grp FROM tx), own AS (SELECT node, grp, list_sum(v) AS s, list_sum(list_transform(range(1, 9), lambda i: v[i] * i)) AS d FROM (SELECT node, grp, {hash_sql('node', 8)} AS v FROM grp)),
 gm AS (SELECT grp, avg(s) AS s, avg(d) AS d FROM own GROUP BY ALL)"""
 
 

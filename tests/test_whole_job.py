@@ -1,55 +1,19 @@
-"""Registered queries answer for all of their input.
-
-The registered SQL of these queries carries the cut that the query had before, so
-they are compared here with that SQL without the cut.
-"""
+"""Registered queries answer for all of their input."""
 
 import pytest
-from compare import differences, duck
+from compare import duck
 from test_rules import lines
 
 from basketforge.operators import pricing as P
 from basketforge.operators import sequences as S
 from basketforge.operators import vectors as V
-from basketforge.plans import all_queries, all_sql, pricing_queries
-
-ALL_WEEKS = (" WHERE week % 100 <= 4", "")
-ALL_KNOWN = (" WHERE week <= 2", "")
-TOKENS = ("list_slice(list(idx ORDER BY LINE_SEQ), 1, 5)", "list_slice(list(idx ORDER BY LINE_SEQ), 1, 49)")
-GRID = [("list_resize(list_slice(ids, 1, 4), 4, 0)", "list_resize(list_slice(ids, 1, 30), 30, 0)"), ("list_resize(flatten(list_slice(g, 1, 3)), 12, 0)", "list_resize(flatten(list_slice(g, -50, -1)), 1500, 0)")]
-
-#: name -> (part of the registered SQL, what stands there for the whole job), ...
-WHOLE = {
-    "p1_waterfall": [ALL_WEEKS],
-    "p2_forward_fill": [ALL_WEEKS],
-    "c12_encode_ids": [ALL_KNOWN],
-    "c13_fetch_embeddings": [ALL_KNOWN],
-    "p7_unseen_vectors": [(" WHERE substr(md5(node), 1, 1) < '8'", "")],
-    "k1_tokens": [TOKENS],
-    "k2_padded": [TOKENS, ("list_resize(tokens, 6, 0)", "list_resize(tokens, 50, 0)")],
-    "k3_sequence_embeddings": [TOKENS],
-    "k4_masked_items": [TOKENS],
-    "k6_detokenize": [("ORDER BY LINE_SEQ), 1, 5)", "ORDER BY LINE_SEQ), 1, 49)")],
-    "k7_encoded_history": GRID,
-    "k5_masked_history": GRID + [("(c // 4)", "(c // 30)"), ("(c % 4)", "(c % 30)")],
-    "j14_price_context": [("least(count(*), 4)", "least(count(*), 50)"), ("LINE_SEQ <= 4", "LINE_SEQ <= 50")],
-}
-
+from basketforge.plans import all_queries, pricing_queries
 
 @pytest.fixture(scope="module")
 def con(small):
     return duck(small)
 
 
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_rows(spark, con, small, name):
-    sql = all_sql()[name]
-    for cut, whole in WHOLE[name]:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    assert differences(spark, con, all_queries()[name], sql, small) == ""
-
-
 def test_wanted_cells_and_fill_cover_late_weeks(spark):
     tx = lines(spark, [dict(BASKET_ID=1, SHOP_WEEK=200604, SPEND=4.0), dict(BASKET_ID=2, SHOP_WEEK=200630, SPEND=6.0), dict(BASKET_ID=3, SHOP_WEEK=200640, PROD_CODE="P2"), dict(BASKET_ID=4, SHOP_WEEK=200701, PROD_CODE="P2")])
     wanted = pricing_queries._cells_wanted(tx)

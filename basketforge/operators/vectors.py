@@ -5,7 +5,9 @@ Nothing is trained; weights are fixed by seeds.
 
 from __future__ import annotations
 
-from math import pi
+import hashlib
+from functools import lru_cache
+from math import cos, log, pi, sqrt
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -40,8 +42,9 @@ def norm(values: Column) -> Column:
 
 def unit(values: Column) -> Column:
     """Scaled to length 1; a zero vector stays zero."""
-    n = norm(values)
-    return F.transform(values, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    # One-element arrays name a value inside an expression, so that it is made once and not for each number.
+    named = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.get(F.transform(named, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def embedding_table(df: DataFrame, name: str, column: str, width: int) -> DataFrame:
@@ -50,10 +53,43 @@ def embedding_table(df: DataFrame, name: str, column: str, width: int) -> DataFr
     return values.withColumn("vector", hash_vector(F.concat(F.lit(f"{name}:"), "value"), width))
 
 
+#: Labels whose vectors are constants of a plan; vectors of any others are made row by row.
+KNOWN_LABELS = {
+    "week": [str(k) for k in range(1, 54)],
+    "weekday": [str(k) for k in range(1, 8)],
+    "hour": [str(k) for k in range(24)],
+    "season": ["spring", "summer", "autumn", "fall", "winter"],
+    "type": ["Top Up", "Full Shop", "Small Shop", "Emergency"],
+    "focus": ["Fresh", "Grocery", "Mixed", "Nonfood"],
+    "sensitivity": ["LA", "MM", "UM"],
+    "size": ["S", "M", "L"],
+    "format": ["LS", "MS", "SS"],
+}
+
+
+def hash_numbers(key: str, width: int, scale: float = SCALE) -> list[float]:
+    """The numbers of ``hash_vector`` for one key."""
+    out = []
+    for k in range(width):
+        digits = hashlib.md5(f"{key}:{k}".encode()).hexdigest()
+        one, two = ((int(digits[at : at + 8], 16) + 1) / 4294967297.0 for at in (0, 8))
+        out.append(sqrt(log(one) * -2.0) * cos(two * (2 * pi)) * scale)
+    return out
+
+
+@lru_cache(maxsize=64)
+def _label_table(name: str, width: int) -> str:
+    rows = (f"'{x}', array({', '.join(f'{v!r}D' for v in hash_numbers(f'{name}:{x}', width))})" for x in KNOWN_LABELS[name])
+    return f"map({', '.join(rows)})"
+
+
 def label_vector(name: str, value: Column, width: int) -> Column:
     """The vector of a label; null and UNK give zeros."""
     zeros = F.array_repeat(F.lit(0.0), width)
-    return F.when(value.isNull() | (value == "UNK"), zeros).otherwise(hash_vector(F.concat(F.lit(f"{name}:"), value), width))
+    made = hash_vector(F.concat(F.lit(f"{name}:"), value), width)
+    if name in KNOWN_LABELS:
+        made = F.coalesce(F.try_element_at(F.expr(_label_table(name, width)), value), made)
+    return F.when(value.isNull() | (value == "UNK"), zeros).otherwise(made)
 
 
 def fetch_embeddings(keys: DataFrame, embeddings: DataFrame, key: str, width: int) -> DataFrame:
@@ -85,6 +121,7 @@ def aggregate_hop(features: DataFrame, edges: DataFrame, width: int) -> DataFram
     return df.select("node", F.concat("vector", *(F.coalesce(F.col(t), zeros) for t in EDGE_TYPES)).alias("vector"))
 
 
+@lru_cache(maxsize=8)
 def _weights(rows: int, columns: int, nth: int) -> np.ndarray:
     """The fixed weight matrix of a layer."""
     return np.random.default_rng([SEED, rows, columns, nth]).standard_normal((rows, columns)) * np.sqrt(2.0 / rows)

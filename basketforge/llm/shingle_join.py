@@ -5,8 +5,11 @@ the bits that shingles hash to gives a parity sketch: two sketches differ in at
 most as many bits as the sets have elements that only one of them holds. Two
 documents of similarity p/q differ in at most s (q-p)/(q+p) elements, s being the
 sum of their sizes. So sizes fall into bands, each band deals the elements into
-one more piece than the largest difference there, and at least one piece of a
+more pieces than the largest difference there, and at least one piece of a
 linked pair is equal (pigeonhole): pieces are joined on the XOR of their hashes.
+Empty pieces are equal in all texts and would join any two of them. So a band has
+spare pieces, so that all but very few sets fill more of them than a linked pair
+can differ in, and one of those is equal; only those few post empty pieces too.
 
 Exact copies are one class from the start. In each group of equal pieces only a
 few leaders are compared with the other members; components over the links found
@@ -26,6 +29,9 @@ doc_id there.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 
 from basketforge.llm.bit_table import bit_table, in_table
 from basketforge.llm.components import connected_components
-from basketforge.session import staged
+from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
 SKETCH_BITS = 1024
@@ -42,12 +48,12 @@ LEADER_ORDERS = 3
 STAR_ROUNDS = 3
 #: Members that share one copy of their leader's text.
 CHUNK = 256
-#: Spare pieces, so that a pair's equal pieces are not all empty ones.
-PIECES_A_SPARE = 128
+#: The chance that a set leaves so many pieces empty that it posts them too, and the deviations that it comes to.
+EMPTY_ODDS, EMPTY_DEVIATIONS = 1e-6, 5.0
 #: Bits of the table of shared keys that tasks hold (2 MB): it only saves rows of a join.
 KEY_BITS = 2**24
-#: Set hashes of which a task remembers that it has seen them.
-SEEN = 2**20
+#: Sets of which a task remembers that it has seen them.
+SEEN = 2**17
 #: Columns that tell shingle sets apart.
 WHOLE = ["n", "h1", "h2"]
 
@@ -77,6 +83,7 @@ class Bands:
 
     def __init__(self, p: int, q: int):
         self.p, self.q, self.starts = p, q, [1]
+        self._pieces: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -95,6 +102,29 @@ class Bands:
             self.of(self.starts[-1])
         return 2 * (self.starts[band + 1] - 1) * (self.q - self.p) // (self.q + self.p)
 
+    def pieces(self, band: int) -> int:
+        """Pieces of a band: enough for its least set to leave fewer of them empty than would match by themselves.
+
+        Of P pieces, n elements leave P e^-x empty on average, x = n / P. Few are as good as
+        independent (Chernoff's bound); many are normal, with variance P e^-x (1 - (1 + x) e^-x).
+        """
+        if band not in self._pieces:
+            d = self.differ(band)
+            # Sets of the band before post here too, if they may link with one of this band.
+            n, made = -(-self.starts[band] * self.p // self.q), d + 1
+
+            def surely_filled(made: int) -> bool:
+                x, most = n / made, made - d
+                empty = made * math.exp(-x)
+                if empty < 3:
+                    return most > empty and most * math.log(most / empty) - most + empty >= -math.log(EMPTY_ODDS)
+                return empty + EMPTY_DEVIATIONS * math.sqrt(empty * (1 - (1 + x) * math.exp(-x))) < most - 0.5
+
+            while not surely_filled(made) and made < 64 * n:
+                made += 1 + made // 64
+            self._pieces[band] = made
+        return self._pieces[band]
+
     def tables(self, n: int) -> list[int]:
         """Bands in which a set of n elements is dealt into pieces: its own, and the next if it may link there."""
         own = self.of(n)
@@ -107,9 +137,7 @@ def piece_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     """Join keys: (band, piece, XOR of the piece's hashes), hashed together."""
     out = []
     for band in bands.tables(len(hashes)) if len(hashes) else ():
-        pieces = bands.differ(band) + 1
-        spare = 1 + pieces // PIECES_A_SPARE
-        pieces += spare
+        pieces, differ = bands.pieces(band), bands.differ(band)
         piece = (hashes >> np.uint64(11)) % np.uint64(pieces)
         piece = piece.astype(np.uint16 if pieces < 65_536 else np.int64)
         order = np.argsort(piece, kind="stable")
@@ -117,7 +145,7 @@ def piece_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, sorted_piece[1:] != sorted_piece[:-1]])
         value = np.bitwise_xor.reduceat(hashes[order], starts)
         which = sorted_piece[starts].astype(np.uint64)
-        if pieces - len(which) > spare:
+        if len(which) <= differ:
             empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), which)
             which, value = np.append(which, empty), np.append(value, np.zeros(len(empty), np.uint64))
         out.append(_mix(_mix(which * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)) ^ value))
@@ -141,11 +169,12 @@ def _sign(words: int, p: int, q: int):
                 one.append(np.bitwise_xor.reduce(h) if len(h) else np.uint64(0))
                 two.append(np.add.reduce(_mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(h) else np.uint64(0))
                 # A task posts the pieces of one set once, however many copies it meets; rows without doc_id post none.
-                again = doc_id is None or (int(one[-1]), int(two[-1])) in seen
+                whole = int(_mix(one[-1:]) ^ two[-1])
+                again = doc_id is None or whole in seen
                 if len(seen) >= SEEN:
                     seen.clear()
                 if doc_id is not None:
-                    seen.add((int(one[-1]), int(two[-1])))
+                    seen.add(whole)
                 keys.append(np.empty(0, np.int64) if again else piece_keys(h, bands).view(np.int64))
                 sketches.append(sketch(h))
             ends = np.cumsum([0] + [len(k) for k in keys])
@@ -228,7 +257,9 @@ class JaccardJoin:
             own = own.join(texts.where(wanted), ["id", "t"]).select("leader", "salt", F.lit(kind).alias("kind"), "cls", "text")
             rows = own if rows is None else rows.union(own)
         ordered = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-        return ordered.mapInArrow(_verify(self.words, self.p, self.q), "a long, b long")
+        links = staged(ordered.mapInArrow(_verify(self.words, self.p, self.q), "a long, b long"), "links")
+        dropped(pairs)
+        return links
 
     def _classes(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """Signatures, classes of equal sets (cls, set, sketch, smallest doc_id and its text's hash), and their components (node, component)."""
@@ -240,28 +271,33 @@ class JaccardJoin:
         postings = sets.select(F.explode("keys").alias("key"), "h1")
         shared = staged(postings.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key"), "shared-keys")
         members = self._members(sets, shared).join(shared, "key").distinct()
-        rest = members.join(classes.select("h1", "cls"), "h1").select("key", "cls")
-        rest = staged(rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key"), "postings")
-        links, tried, joined = None, None, None
+        rest = staged(members.join(classes.select("h1", "cls"), "h1").select("key", "cls"), "members")
+        rows = staged(signed.select("doc_id", "t", *WHOLE), "sets")
+        dropped(signed, shared)
+        rest, before = staged(rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key"), "postings"), rest
+        dropped(before)
+        links, tried, joined = [], [], None
         for turn in range(STAR_ROUNDS + 1):
             if rest.isEmpty():
                 break
             pairs = self._stars(rest, turn) if turn < STAR_ROUNDS else self._across(rest, classes)
-            if tried is not None:
-                pairs = pairs.join(tried.union(tried.select("member", "leader")), ["leader", "member"], "left_anti")
-            pairs = staged(pairs, "pairs")
-            found = staged(self._linked(pairs, docs, classes), "links")
-            links = found if links is None else links.union(found)
-            tried = pairs if tried is None else tried.union(pairs)
-            joined = connected_components(links)
+            if tried:
+                known = reduce(DataFrame.union, tried)
+                pairs = pairs.join(known.union(known.select("member", "leader")), ["leader", "member"], "left_anti")
+            tried.append(staged(pairs, "pairs"))
+            links.append(self._linked(tried[-1], docs, classes))
+            dropped(joined)
+            joined = connected_components(reduce(DataFrame.union, links))
             if turn < STAR_ROUNDS:
-                rest = staged(self._apart(rest, joined), "postings")
-        return signed, classes, joined
+                before, rest = rest, staged(self._apart(rest, joined), "postings")
+                dropped(before)
+        dropped(rest, *tried, *links)
+        return rows, classes, joined
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id (its group's smallest doc_id)."""
-        signed, classes, joined = self._classes(docs)
-        rows = signed.select("doc_id", *WHOLE).join(classes.select("cls", "id", *WHOLE), WHOLE, "left")
+        rows, classes, joined = self._classes(docs)
+        rows = rows.select("doc_id", *WHOLE).join(classes.select("cls", "id", *WHOLE), WHOLE, "left")
         name = F.coalesce("id", "doc_id")
         if joined is not None:
             # Only classes in links have another name than their own.
@@ -272,13 +308,15 @@ class JaccardJoin:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), name).alias("component_id"))
 
     def parts(self, docs: DataFrame) -> DataFrame:
-        """One row per document: doc_id, t (hash of its text), part (number of its group; null for an empty set)."""
-        signed, classes, joined = self._classes(docs)
-        rows = signed.select("doc_id", "t", *WHOLE).join(classes.select("cls", *WHOLE), WHOLE, "left")
-        if joined is None:
-            return rows.select("doc_id", "t", F.col("cls").alias("part"))
-        rows = rows.join(joined, rows["cls"] == joined["node"], "left")
-        return rows.select("doc_id", "t", F.coalesce("component", "cls").alias("part"))
+        """One row per document, staged: doc_id, t (hash of its text), part (number of its group; null for an empty set)."""
+        rows, classes, joined = self._classes(docs)
+        own = rows.select("doc_id", "t", *WHOLE).join(classes.select("cls", *WHOLE), WHOLE, "left")
+        part = F.col("cls")
+        if joined is not None:
+            own, part = own.join(joined, own["cls"] == joined["node"], "left"), F.coalesce("component", "cls")
+        out = staged(own.select("doc_id", "t", part.alias("part")), "parts")
+        dropped(rows, classes, joined)
+        return out
 
     def _members(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
         """(key, h1) of the sets, for keys that may be shared: a bit table passes over most others before the join."""
@@ -343,15 +381,24 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5) ->
     A row is dropped only for one of its own group, or for one of the same doc_id
     and text: where a doc_id repeats with unlike texts, each of them stays.
     """
-    rows = JaccardJoin(words, p, q).parts(docs).where("doc_id is not null")
-    ids = staged(rows.groupBy("doc_id", "t").agg(F.min("part").alias("part"), F.count("*").alias("rows")), "groups")
-    firsts = ids.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "t", "rows")).alias("k")).select("k.*")
-    kept = firsts.union(ids.where("part is null").select("doc_id", "t", "rows")).toDF("kept_id", "kept_t", "rows")
+    parts = JaccardJoin(words, p, q).parts(docs)
+    ids = staged(parts.where("doc_id is not null").groupBy("doc_id", "t").agg(F.min("part").alias("part"), F.count("*").alias("rows")), "groups")
+    dropped(parts)
+    firsts = ids.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    # Of a document in a group: whether it goes. Documents that are alone and not repeated are in no row here.
+    state = ids.join(firsts, "part", "left").select(F.col("doc_id").alias("state_id"), F.col("t").alias("state_t"), "rows", (F.struct("doc_id", "t") != F.col("first")).alias("goes"))
+    state = staged(state.select("state_id", "state_t", "rows", F.coalesce("goes", F.lit(False)).alias("goes")).where("goes or rows > 1"), "group-states")
+    dropped(ids)
     # The row travels as one column, so that its names cannot clash.
-    all_rows = docs.select(F.struct("*").alias("doc"))
-    there = all_rows.join(kept, (F.col("doc.doc_id").cast("long") == F.col("kept_id")) & (_text_hash("doc.text") == F.col("kept_t")))
-    single = there.where("rows = 1").select("doc.*").union(all_rows.where("doc.doc_id is null").select("doc.*"))
-    return single.union(there.where("rows > 1").dropDuplicates(["kept_id", "kept_t"]).select("doc.*"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), _text_hash("text").alias("t"))
+    code, state_code = F.xxhash64("id", "t"), F.xxhash64("state_id", "state_t").alias("code")
+    same = (F.col("id") == F.col("state_id")) & (F.col("t") == F.col("state_t"))
+    # Rows that surely have no state stay where they are.
+    judged = in_table(bit_table(state.select(state_code), "code"), code) & F.col("id").isNotNull()
+    untouched = rows.where(~judged).union(rows.where(judged).join(state, same, "left_anti"))
+    repeated = state.where(~F.col("goes"))
+    maybe = rows.where(in_table(bit_table(repeated.select(state_code), "code"), code))
+    return untouched.select("doc.*").union(maybe.join(repeated, same).dropDuplicates(["id", "t"]).select("doc.*"))
 
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -172,24 +172,49 @@ def competitive_intensity(edges: DataFrame) -> DataFrame:
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, components, largest share, degrees."""
-    labels = nodes.select(F.col("node_id").alias("node")).join(component_labels(edges), "node", "left").select(F.coalesce("component", "node").alias("component"))
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    parts = sizes.agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.sum("size").alias("nodes"))
+    """One row: nodes and edges by kind, density, components, degrees and a score.
+
+    Points lost: 30 without edges, 20 if the largest component holds less than half
+    of the nodes, 10 if the mean degree is below 2.
+    """
+    labels = nodes.select(F.col("node_id").alias("node"), "node_type").join(component_labels(edges), "node", "left").select("node_type", F.coalesce("component", "node").alias("component"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"), F.count_if(F.col("node_type") == "product").alias("products"))
+    parts = sizes.agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.sum("size").alias("nodes"), F.sum("products").alias("product_nodes"))
     degree = nodes.select(F.col("node_id").alias("node")).join(edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")), "node", "left").fillna(0)
-    degrees = degree.agg(F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.sum(F.when(F.col("degree") == 0, 1).otherwise(0)).alias("isolated"))
-    count = edges.agg(F.count("*").alias("edges"), F.count_distinct("edge_type").alias("edge_types"))
-    n = F.col("nodes")
+    degrees = degree.agg(F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"), F.count_if(F.col("degree") == 0).alias("isolated"))
+    kinds = [F.count_if(F.col("edge_type") == k).alias(f"{k}_edges") for k in ("copurchase", "substitution", "hierarchy")]
+    count = edges.agg(F.count("*").alias("edges"), F.count_distinct("edge_type").alias("edge_types"), *kinds)
+    n, share = F.col("nodes"), F.col("largest") / F.col("nodes")
+    lost = F.when(F.col("edges") == 0, 30.0).otherwise(0.0) + F.when(share < 0.5, 20.0).otherwise(0.0) + F.when(F.col("mean_degree") < 2, 10.0).otherwise(0.0)
     return parts.crossJoin(degrees).crossJoin(count).select(
-        "nodes", "edges", "edge_types", "components", (F.col("largest") / n).alias("largest_share"), F.try_divide(2 * F.col("edges"), n * (n - 1)).alias("density"), "mean_degree", "max_degree", "isolated"
-    )
-
-
-def substitution_funnel(tx: DataFrame, jaccard: float = 0.6, gap: float = 0.3, buyers: int = 5) -> DataFrame:
-    """One row: how many category pairs pass each rule in turn."""
-    p = category_pairs(tx)
-    enough = (F.col("customers_a") >= buyers) & (F.col("customers_b") >= buyers)
-    close = enough & (F.col("jaccard") >= jaccard)
-    alike = close & (F.col("price_gap") <= gap)
-    tests = {"pairs": F.lit(True), "enough_customers": enough, "shared_customers": close, "alike_prices": alike}
-    return p.agg(*(F.coalesce(F.sum(F.when(t, 1).otherwise(0)), F.lit(0)).alias(k) for k, t in tests.items()))
+        "nodes", "product_nodes", (n - F.col("product_nodes")).alias("category_nodes"), "edges", "edge_types", "copurchase_edges", "substitution_edges", "hierarchy_edges", "components", share.alias("largest_share"),
+        F.try_divide(2 * F.col("edges"), n * (n - 1)).alias("density"), "mean_degree", "max_degree", "min_degree", "isolated", (100.0 - lost).alias("score"),
+    )
+
+
+def substitution_funnel(tx: DataFrame, jaccard: float = 0.6, gap: float = 0.3, buyers: int = 5, max_lift: float = 1.2, lift_unknown: float = 0.5) -> DataFrame:
+    """One row: how many category pairs pass each rule in turn, how many fail at each, and which rule to loosen.
+
+    A pair that no basket holds has the lift ``lift_unknown``.
+    """
+    lifts = pair_lifts(tx).select("product_a", "product_b", "lift")
+    p = category_pairs(tx).join(lifts, ["product_a", "product_b"], "left").fillna(lift_unknown, ["lift"])
+    rules = {
+        "enough_customers": (F.col("customers_a") >= buyers) & (F.col("customers_b") >= buyers),
+        "shared_customers": F.col("jaccard") >= jaccard,
+        "low_lift": F.col("lift") <= max_lift,
+        "priced": F.coalesce((F.col("price_a") > 0) & (F.col("price_b") > 0), F.lit(False)),
+        "alike_prices": F.coalesce(F.col("price_gap") <= gap, F.lit(False)),
+    }
+    passed, counts = F.lit(True), [F.count("*").alias("pairs")]
+    for name, rule in rules.items():
+        failed, passed = passed & ~rule, passed & rule
+        counts += [F.count_if(passed).alias(name), F.count_if(failed).alias(f"not_{name}")]
+    out = p.agg(*counts)
+    advice = {
+        "lower_min_customers": F.col("not_enough_customers") > F.col("pairs") * 0.5,
+        "lower_jaccard": F.col("not_shared_customers") > F.col("enough_customers") * 0.8,
+        "impute_prices": F.col("not_priced") > F.col("shared_customers") * 0.3,
+        "widen_price_gap": F.col("not_alike_prices") > F.col("priced") * 0.5,
+    }
+    return out.withColumns(advice)

@@ -109,14 +109,17 @@ def confusions(pred: DataFrame, k: int = 10) -> DataFrame:
 def prediction_examples(scores: DataFrame, targets: DataFrame, n: int = 10) -> DataFrame:
     """Previous, target and the five best items with probability, for the first ``n`` samples."""
     chosen = targets.orderBy("sample_id").limit(n)
-    total = scores.groupBy("sample_id").agg(F.sum(F.exp("score")).alias("z"))
-    best = topk(scores.join(chosen.select("sample_id"), "sample_id", "left_semi"), 5).join(total, "sample_id").withColumn("p", F.exp("score") / F.col("z"))
+    own = scores.join(F.broadcast(chosen.select("sample_id")), "sample_id", "left_semi")
+    # Scores are shifted by the sample's largest, so that no exponential overflows.
+    top = own.groupBy("sample_id").agg(F.max("score").alias("top"))
+    z = own.join(top, "sample_id").groupBy("sample_id").agg(F.first("top").alias("top"), F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"))
+    best = topk(own, 5).join(z, "sample_id").withColumn("p", F.exp(F.col("score") - F.col("top")) / F.col("z"))
     listed = best.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "p"))).alias("best"))
     return chosen.join(listed, "sample_id")
 
 
 def log_loss(scores: DataFrame, targets: DataFrame) -> DataFrame:
-    """Mean softmax cross-entropy of the target's score."""
+    """Mean softmax cross-entropy of the target's score; targets without a score are left out."""
     top = scores.withColumn("top", F.max("score").over(Window.partitionBy("sample_id")))
     z = top.groupBy("sample_id").agg((F.max("top") + F.log(F.sum(F.exp(F.col("score") - F.col("top"))))).alias("z"))
     own = targets.join(scores.toDF("sample_id", "target", "score"), ["sample_id", "target"]).join(z, "sample_id")

@@ -17,6 +17,7 @@ from basketforge.operators import quality as Q
 from basketforge.operators import ranking as R
 from basketforge.operators import sequences as S
 from basketforge.operators import vectors as V
+from basketforge.operators.labels import label_code
 from basketforge.operators.price_features import price_features
 from basketforge.plans.customer_queries import AFFINITY, MISSIONS
 from basketforge.plans.feature_queries import FEATURES
@@ -116,12 +117,27 @@ def l5(spark, sf):
     return tidy(R.masked_metrics(*_store_scores(spark, sf), ["week"]))
 
 
-@register("l3_label_accuracy", with_sql(MISSIONS, "SELECT 'size' AS task, count(*) AS n, avg((typical_sensitivity = 'MM')::INT) AS accuracy FROM missions WHERE dominant_focus <> 'Mixed'", "accuracy"))
+_TASKS = {"size": ("BASKET_SIZE", ["S", "M", "L"]), "sensitivity": ("BASKET_PRICE_SENSITIVITY", ["LA", "MM", "UM"]), "type": ("BASKET_TYPE", list(M.MISSION_TYPES)), "focus": ("BASKET_DOMINANT_MISSION", list(M.MISSION_FOCUSES))}
+
+
+def _code_sql(column: str, labels: list[str]) -> str:
+    return f"CASE {' '.join(f"WHEN min({column}) = '{x}' THEN {k + 1}" for k, x in enumerate(labels))} ELSE 0 END"
+
+
+_LABELLED = " UNION ALL ".join(f"SELECT BASKET_ID AS basket_id, '{task}' AS task, {_code_sql(c, labels)} AS label FROM tx GROUP BY ALL" for task, (c, labels) in _TASKS.items())
+_USUAL = f"lab AS ({_LABELLED}), known AS (SELECT lab.*, customer_id, split FROM lab JOIN meta USING (basket_id) WHERE customer_id IS NOT NULL), often AS (SELECT customer_id, task, label, count(*) AS n FROM known WHERE split = 'train' AND label > 0 GROUP BY ALL), usual AS (SELECT customer_id, task, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, task ORDER BY n DESC, label) AS r FROM often) WHERE r = 1)"
+
+
+@register("l3_label_accuracy", with_sql(f"{META}, {_USUAL}", "SELECT task, count(*) AS n, avg((predicted = label)::INT) AS accuracy FROM known JOIN usual USING (customer_id, task) WHERE split = 'test' AND label > 0 GROUP BY ALL", "accuracy"))
 def l3(spark, sf):
-    """A constant prediction of the sensitivity, for customers whose focus is known (code 0 is not)."""
-    m = M.assemble_missions(tx(spark, sf))
-    known = F.when(F.col("dominant_focus") == "Mixed", 0).when(F.col("typical_sensitivity") == "MM", 2).otherwise(1)
-    return tidy(R.label_accuracy(m.select(F.lit("size").alias("task"), F.lit(2).alias("predicted"), known.alias("label"))))
+    """Each label of a test basket, predicted as the customer's most frequent one in training weeks."""
+    t, m = tx(spark, sf), meta(spark, sf).where("customer_id is not null").select("basket_id", "customer_id", "split")
+    codes = t.groupBy(F.col("BASKET_ID").alias("basket_id")).agg(*(F.min(c).alias(c) for c, _ in _TASKS.values()))
+    tasks = F.array(*(F.struct(F.lit(task).alias("task"), label_code(c, labels, 1, 0).alias("label")) for task, (c, labels) in _TASKS.items()))
+    known = codes.select("basket_id", F.explode(tasks).alias("t")).select("basket_id", "t.*").where("label > 0").join(m, "basket_id")
+    often = known.where("split = 'train'").groupBy("customer_id", "task", "label").agg(F.count("*").alias("n"))
+    usual = often.groupBy("customer_id", "task").agg((-F.max(F.struct("n", -F.col("label")))["col2"]).alias("predicted"))
+    return tidy(R.label_accuracy(known.where("split = 'test'").join(usual, ["customer_id", "task"]).select("task", "predicted", "label")))
 
 
 @register("l6_store_metrics", with_sql(STORES, "SELECT avg(coalesce((rank <= 1)::INT, 0)) AS accuracy, avg(coalesce((rank <= 3)::INT, 0)) AS top_3_accuracy, avg(coalesce((rank <= 5)::INT, 0)) AS top_5_accuracy, avg(coalesce((rank <= 10)::INT, 0)) AS top_10_accuracy, avg(1 / rank) AS mrr FROM tr", "accuracy, top_3_accuracy, top_5_accuracy, top_10_accuracy, mrr"))
@@ -152,10 +168,19 @@ def l9(spark, sf):
     return tidy(R.confusions(_pred(spark, sf)))
 
 
-@register("l10_examples", with_sql(f"{STORES}, firsts AS (SELECT * FROM targets ORDER BY sample_id LIMIT 10)", "SELECT f.sample_id, previous, target, string_agg(item, ',' ORDER BY rank) AS best FROM firsts f JOIN ranked USING (sample_id) WHERE rank <= 5 GROUP BY ALL"))
+@register(
+    "l10_examples",
+    with_sql(
+        f"{STORES}, firsts AS (SELECT * FROM targets ORDER BY sample_id LIMIT 10), "
+        "shifted AS (SELECT *, exp(score - max(score) OVER (PARTITION BY sample_id)) AS e FROM ranked), probs AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id) AS p FROM shifted)",
+        "SELECT f.sample_id, previous, target, string_agg(item, ',' ORDER BY rank) AS best, sum(CASE WHEN rank = 1 THEN p END) AS first_probability, sum(p) AS best_probability FROM firsts f JOIN probs USING (sample_id) WHERE rank <= 5 GROUP BY ALL",
+        "first_probability, best_probability",
+    ),
+)
 def l10(spark, sf):
     scores, targets = _store_scores(spark, sf)
-    return tidy(R.prediction_examples(scores, targets).select("sample_id", "previous", "target", F.array_join("best.item", ",").alias("best")))
+    found = R.prediction_examples(scores, targets)
+    return tidy(found.select("sample_id", "previous", "target", F.array_join("best.item", ",").alias("best"), F.get("best.p", F.lit(0)).alias("first_probability"), F.aggregate("best.p", F.lit(0.0), lambda a, x: a + x).alias("best_probability")))
 
 
 @register("l11_log_loss", with_sql(f"{STORES}, z AS (SELECT sample_id, ln(sum(exp(score))) AS z FROM scores GROUP BY ALL)", "SELECT avg(z - score) AS log_loss FROM targets JOIN scores ON scores.sample_id = targets.sample_id AND item = target JOIN z ON z.sample_id = targets.sample_id", "log_loss"))

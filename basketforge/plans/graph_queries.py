@@ -141,10 +141,14 @@ def i8(spark, sf):
         f"RECURSIVE {GRAPH}, bw AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), hop AS (SELECT node_id AS a, node_id AS root FROM nodes UNION SELECT bw.b, hop.root FROM hop JOIN bw ON hop.a = bw.a WHERE hop.root <= bw.b), "
         "lab AS (SELECT node_id, coalesce((SELECT min(root) FROM hop WHERE hop.a = node_id), node_id) AS c FROM nodes), sizes AS (SELECT c, count(*) AS s FROM lab GROUP BY ALL), "
         "deg AS (SELECT node_id, count(nd) AS d FROM nodes LEFT JOIN (SELECT src AS nd FROM edges UNION ALL SELECT dst FROM edges) ON nd = node_id GROUP BY ALL)",
-        "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT edge_type) FROM edges) AS edge_types, (SELECT count(*) FROM sizes) AS components, "
+        "SELECT *, 100.0 - CASE WHEN edges = 0 THEN 30.0 ELSE 0.0 END - CASE WHEN largest_share < 0.5 THEN 20.0 ELSE 0.0 END - CASE WHEN mean_degree < 2 THEN 10.0 ELSE 0.0 END AS score FROM ("
+        "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE hierarchy_level = 0) AS product_nodes, (SELECT count(*) FROM nodes WHERE hierarchy_level > 0) AS category_nodes, "
+        "(SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT edge_type) FROM edges) AS edge_types, "
+        + "".join(f"(SELECT count(*) FROM edges WHERE edge_type = '{k}') AS {k}_edges, " for k in ("copurchase", "substitution", "hierarchy"))
+        + "(SELECT count(*) FROM sizes) AS components, "
         "(SELECT max(s) FROM sizes) / (SELECT count(*) FROM nodes) AS largest_share, 2 * (SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)) AS density, "
-        "(SELECT avg(d) FROM deg) AS mean_degree, (SELECT max(d) FROM deg) AS max_degree, (SELECT count(*) FROM deg WHERE d = 0) AS isolated",
-        "largest_share, density, mean_degree",
+        "(SELECT avg(d) FROM deg) AS mean_degree, (SELECT max(d) FROM deg) AS max_degree, (SELECT min(d) FROM deg) AS min_degree, (SELECT count(*) FROM deg WHERE d = 0) AS isolated)",
+        "largest_share, density, mean_degree, score",
     ),
 )
 def i9(spark, sf):
@@ -152,7 +156,21 @@ def i9(spark, sf):
     return tidy(G.graph_metrics(G.graph_nodes(t), G.build_graph(t, JACCARD, GAP)))
 
 
-@register("i10_substitution_funnel", with_sql(f"{TX}, {_DIM}, {_CAT}", f"SELECT count(*) AS pairs, CAST(count(*) FILTER (WHERE e) AS BIGINT) AS enough_customers, CAST(count(*) FILTER (WHERE e AND jaccard >= {JACCARD}::DOUBLE) AS BIGINT) AS shared_customers, CAST(count(*) FILTER (WHERE e AND jaccard >= {JACCARD}::DOUBLE AND price_gap <= {GAP}::DOUBLE) AS BIGINT) AS alike_prices FROM (SELECT *, customers_a >= 5 AND customers_b >= 5 AS e FROM cat)"))
+_RULES = {"enough_customers": "customers_a >= 5 AND customers_b >= 5", "shared_customers": f"jaccard >= {JACCARD}::DOUBLE", "low_lift": "coalesce(lift, 0.5) <= 1.2", "priced": "coalesce(price_a > 0 AND price_b > 0, false)", "alike_prices": f"coalesce(price_gap <= {GAP}::DOUBLE, false)"}
+_STEPS = ", ".join(
+    f"count(*) FILTER (WHERE {' AND '.join(f'({r})' for r in list(_RULES.values())[: k + 1])}) AS {name}, count(*) FILTER (WHERE {' AND '.join([f'({r})' for r in list(_RULES.values())[:k]] + [f'NOT ({rule})'])}) AS not_{name}"
+    for k, (name, rule) in enumerate(_RULES.items())
+)
+
+
+@register(
+    "i10_substitution_funnel",
+    with_sql(
+        SUBSTITUTION,
+        f"SELECT *, not_enough_customers > pairs * 0.5 AS lower_min_customers, not_shared_customers > enough_customers * 0.8 AS lower_jaccard, not_priced > shared_customers * 0.3 AS impute_prices, not_alike_prices > priced * 0.5 AS widen_price_gap "
+        f"FROM (SELECT count(*) AS pairs, {_STEPS} FROM cat LEFT JOIN lifts USING (product_a, product_b))",
+    ),
+)
 def i10(spark, sf):
     return tidy(G.substitution_funnel(tx(spark, sf), JACCARD, GAP))
 

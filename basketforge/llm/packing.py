@@ -97,17 +97,20 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
     def cut(batches):
         enc, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(enc.ids(text), np.uint32(end_id))
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    piece = ids[start : start + capacity]
-                    nth = seen[len(piece)] = seen.get(len(piece), -1) + 1
-                    out.append((doc_id, k, start, len(piece), tokens.crc(piece), part, nth) + ((piece.tolist(),) if keep_ids else ()))
-                    if keep_ids and len(out) >= 512:
-                        yield _batch(out, keep_ids)
-                        out = []
-            yield _batch(out, keep_ids)
+            doc_ids = batch.column(0).to_pylist()
+            for low, high, ids, ends in enc.column(batch.column(1), end_id):
+                out: list[tuple] = []
+                first = 0
+                for doc_id, end in zip(doc_ids[low:high], ends.tolist()):
+                    for k, start in enumerate(range(first, end, capacity)):
+                        piece = ids[start : min(start + capacity, end)]
+                        nth = seen[len(piece)] = seen.get(len(piece), -1) + 1
+                        out.append((doc_id, k, start - first, len(piece), tokens.crc(piece), part, nth) + ((piece.tolist(),) if keep_ids else ()))
+                        if keep_ids and len(out) >= 512:
+                            yield _batch(out, keep_ids)
+                            out = []
+                    first = end
+                yield _batch(out, keep_ids)
 
     return cut
 

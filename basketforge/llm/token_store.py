@@ -8,9 +8,10 @@ document its place among the symbols and among the tokens, so that one document,
 or a range of its tokens, is decoded alone (``decode_document``).
 
 Re-Pair here works in rounds: each round counts the pairs of neighbouring symbols
-and replaces the most frequent ones, left to right without overlap, by new
-symbols; it ends when no pair is frequent or the symbols are used up. Pairs never
-cross a document's end.
+and replaces all that occur ``LEAST_COUNT`` times or more, the most frequent first,
+left to right without overlap, by new symbols. A hashed count passes over the
+places whose pair cannot be frequent, so late rounds cost little. It ends when no
+pair is frequent or the symbols are used up. Pairs never cross a document's end.
 
 Defined cases: null text is an empty document (the end id alone); empty tables
 give an empty store; equal doc_ids are neighbours, ordered by a hash of their
@@ -20,6 +21,7 @@ text; a null doc_id comes first; extra columns are ignored.
 from __future__ import annotations
 
 import struct
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,20 @@ from basketforge.sources.tables import table
 END_ID = 2
 #: Tokens gathered before a block is closed; a document is never divided.
 BLOCK_TOKENS = 400_000
-ROUNDS = 6
+#: A rule takes the bytes of about six symbols, so a pair must save more than that.
 LEAST_COUNT = 12
-RULES_A_ROUND = 4096
-TABLE_SLOTS = 2**18
+SLOT_BITS = 18
+#: Symbols of two bytes where the ids leave room for rules among them, else of four.
+NARROW, NARROW_IDS, WIDE_RULES = 2**16, 60_000, 2**20
 #: Fixed values of the file format.
 MAGIC, VERSION, NULL_ID = b"BFRP", 1, -(2**63)
 SCHEMA = "part int, block int, first long, n_tokens long, n_docs long, payload binary"
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    if keys.dtype == np.uint32:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def replace_pairs(symbols: np.ndarray, ends: np.ndarray, next_symbol: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,54 +58,55 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray, next_symbol: int, limit
     if len(symbols) < 2 or limit < 1:
         return none
     # Symbols below 2^16 make 32-bit keys, which sort several times faster.
-    kind, half = (np.uint32, 16) if next_symbol + limit <= 65_536 else (np.uint64, 32)
+    kind, half = (np.uint32, 16) if next_symbol + limit <= NARROW else (np.uint64, 32)
     keys = (symbols[:-1].astype(kind) << kind(half)) | symbols[1:].astype(kind)
     inside = np.ones(len(keys), bool)
     inside[ends[:-1] - 1] = False
     # No pair takes in an end symbol, so a document's symbols stay apart from its neighbours'.
     inside[(ends - 2)[ends >= 2]] = False
-    ordered = np.sort(keys[inside])
-    if not len(ordered):
-        return none
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    slot = _slot(keys)
+    at = np.flatnonzero((np.bincount(slot[inside], minlength=2**SLOT_BITS) >= LEAST_COUNT)[slot] & inside)
+    keys, slot = keys[at], slot[at]
+    ordered = np.sort(keys)
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
     counts = np.diff(np.r_[starts, len(ordered)])
     often = np.flatnonzero(counts >= LEAST_COUNT)
     if not len(often):
         return none
-    chosen = ordered[starts[often[np.argsort(-counts[often], kind="stable")[: min(limit, RULES_A_ROUND)]]]]
-    # A hash table of the pairs; where two meet in a slot, the more frequent one stays.
-    slots = np.full(TABLE_SLOTS, len(chosen), np.int32)
+    chosen = ordered[starts[often[np.argsort(-counts[often], kind="stable")[:limit]]]]
+    # A hash table of the pairs; where two meet in a slot, the more frequent one goes first and the other has its turn in a later round.
+    slots = np.full(2**SLOT_BITS, len(chosen), np.int32)
     slots[_slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    rule = slots[_slot(keys)]
-    at = np.flatnonzero((np.append(chosen, kind(0))[rule] == keys) & (rule < len(chosen)) & inside)
-    rule = rule[at]
+    rule = slots[slot]
+    there = (np.append(chosen, kind(0))[rule] == keys) & (rule < len(chosen))
+    at, rule = at[there], rule[there]
     # Left to right without overlap: in a run of neighbouring places take every second.
     head = np.r_[True, np.diff(at) != 1] if len(at) else np.empty(0, bool)
     run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
     take = (np.arange(len(at)) - run) % 2 == 0
     at, rule = at[take], rule[take]
-    used, rule = np.unique(rule, return_inverse=True)
+    used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
+    number = np.zeros(len(chosen), np.int64)
+    number[used] = np.arange(len(used))
     chosen = chosen[used]
     out = symbols.copy()
-    out[at] = next_symbol + rule
-    keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
+    out[at] = next_symbol + number[rule]
     pairs = np.stack([chosen >> kind(half), chosen & kind(2**half - 1)], 1).astype(np.uint32)
-    return out[keep], np.cumsum(keep)[ends - 1], pairs
+    return np.delete(out, at + 1), ends - np.searchsorted(at + 1, ends), pairs
 
 
 def encode_block(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> bytes:
     """``ids`` of whole documents, ``ends`` their ends in it (each with its end id)."""
     symbols, at, base = ids.astype(np.uint32), ends.astype(np.int64), int(ids.max(initial=0)) + 1
-    rules, rounds = [], []
-    limit = 65_536 - base if base < 60_000 else 2**20
-    for _ in range(ROUNDS):
-        made = sum(map(len, rules))
+    rules, rounds, made = [], [], 0
+    limit = NARROW - base if base < NARROW_IDS else WIDE_RULES
+    while True:
         symbols, at, pairs = replace_pairs(symbols, at, base + made, limit - made)
         if not len(pairs):
             break
         rules.append(pairs)
         rounds.append(made)
+        made += len(pairs)
     grammar = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     lengths = np.ones(base + len(grammar), np.uint32)
     for k, pairs in zip(rounds, rules):
@@ -112,6 +118,13 @@ def encode_block(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> bytes:
     return head + b"".join(x.tobytes() for x in parts)
 
 
+def _spread(lengths: np.ndarray, begins: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of each of the symbols lie, one symbol after the other, and where each symbol's end there."""
+    n = lengths[symbols]
+    after = np.cumsum(n)
+    return np.repeat(begins[symbols] - (after - n), n) + np.arange(after[-1] if len(after) else 0), after
+
+
 class Block:
     """Reader of one payload."""
 
@@ -132,26 +145,25 @@ class Block:
         self.rounds, self.rules, self.lengths = take("<u4", rounds), take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{width}", symbols)
 
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length of each symbol, where its tokens begin, tokens): rounds of rules are expanded one after the other."""
+        lengths = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
+        begins = np.cumsum(lengths) - lengths
+        tokens = np.arange(int(lengths.sum()), dtype=np.uint32)
+        for low, high in zip(self.rounds, [*self.rounds[1:], len(self.rules)]):
+            made, _ = _spread(lengths, begins, self.rules[low:high].ravel())
+            at = begins[self.base + int(low)]
+            tokens[at : at + len(made)] = tokens[made]
+        return lengths, begins, tokens
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The tokens that symbols stand for, the latest round's rules first."""
-        out = symbols.astype(np.uint32)
-        for first in self.rounds[::-1]:
-            low = self.base + int(first)
-            made = out >= low
-            if made.any():
-                place = np.cumsum(1 + made) - 1 - made
-                wider = np.empty(len(out) + int(made.sum()), np.uint32)
-                pairs = self.rules[out[made] - self.base]
-                wider[place[~made]] = out[~made]
-                wider[place[made]], wider[place[made] + 1] = pairs[:, 0], pairs[:, 1]
-                out = wider
-        return out
+        """The tokens that symbols stand for."""
+        lengths, begins, tokens = self.expansions
+        return tokens[_spread(lengths, begins, symbols)[0]]
 
     def spans(self, symbols: np.ndarray) -> np.ndarray:
-        made = symbols >= self.base
-        out = np.ones(len(symbols), np.int64)
-        out[made] = self.lengths[symbols[made] - self.base]
-        return out
+        return self.expansions[0][symbols]
 
     def decode_document(self, nth: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Tokens start..stop of one document; only the symbols that cover them are expanded."""
@@ -181,13 +193,17 @@ def _write(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["part", "block", "first", "n_tokens", "n_docs", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.append(doc_id)
-                pieces.append(np.append(enc.ids(text), np.uint32(end_id)))
-                held += len(pieces[-1])
-                if held >= BLOCK_TOKENS:
-                    yield closed()
-                    names, pieces, held, block, first = [], [], 0, block + 1, first + held
+            doc_ids = batch.column(0).to_pylist()
+            for low, high, ids, ends in enc.column(batch.column(1), end_id):
+                begin = 0
+                for doc_id, end in zip(doc_ids[low:high], ends.tolist()):
+                    names.append(doc_id)
+                    pieces.append(ids[begin:end])
+                    held += end - begin
+                    begin = end
+                    if held >= BLOCK_TOKENS:
+                        yield closed()
+                        names, pieces, held, block, first = [], [], 0, block + 1, first + held
         if names:
             yield closed()
 

@@ -1,10 +1,11 @@
 """Tokenizing whole texts with the ``tokenizers`` library, inside tasks.
 
-Words repeat, so ids are kept per white-space chunk in a bounded cache. For
-chunks of ASCII and Latin-1 letters the pre-tokenizer's rule is applied here and
-the library's BPE model gives the ids; any other chunk goes through the whole
-library pipeline. Both give what ``Tokenizer.encode`` of the whole text gives,
-since no token of this kind of tokenizer crosses white space.
+Words repeat, so ids are kept per white-space chunk in a bounded cache, and a
+batch of texts asks for each distinct chunk once. For chunks of ASCII and Latin-1
+letters the pre-tokenizer's rule is applied here and the library's BPE model gives
+the ids; any other chunk goes through the whole library pipeline. Both give what
+``Tokenizer.encode`` of the whole text gives, since no token of this kind of
+tokenizer crosses white space.
 """
 
 from __future__ import annotations
@@ -12,15 +13,22 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_CHUNKS = 500_000
 LONG_CHUNK = 64
+#: Characters of text that are encoded together; a longer text is encoded alone.
+PART_CHARS = 8_000_000
 
 #: The split rule of the word-BPE tokenizer, and its form for ASCII and Latin-1.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+LATIN_WORD = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 LATIN_CHUNK = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
@@ -53,8 +61,8 @@ class ChunkEncoder(dict):
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.levels))]
-            got = np.array(ids, dtype=np.uint32).tobytes()
+            level = word if word.isascii() else word.translate(self.levels)
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize(level)]).tobytes()
             if len(word) <= LONG_CHUNK:
                 if len(self.words) >= CACHE_CHUNKS:
                     self.words.clear()
@@ -64,6 +72,8 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             got = b""
+        elif LATIN_WORD(chunk):
+            got = self._word(chunk)
         elif LATIN_CHUNK(chunk) and "<|" not in chunk:
             got = b"".join(map(self._word, LATIN_RULE.findall(chunk.lower())))
         else:
@@ -82,6 +92,43 @@ class ChunkEncoder(dict):
             self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.uint32)
 
+    def column(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ids of a column of whole texts, each with the end id after it, a part of the column at a time.
+
+        Yields (first text, text after the last, ids of these texts together, end of each in them).
+        """
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(texts):
+            done = sizes[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, done + PART_CHARS, "right")))
+            ids, ends = self._encoded(pc.fill_null(texts.slice(low, high - low), ""))
+            yield low, high, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, high - low + 1)
+            low = high
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and the end of each text in them."""
+        if not self.by_chunk:
+            each = [self.ids(x) for x in texts.to_pylist()]
+            return np.concatenate([*each, np.empty(0, np.uint32)]), np.cumsum([len(x) for x in each])
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        # Chunks hold no blanks: joined and split again, they become Python strings at once.
+        distinct = coded.dictionary
+        one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
+        known = list(map(self.__getitem__, pc.binary_join(one, " ")[0].as_py().split(" "))) if len(distinct) else []
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins = np.cumsum(lengths) - lengths
+        chunk = coded.indices.to_numpy()
+        n = lengths[chunk]
+        after = np.cumsum(n)
+        # Where each id lies among the ids of the distinct chunks.
+        place = np.repeat(begins[chunk] - (after - n), n) + np.arange(after[-1] if len(after) else 0)
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(b"".join(known), np.uint32)[place], np.concatenate([[0], after])[offsets[1:] - offsets[0]]
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 

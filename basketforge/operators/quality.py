@@ -56,11 +56,34 @@ def dimension_stats(df: DataFrame, column: str = "vector") -> DataFrame:
     return rows.groupBy("dim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), _count(bad).alias("bad"))
 
 
-def vector_check(df: DataFrame, width: int, column: str = "vector") -> DataFrame:
-    """Width, bad values, constant places and a score for a table of vectors."""
+def vector_check(df: DataFrame, width: int, column: str = "vector", constant_share: float = 0.5) -> DataFrame:
+    """Width, bad values, constant places (points are lost over ``constant_share`` of the width) and a score for a table of vectors."""
     dims = dimension_stats(df, column).agg(F.sum("bad").alias("bad"), _count(F.col("variance") < 1e-10).alias("constant_dims"), F.avg("mean").alias("mean"), F.avg(F.sqrt("variance")).alias("mean_std"))
     sizes = df.agg(F.count("*").alias("rows"), _count(F.size(column) != width).alias("wrong_width"))
-    return sizes.crossJoin(dims).withColumn("score", _score((F.col("wrong_width") > 0, 30.0), (F.col("bad") > 0, 30.0), (F.col("constant_dims") > width / 2, 20.0)))
+    return sizes.crossJoin(dims).withColumn("score", _score((F.col("wrong_width") > 0, 30.0), (F.col("bad") > 0, 30.0), (F.col("constant_dims") > width * constant_share, 20.0)))
+
+
+def price_feature_report(df: DataFrame, column: str = "features", width: int = 64, fourier: int = 24) -> DataFrame:
+    """``vector_check`` with points lost over a tenth of constant places, and the bounds of the Fourier places."""
+    places = F.slice(column, 1, fourier)
+    bounds = df.agg(F.max(F.array_max(places)).alias("fourier_max"), F.min(F.array_min(places)).alias("fourier_min"))
+    return vector_check(df, width, column, 0.1).crossJoin(bounds)
+
+
+def store_report(stores: DataFrame, width: int = 96) -> DataFrame:
+    """``stores`` (format, vector): number, nulls, mean and deviation of all numbers, formats as JSON, and a score."""
+    numbers = stores.select(F.explode("vector").alias("x")).agg(_count(F.col("x").isNull()).alias("nulls"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    sizes = stores.agg(F.count("*").alias("stores"), _count(F.size("vector") != width).alias("wrong_width"))
+    formats = stores.groupBy("format").agg(F.count("*").alias("n"))
+    listed = formats.agg(F.array_sort(F.collect_list(F.struct("format", "n"))).alias("l")).select(F.to_json(F.map_from_entries("l")).alias("formats"))
+    return sizes.crossJoin(numbers).crossJoin(listed).withColumn("score", _score((F.col("nulls") > 0, 30.0), (F.col("wrong_width") > 0, 20.0)))
+
+
+def customer_embedding_report(df: DataFrame, width: int = 160) -> DataFrame:
+    """``df`` (customer_id, vector, trips): norms, variances, mean trips, cold-start customers (fewer than 5 trips) and a score."""
+    trips = df.agg(F.avg("trips").alias("mean_trips"), _count(F.col("trips") < 5).alias("cold_start"), _count(F.exists("vector", lambda x: x.isNull() | F.isnan(x))).alias("bad_rows"))
+    report = embedding_report(df.select("customer_id", "vector")).crossJoin(trips)
+    return report.withColumn("score", _score((F.col("bad_rows") > 0, 30.0), (F.col("constant_dims") > width * 0.1, 20.0)))
 
 
 def embedding_report(df: DataFrame, column: str = "vector", share: float = 1.0, seed: int = 2) -> DataFrame:

@@ -93,6 +93,25 @@ def split_report(meta: DataFrame) -> DataFrame:
     )
 
 
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """Samples, customers, mean history, basket sizes and week gap of each split of next-basket pairs."""
+    return pairs.groupBy("split").agg(
+        F.count("*").alias("samples"), F.count_distinct("customer_id").alias("customers"), F.avg("num_history_baskets").alias("mean_history"),
+        F.avg(F.size("input_products")).alias("mean_input_size"), F.avg(F.size("target_products")).alias("mean_target_size"), F.avg("week_gap").alias("mean_week_gap"),
+    )
+
+
+def split_document(meta: DataFrame) -> DataFrame:
+    """One row: the samples' metadata as a JSON document, by split: samples, customers, range of weeks, cold starts."""
+    by_split = meta.groupBy("split").agg(
+        F.count("*").alias("n_samples"), F.count_distinct("customer_id").alias("n_customers"), F.array(F.min("week"), F.max("week")).alias("week_range"),
+        F.array(F.min("week_original"), F.max("week_original")).alias("week_original_range"), F.count_if("is_cold_start").alias("cold_start_count"),
+    )
+    entry = F.struct("split", F.struct("n_samples", "n_customers", "week_range", "week_original_range", "cold_start_count").alias("s"))
+    whole = by_split.agg(F.sum("n_samples").alias("total_baskets"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("splits"))
+    return whole.select(F.to_json(F.struct("total_baskets", "splits")).alias("document"))
+
+
 def recent_trips(tx: DataFrame, trips: int = 20, products: int = 50) -> DataFrame:
     """The last trips of each customer, oldest first, with at most so many products each."""
     known = tx.where("CUST_CODE is not null")

@@ -257,6 +257,22 @@ def dense_context(customer: DataFrame, temporal: DataFrame, store: DataFrame, tr
     return df.select("basket_id", F.concat(zero("t1", 192), zero("t3", 64), zero("t5", 96), zero("t6", 48)).alias("vector"))
 
 
+def item_features(items: DataFrame, embeddings: DataFrame, prices: DataFrame) -> DataFrame:
+    """``items`` (basket_id, position, product_id, store_id, week) -> 320 numbers per item: product embedding 256 and price features 64; zeros where one is unknown."""
+    zero = lambda c, n: F.coalesce(c, F.array_repeat(F.lit(0.0), n))
+    df = items.join(embeddings.select(F.col("node").alias("product_id"), F.col("vector").alias("t2")), "product_id", "left")
+    df = df.join(prices.select("product_id", "store_id", "week", F.col("features").alias("t4")), ["product_id", "store_id", "week"], "left")
+    return df.select("basket_id", "position", F.concat(zero("t2", 256), zero("t4", 64)).alias("vector"))
+
+
+def training_samples(masked: DataFrame, dense: DataFrame, items: DataFrame, labels: DataFrame, length: int = 50) -> DataFrame:
+    """Masked baskets with dense context (400), item features (``length`` x 320, padded, with a mask) and label codes."""
+    listed = items.where(F.col("position") <= length).groupBy("basket_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "vector"))), lambda x: x["vector"]).alias("found"))
+    pad = F.array_repeat(F.array_repeat(F.lit(0.0), 320), length)
+    rows = listed.select("basket_id", F.slice(F.concat("found", pad), 1, length).alias("item_features"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: (k <= F.size("found")).cast("int")).alias("item_mask"))
+    return masked.join(dense.select("basket_id", F.col("vector").alias("dense_context")), "basket_id").join(rows, "basket_id").join(labels, "basket_id")
+
+
 def vocab_vectors(vocab: DataFrame, features: DataFrame, key: str, columns: list[str], width: int = 128) -> DataFrame:
     """A vector for each vocabulary entry from numeric columns; special and missing entries are zeros."""
     df = vocab.join(features.select(key, *columns), vocab["value"] == F.col(key), "left")

@@ -18,9 +18,7 @@ from basketforge.operators import ranking as R
 from basketforge.operators import sequences as S
 from basketforge.operators import vectors as V
 from basketforge.operators.labels import label_code
-from basketforge.operators.price_features import price_features
 from basketforge.plans.customer_queries import AFFINITY, MISSIONS
-from basketforge.plans.feature_queries import FEATURES
 from basketforge.plans.graph_queries import BRANDS, GAP, GRAPH, JACCARD, brands
 from basketforge.plans.registry import register
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
@@ -276,11 +274,6 @@ def _check_sql(v: str, table: str, width: int) -> str:
 _SCORED = "SELECT *, greatest(0.0, 100.0 - CASE WHEN wrong_width > 0 THEN 30.0 ELSE 0.0 END - CASE WHEN bad > 0 THEN 30.0 ELSE 0.0 END - CASE WHEN constant_dims > 32 THEN 20.0 ELSE 0.0 END) AS score FROM chk"
 
 
-@register("m5_price_feature_report", with_sql(f"{FEATURES}, {_check_sql('features', 'pf', 64)}", _SCORED, "mean, mean_std, score", 4))
-def m5(spark, sf):
-    return tidy(Q.vector_check(price_features(P.derive_prices(tx(spark, sf))), 64, "features"), 4)
-
-
 _EMB = "emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
 
 
@@ -301,13 +294,3 @@ def m6_pairs(spark, sf):
 @register("m8_vector_check", with_sql(f"{_EMB}, {_check_sql('vector', 'emb', 64)}", _SCORED, "mean, mean_std, score"))
 def m8(spark, sf):
     return tidy(Q.vector_check(_emb(spark, sf), 64))
-
-
-@register("m7_store_report", with_sql(TX, "SELECT STORE_FORMAT AS format, count(DISTINCT STORE_CODE) AS stores FROM tx GROUP BY ALL"))
-def m7(spark, sf):
-    return tidy(tx(spark, sf).groupBy(F.col("STORE_FORMAT").alias("format")).agg(F.count_distinct("STORE_CODE").alias("stores")))
-
-
-@register("m9_quality_summary", with_sql(f"{ALL_PRICES}, {_EMB}, {_check_sql('vector', 'emb', 64)}, s AS (SELECT 'prices' AS section, score FROM ({_PR}) UNION ALL SELECT 'embeddings', score FROM ({_SCORED}))", "SELECT * FROM s UNION ALL SELECT 'overall', avg(score) FROM s", "score"))
-def m9(spark, sf):
-    return tidy(Q.quality_summary({"prices": Q.price_report(P.derive_prices(tx(spark, sf))), "embeddings": Q.vector_check(_emb(spark, sf), 64)}))

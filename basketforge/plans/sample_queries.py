@@ -17,6 +17,7 @@ from basketforge.operators import sequences as S
 from basketforge.operators import stores as ST
 from basketforge.operators import temporal as T
 from basketforge.operators import vectors as V
+from basketforge.operators.labels import label_code
 from basketforge.operators.price_features import price_features
 from basketforge.plans.customer_queries import AFFINITY, BASKETS, MISSIONS
 from basketforge.plans.feature_queries import _CTX, _FOUR, _OPS_VEC, FEATURES, PROFILE, profile, told, told_sql
@@ -247,7 +248,7 @@ def j4(spark, sf):
 @register("j5_product_embeddings")
 def j5(spark, sf):
     e = V.product_embeddings(G.build_graph(tx(spark, sf), JACCARD, GAP), brands(spark, sf))
-    return tidy(e.select("node", F.size("vector").alias("width"), V.norm(F.col("vector")).alias("norm")))
+    return tidy(e)
 
 
 _LABELS = concat_sql(label_sql("type", "BASKET_TYPE", 16), label_sql("focus", "BASKET_DOMINANT_MISSION", 16), label_sql("sensitivity", "BASKET_PRICE_SENSITIVITY", 8), label_sql("size", "BASKET_SIZE", 8))
@@ -268,8 +269,6 @@ _CODES = {"BASKET_TYPE": (M.MISSION_TYPES, 0), "BASKET_DOMINANT_MISSION": (M.MIS
 
 @register("h17_trip_labels", with_sql(TX, "SELECT BASKET_ID AS basket_id, CAST(CASE min(BASKET_PRICE_SENSITIVITY) WHEN 'LA' THEN 1 WHEN 'MM' THEN 2 WHEN 'UM' THEN 3 ELSE 0 END AS BIGINT) AS sensitivity_code, CAST(CASE min(BASKET_SIZE) WHEN 'S' THEN 1 WHEN 'M' THEN 2 WHEN 'L' THEN 3 ELSE 0 END AS BIGINT) AS size_code, CAST(CASE min(BASKET_PRICE_SENSITIVITY) WHEN 'LA' THEN 0 WHEN 'MM' THEN 1 WHEN 'UM' THEN 2 ELSE 1 END AS BIGINT) AS sensitivity_index FROM tx GROUP BY ALL"))
 def h17(spark, sf):
-    from basketforge.operators.labels import label_code
-
     a = _attributes(spark, sf)
     return tidy(a.select(F.col("BASKET_ID").alias("basket_id"), label_code("BASKET_PRICE_SENSITIVITY", ["LA", "MM", "UM"], 1, 0).alias("sensitivity_code"), label_code("BASKET_SIZE", ["S", "M", "L"], 1, 0).alias("size_code"), label_code("BASKET_PRICE_SENSITIVITY", ["LA", "MM", "UM"], 0, 1).alias("sensitivity_index")))
 
@@ -349,12 +348,12 @@ def _embedded(spark, sf):
 
 @register("j7_history_vectors")
 def j7(spark, sf):
-    return tidy(_history(spark, sf).select("customer_id", F.size("vector").alias("width"), V.norm(F.col("vector")).alias("norm")))
+    return tidy(_history(spark, sf))
 
 
 @register("j9_customer_embeddings")
 def j9(spark, sf):
-    return tidy(_embedded(spark, sf).select("customer_id", "trips", F.size("vector").alias("width"), V.norm(F.col("vector")).alias("norm")))
+    return tidy(_embedded(spark, sf))
 
 
 def _customer_context(spark, sf):
@@ -365,25 +364,44 @@ def _customer_context(spark, sf):
 
 @register("j12_customer_context")
 def j12(spark, sf):
-    return tidy(_customer_context(spark, sf).select("customer_id", *told("vector")))
+    return tidy(_customer_context(spark, sf))
 
 
 @register("j17_dense_context")
 def j17(spark, sf):
+    return tidy(_dense(spark, sf))
+
+
+def _labels(spark, sf):
+    a = _attributes(spark, sf)
+    codes = (("size", "BASKET_SIZE", ["S", "M", "L"]), ("sensitivity", "BASKET_PRICE_SENSITIVITY", ["LA", "MM", "UM"]), ("type", "BASKET_TYPE", list(M.MISSION_TYPES)), ("focus", "BASKET_DOMINANT_MISSION", list(M.MISSION_FOCUSES)))
+    return a.select(F.col("BASKET_ID").alias("basket_id"), *(label_code(c, labels, 1, 0).alias(f"{n}_label") for n, c, labels in codes))
+
+
+def _dense(spark, sf):
     m = meta(spark, sf)
     store = V.store_context(_stores(spark, sf), ST.context_vector(*(F.col(c) for c in _FOUR)))
-    d = V.dense_context(_customer_context(spark, sf), V.temporal_context(T.calendar_features(m)), store, V.trip_context(_attributes(spark, sf)), m)
-    return tidy(d.select("basket_id", *told("vector")))
+    return V.dense_context(_customer_context(spark, sf), V.temporal_context(T.calendar_features(m)), store, V.trip_context(_attributes(spark, sf)), m)
+
+
+def _item_features(spark, sf):
+    t = tx(spark, sf)
+    items = t.select(F.col("BASKET_ID").alias("basket_id"), F.col("LINE_SEQ").alias("position"), F.col("PROD_CODE").alias("product_id"), F.col("STORE_CODE").alias("store_id"), F.col("SHOP_WEEK").alias("week"))
+    return V.item_features(items, V.product_embeddings(G.build_graph(t, JACCARD, GAP), brands(spark, sf)), price_features(P.derive_prices(t)))
+
+
+@register("j17_item_features")
+def j17_items(spark, sf):
+    return tidy(_item_features(spark, sf))
 
 
 @register("k13_masked_samples")
 def k13(spark, sf):
-    """Masked tokens with the dense context of the basket."""
+    """Masked tokens with the dense context (T1, T3, T5, T6), the item features (T2, T4) and the labels of the basket."""
     masked = S.mask_items(_tokens(spark, sf))
-    m = meta(spark, sf)
-    temporal = V.temporal_context(T.calendar_features(m))
-    df = masked.join(temporal, "basket_id").join(m.select("basket_id", "split", "bucket"), "basket_id")
-    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", *told("vector")))
+    samples = V.training_samples(masked, _dense(spark, sf), _item_features(spark, sf), _labels(spark, sf), TOKEN_LENGTH)
+    df = samples.join(meta(spark, sf).select("basket_id", "split", "bucket"), "basket_id")
+    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", "dense_context", "item_features", "item_mask"))
 
 
 @register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))

@@ -40,6 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/basketforge/{name}-{uuid.uuid4().hex}"
+
+
 #: Spark's own switch for removing a query's shuffle files when the query ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,7 +60,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     write's shuffle files go when it ends: what follows reads the table.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/basketforge/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

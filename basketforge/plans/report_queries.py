@@ -16,7 +16,7 @@ from basketforge.plans.feature_queries import _FOUR, FEATURES, PROFILE
 from basketforge.plans.registry import register
 from basketforge.plans.sample_queries import _IDENT, _LABELS, _NORM10, _SV, _TEMP, _attributes, _embedded, _stores, concat_sql, hash_sql, label_sql
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
-from basketforge.plans.temporal_queries import CALENDAR, META, PAIRS, meta, pairs
+from basketforge.plans.temporal_queries import _PRIOR, CALENDAR, META, PAIRS, meta, pairs
 from basketforge.session import staging_path
 from basketforge.sources import transactions as files
 from basketforge.sources.transactions import transactions as tx
@@ -98,7 +98,7 @@ def d30_pairs(spark, sf):
 _DOC = "'\"' || split || '\":{\"n_samples\":' || n || ',\"n_customers\":' || c || ',\"week_range\":[' || a || ',' || b || '],\"week_original_range\":[' || x || ',' || y || '],\"cold_start_count\":' || cold || '}'"
 
 
-@register("d30_split_document", with_sql(f"{META}, pr AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY week, basket_id) - 1 AS prior_baskets FROM meta), sp AS (SELECT split, count(*) AS n, count(DISTINCT customer_id) AS c, min(week) AS a, max(week) AS b, min(week_original) AS x, max(week_original) AS y, count(*) FILTER (WHERE prior_baskets < 5) AS cold FROM pr GROUP BY ALL)", f"SELECT '{{\"total_baskets\":' || sum(n) || ',\"splits\":{{' || string_agg({_DOC}, ',' ORDER BY split) || '}}}}' AS document FROM sp"))
+@register("d30_split_document", with_sql(f"{META}, {_PRIOR}, sp AS (SELECT split, count(*) AS n, count(DISTINCT customer_id) AS c, min(week) AS a, max(week) AS b, min(week_original) AS x, max(week_original) AS y, count(*) FILTER (WHERE prior_baskets < 5) AS cold FROM prior GROUP BY ALL)", f"SELECT '{{\"total_baskets\":' || sum(n) || ',\"splits\":{{' || string_agg({_DOC}, ',' ORDER BY split) || '}}}}' AS document FROM sp"))
 def d30_document(spark, sf):
     return T.split_document(T.prior_baskets(meta(spark, sf)))
 

@@ -51,6 +51,41 @@ def test_quality_on_held_out_labels(spark, small):
     assert np.mean([a == b for a, b in seen]) > 0.9
 
 
+def plain_features(text):
+    """Places of the features of a text and their weights, word by word."""
+    words, out, before = (text or "").split(), Counter(), (None, None)
+    for w in words:
+        word, shape = zlib.crc32(w.lower().encode()) >> 1, zlib.crc32(quality.word_shape(w).encode())
+        pair = before[0] is not None
+        shape = 7 if pair and (word, shape) == before[2] else shape
+        kinds = [word * 4, shape * 4 + 2]
+        if pair:
+            two, shapes = before[0] * 0x2545F491 + word, before[1] * 0x9E3779B1 + shape
+            kinds += [(two ^ two_shift(two)) * 4 + 1, (shapes ^ two_shift(shapes)) * 4 + 3]
+        for x in kinds:
+            out[(wrapped(x * 0x9E3779B97F4A7C1) >> 20) & (quality.BUCKETS - 1)] += 1
+        before = (word, shape, (word, zlib.crc32(quality.word_shape(w).encode())))
+    return out
+
+
+def wrapped(x):
+    """A whole number as a signed one of 64 bits."""
+    return (x + 2**63) % 2**64 - 2**63
+
+
+def two_shift(x):
+    return wrapped(x) >> 29
+
+
+def test_quality_scores_match_plain_dot_products(spark, small, docs):
+    weights = quality.train(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r.doc_id: r.score for r in registry.QUERIES["op1_quality"](spark, small).collect()}
+    for d in docs:
+        own = plain_features(d[1])
+        dot = sum(weights[k] * n for k, n in own.items()) / max(1, sum(own.values())) * 4
+        assert abs(got[d[0]] - 1 / (1 + np.exp(-dot - weights[-1]))) < 1e-6
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 0), (5, None, 0), (99, 0, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0)):
@@ -74,6 +109,33 @@ def test_language_on_held_out(spark, small):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows]) > 0.9 and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_language(text, profiles):
+    """Out-of-place distance with n-grams cut from the letters one by one."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    grams = Counter()
+    for run in runs:
+        padded = [0, *(ord(c) for c in run), 0]
+        for n in (1, 2, 3):
+            for k in range(len(padded) - n + 1):
+                part = padded[k : k + n]
+                if n > 1 or part[0]:
+                    grams[sum(x << 20 * (n - 1 - j) for j, x in enumerate(part)) | (n - 1) << 60] += 1
+    if not grams or not profiles:
+        return "und"
+    # N-grams of a boundary between words hold the boundary once.
+    for a in zip(runs, runs[1:]):
+        grams[ord(a[0][-1]) << 40 | ord(a[1][0]) | 2 << 60] += 1
+    own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[: language_id.PROFILE]]
+    far = {lang: sum(abs(ranks[g] - k) if g in ranks else language_id.PROFILE for k, g in enumerate(own)) for lang, ranks in ((x, {g: k for k, g in enumerate(p)}) for x, p in profiles.items())}
+    return min(sorted(far), key=far.get)
+
+
+def test_language_matches_plain_distances(spark, small, docs):
+    profiles = language_id.learn_profiles(spark.read.parquet(f"{small}/documents.parquet"))
+    got = {r.doc_id: r.lang_pred for r in registry.QUERIES["op3_language"](spark, small).collect()}
+    assert all(got[d[0]] == plain_language(d[1], profiles) for d in docs)
+
+
 def test_language_awkward(spark):
     profiles = {"en": list(language_id.top_ngrams("the and of the")), "de": list(language_id.top_ngrams("der die und der"))}
     got = {r.doc_id: r.lang_pred for r in language_id.identify(table(spark, [(1, None), (2, ""), (3, "12 !"), (4, "the"), (5, "und")]), profiles).collect()}
@@ -209,9 +271,37 @@ def test_entropy_beside_placeholders_and_base_spans(spark):
     texts = [f"SAMPLE_KEY={key}", f"/example/{key}/", f"é😀 {key}/dummy/{more}", f"{key}_{hexes}_{more}", f"{key}/sample", f"sample={hexes}x {key}", f"x/{key}xxxx", "=" * 40_000, "sample" * 20_000, "z" * 100_000, f"😀 api_key: {hexes}; {key}"]
     got = {r.doc_id: r.s for r in secret_scan.scan(table(spark, list(enumerate(texts)))).select("doc_id", secret_scan._text("spans").alias("s")).collect()}
     assert got[0] == "entropy:11:35" and got[1].split(":")[:2] == ["entropy", "9"] and got[2] == "entropy:3:27,entropy:34:58"
-    assert [x.split(":")[0] for x in got[3].split(",")] == ["entropy", "hex", "entropy"]
-    assert got[4] == "entropy:0:24" and got[5] == "hex:7:39,entropy:41:65" and not any(got[k] for k in (6, 7, 8, 9))
-    assert got[10].split(",")[-1] == "entropy:45:69" and len(got[10].split(",")) == 3
+    # A span of the method stays beside the base span that it holds or touches.
+    assert got[3] == "entropy:0:82,hex:25:57" and got[5] == "hex:7:39,entropy:7:40,entropy:41:65"
+    assert got[4] == "entropy:0:24" and not any(got[k] for k in (6, 7, 8, 9))
+    assert got[10] == "assign:2:43,hex:11:43,entropy:11:43,entropy:45:69"
+
+
+def window_hull(text):
+    """The hull of the windows at or over the threshold, each window counted anew."""
+    name = next((n for n, p in secret_scan.CLASSES.items() if re.match(p, text)), "base64")
+    high = []
+    for k in range(len(text) - secret_scan.WINDOW + 1):
+        counts = Counter(text[k : k + secret_scan.WINDOW]).values()
+        bits = -sum(n / secret_scan.WINDOW * np.log2(n / secret_scan.WINDOW) for n in counts)
+        high += [k] * (bits >= secret_scan.THRESHOLDS[name] - 1e-9)
+    return f"entropy:{high[0]}:{high[-1] + secret_scan.WINDOW}" if high else ""
+
+
+def test_entropy_matches_windows_counted_anew(spark):
+    rng = np.random.default_rng(11)
+    kinds = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "etaoin0189", "ABCDEFGH+/xyz0123456789_"]
+    texts = ["".join(rng.choice(list(kind[: rng.integers(3, len(kind) + 1)]), rng.integers(20, 70))) for kind in kinds for _ in range(40)]
+    texts = [x for x in texts if not re.search(secret_scan.PIECE, x) and not any(re.search(p, x) for p in secret_scan.ALLOW)]
+    got = {r.doc_id: r.s for r in secret_scan.scan(table(spark, list(enumerate(texts)))).select("doc_id", secret_scan._text("spans").alias("s")).collect()}
+    found = [",".join(x for x in got[k].split(",") if x.startswith("entropy")) for k in range(len(texts))]
+    # What is equal to a threshold to within rounding may fall on either side.
+    assert sum(x != window_hull(text) for x, text in zip(found, texts)) == 0 and 20 < sum(map(bool, found)) < len(texts)
+
+
+def test_entropy_adds_spans_to_given_documents(spark, small):
+    rows = registry.QUERIES["op5_secrets"](spark, "/root/testdata/sf0.01").collect()
+    assert any("entropy" in r.spans for r in rows)
 
 
 # decontamination
@@ -365,7 +455,7 @@ def removed_lines(texts, p=4, q=5):
 def test_lines_match_brute_force(spark, docs):
     variants = near_copies(80, 14, 1, 7)
     texts = [(d[0], d[1]) for d in docs[:60]] + [(5_000 + k, "same head line\n" + v + "\n\nthe end of it all") for k, v in enumerate(variants)] + [(6_000, None), (6_001, ""), (6_002, "a\na\nA  \nb")]
-    got = {r.doc_id: r.removed for r in LineDedup().decisions(table(spark, texts)).collect() if r.removed}
+    got = {r.doc_id: r.removed for r in LineDedup().removed_lines(table(spark, texts)).collect()}
     assert got == removed_lines(texts)
 
 
@@ -412,3 +502,42 @@ def test_spread_matches_dense_iteration(spark):
     for r in ranks.collect():
         got[int(r.node[1:])] = r["rank"]
     assert np.allclose(got, want)
+
+
+# registered queries on the given tables
+
+
+def test_op2_query_matches_brute_force(spark, small, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in registry.QUERIES["op2_jaccard_join"](spark, small).collect()}
+    assert got == expected_groups([(d[0], d[1]) for d in docs], 3, 9, 10)
+
+
+def test_op8_query_matches_brute_force(spark, small, docs):
+    want = removed_lines([(d[0], d[1]) for d in docs])
+    rows = registry.QUERIES["op8_line_dedup"](spark, small).collect()
+    assert {r.doc_id: r.removed_lines for r in rows} == {d[0]: ",".join(map(str, want.get(d[0], []))) for d in docs}
+    assert {r.doc_id: r.n_lines for r in rows} == {d[0]: sum(x.strip(" ") != "" for x in (d[1] or "").split("\n")) for d in docs}
+
+
+def test_op7_query_finds_links_of_every_twentieth_vector(spark, tmp_path):
+    """Recall of ids divisible by 20 against all rows, at a number of vectors that needs many buckets."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((4_000, 64))
+    near = base[rng.integers(0, 4_000, 2_000)] + rng.standard_normal((2_000, 64)) * 0.3
+    vectors = np.concatenate([base, near])[rng.permutation(6_000)].astype(np.float32)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit[::20] @ unit.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in registry.QUERIES["op7_vector_dedup"](spark, str(tmp_path)).collect()}
+    found = np.array([got[k] for k in range(0, 6_000, 20)])
+    assert (found <= links).all() and links.sum() > 40 and found.sum() >= 0.98 * links.sum()
+
+
+def test_op9_query_covers_every_page(spark, small):
+    rows = registry.QUERIES["op9_url_trust"](spark, small).collect()
+    pages = duckdb.sql(f"SELECT page_id, url FROM '{small}/pages.parquet'").fetchall()
+    assert Counter(r.page_id for r in rows) == Counter(p for p, _ in pages) and {r.verdict for r in rows} <= {"allow", "block"}
+    for r in rows:
+        fits = [(len(h + p), h + p, v) for v, h, p in url_trust.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert r.rule == (max(fits)[1] if fits else None) and (not fits or r.verdict == max(fits)[2])

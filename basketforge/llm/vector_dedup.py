@@ -13,7 +13,10 @@ Pairs are looked for among vectors that share a bucket: ``tables`` groups of
 number of vectors and tables chosen so that a pair at the threshold is met with
 probability ``recall``. A pair met in several tables counts in the first alone.
 Exact copies are one vector until the end. Buckets of over ``BLOCK`` rows are cut
-into blocks, and every two blocks are compared.
+into blocks, and every two blocks are compared. Buckets hold the sign codes alone;
+vectors follow only for rows whose code differs from another's there in few enough
+signs for the angle at the threshold (``SIGN_DEVIATIONS``), so that what is
+shuffled with every table is a few bytes a row.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different widths never link; a null
@@ -40,6 +43,8 @@ COSINE = 0.95
 RECALL = 0.999
 #: Width of the confidence bound, in deviations of the estimate.
 DEVIATIONS = 4.0
+#: Deviations of the number of differing signs, at the threshold's angle, beyond which a pair is passed over.
+SIGN_DEVIATIONS = 5.0
 SEED = 20_240_607
 BLOCK = 1_500
 GROUP_ROWS = 5_000
@@ -111,6 +116,8 @@ def _unit(raw) -> np.ndarray:
 
 
 def _bucketed(bits: int, tables: int):
+    """id, vector -> one row for each table: id, nth, bucket, sign code."""
+
     def run(batches):
         for batch in batches:
             ids, raw = np.array(batch.column(0)), batch.column(1).to_pylist()
@@ -118,17 +125,39 @@ def _bucketed(bits: int, tables: int):
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
                 # Few rows at a time: each is written once for each table.
-                for part in np.array_split(at, -(-len(at) // 256)):
-                    own = [raw[k] for k in part]
-                    keys = table_keys(_unit(own), bits, tables)
+                for part in np.array_split(at, -(-len(at) // 1024)):
+                    unit = _unit([raw[k] for k in part])
+                    keys = table_keys(unit, bits, tables)
                     mixed = (keys * tables + np.arange(tables)) * 4096 + width % 4096
+                    signs = np.packbits(unit @ rotation(unit.shape[1], 0) >= 0, axis=1)
+                    codes = pa.array([x.tobytes() for x in signs], pa.binary())
                     rows = np.repeat(np.arange(len(part)), tables)
-                    columns = [pa.array(ids[part][rows]), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(mixed.ravel()), pa.array([own[k] for k in rows], pa.binary()), batch.column(2).take(pa.array(part[rows]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "nth", "bucket", "raw", "copies"])
+                    columns = [pa.array(ids[part][rows]), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(mixed.ravel()), codes.take(pa.array(rows))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "nth", "bucket", "code"])
 
     return run
 
 
+def most_signs(width: int, cosine: float) -> float:
+    """The most signs of ``width`` in which a pair at the threshold is expected to differ."""
+    apart = math.acos(cosine) / math.pi
+    return width * apart + SIGN_DEVIATIONS * math.sqrt(width * apart * (1 - apart))
+
+
+def with_near_codes(group: np.ndarray, side: np.ndarray, codes: np.ndarray, most: float) -> np.ndarray:
+    """Of rows in order of ``group``, those whose code is near another's of the group (of another side, where sides are given)."""
+    _, sizes = np.unique(group, return_counts=True)
+    found = np.zeros(len(group), bool)
+    for k in range(1, int(sizes.max(initial=1))):
+        i = np.flatnonzero(group[:-k] == group[k:])
+        if not len(i):
+            break
+        i = i[(side[i] < 0) | (side[i] != side[i + k])]
+        near = i[np.bitwise_count(codes[i] ^ codes[i + k]).sum(1) <= most]
+        found[near] = found[near + k] = True
+    return found
+
+
 def link_group(ids: np.ndarray, nth: np.ndarray, group: np.ndarray, side: np.ndarray, unit: np.ndarray, bits: int, tables: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of rows that share ``group`` (and, where sides are given, differ in side), first tables only."""
     order = np.argsort(group, kind="stable")
@@ -181,8 +210,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     classes = made.where("vec_id is not null and h1 is not null").groupBy(*whole).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes = staged(classes, "vector-classes")
     bits, tables = plan(classes.count(), cosine, recall)
-    schema = "id long, nth int, bucket long, raw binary, copies long"
-    placed = classes.select("id", "raw", "copies").mapInArrow(_bucketed(bits, tables), schema)
+    placed = classes.select("id", "raw").mapInArrow(_bucketed(bits, tables), "id long, nth int, bucket long, code binary")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     large = staged(sizes.where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets")
     many = placed.join(large, "bucket", "left")
@@ -191,9 +219,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     many = many.withColumn("own", own).withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(others)))
     side = F.when(F.col("pair.i") == F.col("pair.j"), F.lit(-1)).otherwise(F.col("own"))
-    many = many.select("id", "nth", "raw", "copies", side.alias("side"), F.xxhash64("bucket", "pair.i", "pair.j").alias("group"))
+    many = many.select("id", "nth", "code", side.alias("side"), F.xxhash64("bucket", "pair.i", "pair.j").alias("group"))
     groups = max(1, made.count() * tables // GROUP_ROWS)
 
+    def near(pdf):
+        pdf, out = pdf.sort_values("group", kind="stable"), []
+        for size, own in pdf.groupby(pdf["code"].map(len), sort=False):
+            codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
+            out.append(own[with_near_codes(own["group"].to_numpy(), own["side"].to_numpy(), codes, most_signs(8 * size, cosine))])
+        import pandas as pd
+
+        return (pd.concat(out) if out else pdf)[["id", "nth", "side", "group"]]
+
     def linked(pdf):
         import pandas as pd
 
@@ -209,7 +246,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 out.append(pd.DataFrame({"a": list(roots), "b": list(roots.values()), "n": 0}, dtype="int64"))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
 
-    found = many.groupBy(F.pmod("group", F.lit(groups)).alias("g")).applyInPandas(linked, "a long, b long, n long")
+    met = many.groupBy(F.pmod("group", F.lit(groups)).alias("g")).applyInPandas(near, "id long, nth int, side int, group long")
+    met = staged(met, "near-codes").join(classes.select("id", "raw", "copies"), "id")
+    found = met.groupBy(F.pmod("group", F.lit(groups)).alias("g")).applyInPandas(linked, "a long, b long, n long")
     found = staged(found, "vector-links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     joined = connected_components(found.where("a <> b").select("a", "b"))

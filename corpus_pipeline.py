@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``; the last returns the pieces of packed sequences.
+
+Defined cases, in every stage: empty tables give empty tables; extra columns are
+kept, whatever their names (packing leaves them out). Null and empty texts have the
+score of the classifier's bias, no lines, no near copies, no benchmark words, and
+are packed as an end token alone. A null doc_id has no near copies, and is carried
+along. Repeated rows are judged alike by all stages but the Jaccard join, which
+keeps one of them. Of equal scores and sizes the smaller doc_id comes first.
 """
 
 from __future__ import annotations

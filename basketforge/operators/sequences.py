@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketforge.session import staged
+
 PAD = 0
 _INTS = "array<int>"
 
 
-def build_vocab(df: DataFrame, column: str, offset: int = 1) -> DataFrame:
-    """value, idx: sorted distinct values numbered from ``offset``; for small domains."""
+def numbered(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFrame:
+    """``df`` with ``nth``: each row's number from 0 in the given order, within ``by``.
+
+    Rows are dealt by ranges, each range numbers its own, and the rows of the ranges
+    before are added: no task holds a whole group.
+    """
+    ranged = staged(df.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range and group.
+    counts = ranged.groupBy(*by, "part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order)) - 1
+    counts = counts.withColumnsRenamed({c: f"_{c}" for c in (*by, "part")})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "part")))
+    return ranged.withColumn("own", own).join(counts, same).select(*df.columns, (F.col("own") + F.col("base")).alias("nth"))
+
+
+def build_vocab(df: DataFrame, column: str, offset: int = 1, large: bool = False) -> DataFrame:
+    """value, idx: sorted distinct values numbered from ``offset``; one task numbers them unless the domain is ``large``."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    if large:
+        return numbered(values, ["value"]).select("value", (F.col("nth") + offset).cast("int").alias("idx"))
     return values.withColumn("idx", (F.row_number().over(Window.orderBy("value")) - 1 + offset).cast("int"))
 
 
@@ -19,7 +41,7 @@ def vocab_bundle(tx: DataFrame) -> DataFrame:
     """Vocabularies of products, stores and customers in one table: entity, value, idx."""
     out = None
     for name, c in (("product", "PROD_CODE"), ("store", "STORE_CODE"), ("customer", "CUST_CODE")):
-        rows = build_vocab(tx, c).select(F.lit(name).alias("entity"), "value", "idx")
+        rows = build_vocab(tx, c, large=name == "customer").select(F.lit(name).alias("entity"), "value", "idx")
         out = rows if out is None else out.union(rows)
     return out
 
@@ -156,12 +178,11 @@ def store_visit_samples(pairs: DataFrame, stores: DataFrame) -> DataFrame:
 
 def plan_batches(samples: DataFrame, key: str, group: str, size: int, seed: int = 3) -> DataFrame:
     """Batch number within each group in a seeded order, and a seeded order of the batches."""
-    order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    df = samples.select(key, group).withColumn("batch", (F.floor((F.row_number().over(order) - 1) / size)).cast("int"))
+    drawn = samples.select(key, group, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("drawn"))
+    df = numbered(drawn, ["drawn", key], [group]).select(key, group, F.floor(F.col("nth") / size).cast("int").alias("batch"))
     return df.withColumn("batch_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col("batch").cast("string"))))
 
 
 def evaluation_groups(samples: DataFrame, key: str, by: str, size: int) -> DataFrame:
     """Batches inside each date, hour or week, in key order."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    return samples.select(key, by).withColumn("batch", F.floor((nth - 1) / size).cast("int"))
+    return numbered(samples.select(key, by), [key], [by]).select(key, by, F.floor(F.col("nth") / size).cast("int").alias("batch"))

@@ -46,11 +46,17 @@ def _md5_share(*parts):
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 6), 16, 10).cast("double") / 16777216.0
 
 
-def _item_scores(spark, sf):
+def _item_scores(spark, sf, best=None):
+    """Scores and truth; with ``best``, the best items of each sample alone.
+
+    A sample's scores are those of its store, so a store's best items are picked before they are joined.
+    """
     m = meta(spark, sf)
     lines = tx(spark, sf).select(F.col("BASKET_ID").alias("basket_id"), F.col("PROD_CODE").alias("item"))
     known = lines.join(m.select("basket_id", "store_id", "split"), "basket_id")
     pop = known.where("split = 'train'").groupBy("store_id", "item").agg(F.count("*").alias("n")).withColumn("score", F.col("n") + _md5_share("store_id", "item"))
+    if best:
+        pop = R.topk(pop.withColumnRenamed("store_id", "sample_id"), best).select(F.col("sample_id").alias("store_id"), "item", "n", "score")
     scores = m.where("split = 'test'").select(F.col("basket_id").alias("sample_id"), "store_id").join(pop, "store_id").select("sample_id", "item", "score")
     truth = known.where("split = 'test'").select(F.col("basket_id").alias("sample_id"), "item").distinct()
     return scores, truth
@@ -69,7 +75,7 @@ def _pred(spark, sf):
 
 @register("f7_topk", with_sql(ITEMS, "SELECT sample_id, item, rank FROM ranked WHERE rank <= 3"))
 def f7(spark, sf):
-    return tidy(R.topk(_item_scores(spark, sf)[0], 3).select("sample_id", "item", "rank"))
+    return tidy(R.topk(_item_scores(spark, sf, 3)[0], 3).select("sample_id", "item", "rank"))
 
 
 @register("f8_above_threshold", with_sql(ITEMS, "SELECT sample_id, count(*) AS n FROM scores WHERE score > 4 GROUP BY ALL"))
@@ -93,7 +99,7 @@ _NAMES = [f"{m}_{k}" for k in _KS for m in ("precision", "recall", "f1", "hit_ra
 
 @register("l1_basket_metrics", with_sql(f"{ITEMS}, best AS (SELECT r.*, t.item IS NOT NULL AS hit FROM ranked r LEFT JOIN truth t USING (sample_id, item) WHERE rank <= 20), per AS (SELECT sample_id, {', '.join(f'sum((hit AND rank <= {k})::INT) AS h{k}, sum(CASE WHEN hit AND rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END) AS d{k}' for k in _KS)} FROM best GROUP BY ALL), act AS (SELECT sample_id, count(*) AS n FROM truth GROUP BY ALL)", f"SELECT {', '.join(map(_basket_sql, _KS))} FROM per JOIN act USING (sample_id)", ", ".join(_NAMES)))
 def l1(spark, sf):
-    return tidy(R.basket_metrics(*_item_scores(spark, sf)))
+    return tidy(R.basket_metrics(*_item_scores(spark, sf, max(_KS))))
 
 
 _MASKED = "count(*) AS items, avg(coalesce((rank <= 1)::INT, 0)) AS accuracy, avg(coalesce((rank <= 5)::INT, 0)) AS hit_at_5, avg(coalesce((rank <= 10)::INT, 0)) AS hit_at_10, avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END) AS mrr"

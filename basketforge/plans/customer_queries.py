@@ -63,7 +63,7 @@ def c2(spark, sf):
     return tidy(A.additional_affinity(A.customer_store_visits(tx(spark, sf))))
 
 
-@register("c1_affinity", with_sql(AFFINITY, "SELECT * FROM affinity", "loyalty_score, switching_rate, visit_concentration, primary_store_share, total_spend"))
+@register("c1_affinity", with_sql(AFFINITY, "SELECT * FROM affinity", "loyalty_score, switching_rate, visit_concentration, primary_store_share, total_spend"), shared=True)
 def c1(spark, sf):
     return tidy(A.assemble_affinity(tx(spark, sf)))
 
@@ -146,7 +146,7 @@ def d18(spark, sf):
 _DOUBLES = f"mission_type_entropy, {_P_TYPE}, focus_entropy, {_P_FOCUS}, mean_price_sensitivity, sensitivity_volatility, mean_basket_size, basket_size_variance, avg_items_per_trip, avg_spend_per_trip, p_size_s, p_size_m, p_size_l, mission_consistency"
 
 
-@register("c1_missions", with_sql(MISSIONS, "SELECT * FROM missions", _DOUBLES))
+@register("c1_missions", with_sql(MISSIONS, "SELECT * FROM missions", _DOUBLES), shared=True)
 def c1_missions(spark, sf):
     return tidy(M.assemble_missions(tx(spark, sf)).drop("mission_type_dist", "mission_focus_dist"))
 

@@ -268,7 +268,7 @@ def m3(spark, sf):
     return tidy(Q.mission_report(M.assemble_missions(tx(spark, sf)), _MC))
 
 
-@register("m4_brand_report", with_sql(BRANDS + ", sz AS (SELECT pseudo_brand_id, count(*) AS size FROM brands GROUP BY ALL)", "SELECT count(*) AS brands, avg(size) AS mean_size, max(size) AS max_size, avg((size = 1)::INT) AS singleton_share, (SELECT avg((price_tier = 'premium')::INT) FROM brands) AS premium_share, (SELECT avg((price_tier = 'mid')::INT) FROM brands) AS mid_share, (SELECT avg((price_tier = 'value')::INT) FROM brands) AS value_share FROM sz", "mean_size, singleton_share, premium_share, mid_share, value_share"))
+@register("m4_brand_report", with_sql(BRANDS + ", sz AS (SELECT pseudo_brand_id, count(*) AS size FROM brands GROUP BY ALL)", "SELECT count(*) AS brands, avg(size) AS mean_size, max(size) AS max_size, avg((size = 1)::INT) AS singleton_share, (SELECT avg((price_tier = 'premium')::INT) FROM brands) AS premium_share, (SELECT avg((price_tier = 'mid')::INT) FROM brands) AS mid_share, (SELECT avg((price_tier = 'value')::INT) FROM brands) AS value_share FROM sz", "mean_size, singleton_share, premium_share, mid_share, value_share"), shared=True)
 def m4(spark, sf):
     return tidy(Q.brand_report(brands(spark, sf)))
 

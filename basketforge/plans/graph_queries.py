@@ -10,6 +10,7 @@ from basketforge.operators import graph as G
 from basketforge.operators import pricing as P
 from basketforge.plans.registry import register
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
+from basketforge.session import once
 from basketforge.sources.transactions import transactions as tx
 
 #: The given tables share few customers between products: thresholds at which edges exist.
@@ -96,7 +97,7 @@ def i4(spark, sf):
     return tidy(G.hierarchy_edges(tx(spark, sf)))
 
 
-@register("i5_build_graph", with_sql(GRAPH, "SELECT * FROM edges", "weight"))
+@register("i5_build_graph", with_sql(GRAPH, "SELECT * FROM edges", "weight"), shared=True)
 def i5(spark, sf):
     return tidy(G.build_graph(tx(spark, sf), JACCARD, GAP))
 
@@ -150,10 +151,11 @@ def i8(spark, sf):
         "(SELECT avg(d) FROM deg) AS mean_degree, (SELECT max(d) FROM deg) AS max_degree, (SELECT min(d) FROM deg) AS min_degree, (SELECT count(*) FROM deg WHERE d = 0) AS isolated)",
         "largest_share, density, mean_degree, score",
     ),
+    shared=True,
 )
 def i9(spark, sf):
     t = tx(spark, sf)
-    return tidy(G.graph_metrics(G.graph_nodes(t), G.build_graph(t, JACCARD, GAP)))
+    return tidy(G.graph_metrics(G.graph_nodes(t), graph(spark, sf)))
 
 
 _RULES = {"enough_customers": "customers_a >= 5 AND customers_b >= 5", "shared_customers": f"jaccard >= {JACCARD}::DOUBLE", "low_lift": "coalesce(lift, 0.5) <= 1.2", "priced": "coalesce(price_a > 0 AND price_b > 0, false)", "alike_prices": f"coalesce(price_gap <= {GAP}::DOUBLE, false)"}
@@ -195,8 +197,15 @@ BRANDS = f"RECURSIVE {ALL_PRICES}, {_DIM}, {_PAIRS}, {_LIFT}, {_CAT}, {_SUB}, {_
 
 
 def brands(spark, sf):
-    t = tx(spark, sf)
-    return B.pseudo_brands(t, P.derive_prices(t), G.substitution_edges(t, JACCARD, gap=GAP), STRONG)
+    return once("brands", lambda: B.pseudo_brands(tx(spark, sf), prices(spark, sf), once("substitution", lambda: G.substitution_edges(tx(spark, sf), JACCARD, gap=GAP), sf), STRONG), sf)
+
+
+def prices(spark, sf):
+    return once("prices", lambda: P.derive_prices(tx(spark, sf)), sf)
+
+
+def graph(spark, sf):
+    return once("graph", lambda: G.build_graph(tx(spark, sf), JACCARD, GAP), sf)
 
 
 def _info(spark, sf):
@@ -239,7 +248,7 @@ def d35(spark, sf):
     return tidy(brands(spark, sf).select("pseudo_brand_id", "brand_size").distinct())
 
 
-@register("i11_pseudo_brands", with_sql(BRANDS, "SELECT * FROM brands", "category_price_percentile, price_cv, market_share_proxy, relative_price, mean_price, base_price, avg_discount, promo_frequency"))
+@register("i11_pseudo_brands", with_sql(BRANDS, "SELECT * FROM brands", "category_price_percentile, price_cv, market_share_proxy, relative_price, mean_price, base_price, avg_discount, promo_frequency"), shared=True)
 def i11(spark, sf):
     return tidy(brands(spark, sf))
 

@@ -41,12 +41,12 @@ def m5(spark, sf):
     return tidy(Q.price_feature_report(_price_vectors(spark, sf)), 4)
 
 
-@register("m6_customer_report")
+@register("m6_customer_report", shared=True)
 def m6_customers(spark, sf):
     return tidy(Q.customer_embedding_report(_embedded(spark, sf)))
 
 
-@register("m7_store_report", with_sql(_STORE_VECTORS, _STORE_REPORT, "mean, std, score"))
+@register("m7_store_report", with_sql(_STORE_VECTORS, _STORE_REPORT, "mean, std, score"), shared=True)
 def m7(spark, sf):
     return tidy(Q.store_report(_store_vectors(spark, sf)))
 
@@ -74,7 +74,7 @@ def m8_contexts(spark, sf):
     return tidy(out)
 
 
-@register("m8_customer_context_check")
+@register("m8_customer_context_check", shared=True)
 def m8_customers(spark, sf):
     """Check of the customer embeddings that T1 is made of."""
     return tidy(Q.vector_check(_embedded(spark, sf).select("customer_id", "vector"), 160))
@@ -84,7 +84,7 @@ _SECTIONS = f"SELECT 'prices' AS section, score FROM ({_PR}) UNION ALL SELECT 'p
 _EMB_CHECK = _check_sql("vector", "emb", 64).replace("dims AS", "dimsE AS").replace("FROM dims)", "FROM dimsE)").replace("chk AS", "chkE AS")
 
 
-@register("m9_quality_summary", with_sql(f"{_STORE_VECTORS}, {FEATURES[len(TX) + 2 :]}, {_check_sql('features', 'pf', 64)}, {_EMB}, {_EMB_CHECK}, s AS ({_SECTIONS})", "SELECT * FROM s UNION ALL SELECT 'overall', avg(score) FROM s", "score"))
+@register("m9_quality_summary", with_sql(f"{_STORE_VECTORS}, {FEATURES[len(TX) + 2 :]}, {_check_sql('features', 'pf', 64)}, {_EMB}, {_EMB_CHECK}, s AS ({_SECTIONS})", "SELECT * FROM s UNION ALL SELECT 'overall', avg(score) FROM s", "score"), shared=True)
 def m9(spark, sf):
     sections = {"prices": Q.price_report(P.derive_prices(tx(spark, sf))), "price_features": Q.price_feature_report(_price_vectors(spark, sf)), "stores": Q.store_report(_store_vectors(spark, sf)), "embeddings": Q.vector_check(_emb(spark, sf), 64)}
     return tidy(Q.quality_summary(sections))

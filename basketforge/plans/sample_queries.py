@@ -21,10 +21,11 @@ from basketforge.operators.labels import label_code
 from basketforge.operators.price_features import price_features
 from basketforge.plans.customer_queries import AFFINITY, BASKETS, MISSIONS
 from basketforge.plans.feature_queries import _CTX, _FOUR, _OPS_VEC, FEATURES, PROFILE, profile, told, told_sql
-from basketforge.plans.graph_queries import BRANDS, GAP, GRAPH, JACCARD, brands
+from basketforge.plans.graph_queries import BRANDS, GAP, GRAPH, JACCARD, brands, graph, prices
 from basketforge.plans.registry import register
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
 from basketforge.plans.temporal_queries import CALENDAR, META, PAIRS, meta, pairs
+from basketforge.session import once
 from basketforge.sources.transactions import transactions as tx
 
 _VOCAB = "vocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT PROD_CODE AS value FROM tx)), svocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS idx FROM (SELECT DISTINCT STORE_CODE AS value FROM tx))"
@@ -227,7 +228,7 @@ def k10(spark, sf):
 _NODE = f"nf AS (SELECT product_id AS node, {concat_sql(label_sql('product', 'product_id', 64), label_sql('brand', 'pseudo_brand_id', 32), label_sql('category', 'sub_commodity', 32), label_sql('tier', 'price_tier', 16))} AS vector FROM brands)"
 
 
-@register("j3_node_features", with_sql(f"{BRANDS}, {_NODE}", f"SELECT node, {told_sql('vector', 'v')} FROM nf", "v_sum, v_dot", 5))
+@register("j3_node_features", with_sql(f"{BRANDS}, {_NODE}", f"SELECT node, {told_sql('vector', 'v')} FROM nf", "v_sum, v_dot", 5), shared=True)
 def j3(spark, sf):
     return tidy(V.node_features(brands(spark, sf)).select("node", *told("vector")), 5)
 
@@ -245,9 +246,9 @@ def j4(spark, sf):
     return tidy(V.aggregate_hop(features, G.build_graph(t, JACCARD, GAP), 8).select("node", *told("vector")), 5)
 
 
-@register("j5_product_embeddings")
+@register("j5_product_embeddings", shared=True)
 def j5(spark, sf):
-    e = V.product_embeddings(G.build_graph(tx(spark, sf), JACCARD, GAP), brands(spark, sf))
+    e = V.product_embeddings(graph(spark, sf), brands(spark, sf))
     return tidy(e)
 
 
@@ -318,7 +319,7 @@ def j8(spark, sf):
 
 def _trips(spark, sf):
     emb = _vocab(spark, sf).select(F.col("value").alias("node"), V.hash_vector(F.col("value"), 128).alias("vector"))
-    trips = T.trip_attention(T.recent_trips(tx(spark, sf)))
+    trips = once("trips", lambda: T.trip_attention(T.recent_trips(tx(spark, sf))), sf)
     return trips, V.trip_vectors(trips, emb)
 
 
@@ -346,12 +347,12 @@ def _embedded(spark, sf):
     return V.customer_embeddings(_history(spark, sf), M.assemble_missions(tx(spark, sf)), _counts(spark, sf))
 
 
-@register("j7_history_vectors")
+@register("j7_history_vectors", shared=True)
 def j7(spark, sf):
     return tidy(_history(spark, sf))
 
 
-@register("j9_customer_embeddings")
+@register("j9_customer_embeddings", shared=True)
 def j9(spark, sf):
     return tidy(_embedded(spark, sf))
 
@@ -362,12 +363,12 @@ def _customer_context(spark, sf):
     return V.customer_context(segments, _embedded(spark, sf), A.assemble_affinity(t))
 
 
-@register("j12_customer_context")
+@register("j12_customer_context", shared=True)
 def j12(spark, sf):
     return tidy(_customer_context(spark, sf))
 
 
-@register("j17_dense_context")
+@register("j17_dense_context", shared=True)
 def j17(spark, sf):
     return tidy(_dense(spark, sf))
 
@@ -387,15 +388,15 @@ def _dense(spark, sf):
 def _item_features(spark, sf):
     t = tx(spark, sf)
     items = t.select(F.col("BASKET_ID").alias("basket_id"), F.col("LINE_SEQ").alias("position"), F.col("PROD_CODE").alias("product_id"), F.col("STORE_CODE").alias("store_id"), F.col("SHOP_WEEK").alias("week"))
-    return V.item_features(items, V.product_embeddings(G.build_graph(t, JACCARD, GAP), brands(spark, sf)), price_features(P.derive_prices(t)))
+    return V.item_features(items, V.product_embeddings(graph(spark, sf), brands(spark, sf)), price_features(prices(spark, sf)))
 
 
-@register("j17_item_features")
+@register("j17_item_features", shared=True)
 def j17_items(spark, sf):
     return tidy(_item_features(spark, sf))
 
 
-@register("k13_masked_samples")
+@register("k13_masked_samples", shared=True)
 def k13(spark, sf):
     """Masked tokens with the dense context (T1, T3, T5, T6), the item features (T2, T4) and the labels of the basket."""
     masked = S.mask_items(_tokens(spark, sf))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +86,34 @@ def dropped(*tables: DataFrame | None) -> None:
             spark = made.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_held: ContextVar[dict | None] = ContextVar("held", default=None)
+
+
+def computed_once(query: Callable) -> Callable:
+    """Within one call of ``query``, tables that ``once`` names are computed and written once."""
+
+    @wraps(query)
+    def run(*args):
+        if _held.get() is not None:
+            return query(*args)
+        token = _held.set({})
+        try:
+            return query(*args)
+        finally:
+            _held.reset(token)
+
+    return run
+
+
+def once(name: str, make: Callable[[], DataFrame], *key: str) -> DataFrame:
+    """``make()``; inside a query under ``computed_once``, a new reader of the table that its first call wrote."""
+    held = _held.get()
+    if held is None:
+        return make()
+    if (name, *key) not in held:
+        made = staged(make(), name)
+        held[(name, *key)] = (made.sparkSession, made.schema, _places[made])
+    spark, schema, path = held[(name, *key)]
+    return spark.read.schema(schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketforge.session import once
 from basketforge.sources.tables import table
 
 #: Schema of transaction files; readers prune it to the columns asked for.
@@ -77,6 +78,11 @@ def _labels(column, labels: dict):
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical transactions; written once in queries that read them several times."""
+    return once("transactions", lambda: _transactions(spark, folder), folder)
+
+
+def _transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Basket lines in the canonical schema, from lineitem, orders, part and customer.
 
     Lines and orders meet on the order key; the windows that number a basket's

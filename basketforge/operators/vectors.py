@@ -265,11 +265,16 @@ def item_features(items: DataFrame, embeddings: DataFrame, prices: DataFrame) ->
     return df.select("basket_id", "position", F.concat(zero("t2", 256), zero("t4", 64)).alias("vector"))
 
 
-def training_samples(masked: DataFrame, dense: DataFrame, items: DataFrame, labels: DataFrame, length: int = 50) -> DataFrame:
-    """Masked baskets with dense context (400), item features (``length`` x 320, padded, with a mask) and label codes."""
+def training_samples(masked: DataFrame, dense: DataFrame, items: DataFrame, labels: DataFrame, length: int = 50, pad: bool = True) -> DataFrame:
+    """Masked baskets with dense context (400), item features (320 for each of at most ``length`` items) and label codes.
+
+    With ``pad`` the items are padded to ``length``, with a mask; else there is their number.
+    """
     listed = items.where(F.col("position") <= length).groupBy("basket_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "vector"))), lambda x: x["vector"]).alias("found"))
-    pad = F.array_repeat(F.array_repeat(F.lit(0.0), 320), length)
-    rows = listed.select("basket_id", F.slice(F.concat("found", pad), 1, length).alias("item_features"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: (k <= F.size("found")).cast("int")).alias("item_mask"))
+    rows = listed.select("basket_id", F.col("found").alias("item_features"), F.size("found").alias("n_items"))
+    if pad:
+        zeros = F.array_repeat(F.array_repeat(F.lit(0.0), 320), length)
+        rows = listed.select("basket_id", F.slice(F.concat("found", zeros), 1, length).alias("item_features"), F.transform(F.sequence(F.lit(1), F.lit(length)), lambda k: (k <= F.size("found")).cast("int")).alias("item_mask"))
     return masked.join(dense.select("basket_id", F.col("vector").alias("dense_context")), "basket_id").join(rows, "basket_id").join(labels, "basket_id")
 
 

@@ -393,16 +393,16 @@ def _item_features(spark, sf):
 
 @register("j17_item_features", shared=True)
 def j17_items(spark, sf):
-    return tidy(_item_features(spark, sf))
+    return tidy(_item_features(spark, sf).withColumn("vector", F.col("vector").cast("array<float>")))
 
 
 @register("k13_masked_samples", shared=True)
 def k13(spark, sf):
     """Masked tokens with the dense context (T1, T3, T5, T6), the item features (T2, T4) and the labels of the basket."""
     masked = S.mask_items(_tokens(spark, sf))
-    samples = V.training_samples(masked, _dense(spark, sf), _item_features(spark, sf), _labels(spark, sf), TOKEN_LENGTH)
+    samples = V.training_samples(masked, _dense(spark, sf), _item_features(spark, sf), _labels(spark, sf), TOKEN_LENGTH, pad=False)
     df = samples.join(meta(spark, sf).select("basket_id", "split", "bucket"), "basket_id")
-    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", "dense_context", "item_features", "item_mask"))
+    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", F.col("dense_context").cast("array<float>").alias("dense_context"), F.col("item_features").cast("array<array<float>>").alias("item_features"), "n_items"))
 
 
 @register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))

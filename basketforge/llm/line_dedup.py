@@ -1,42 +1,49 @@
 """Line dedup: an exact set-similarity join of lines, with DataFrame functions only.
 
 A line's set is that of its lower-cased words between spaces. Words are ordered
-by rarity (hashed counts over all lines of the corpus, in eighths of a doubling),
+by rarity (hashed counts over all lines of the corpus, in quarters of a doubling),
 and a line posts its prefix: the n - ceil(n p/q) + 1 rarest of its n words. Two
 lines of Jaccard similarity p/q or more share a word of their prefixes. Pairs
-that do are cut by length, by position in the prefix, and by a 64-bit parity
-sketch of the sets; what is left is verified on the words themselves. A line goes
-if an earlier line (by doc_id, then by place) is similar to it.
+that do are cut by length, by position in the prefix, and by a parity sketch of
+the sets (64 bits, of long lines 128); what is left is verified on the words
+themselves. The smaller of two similar lines need post still fewer words as such,
+n - ceil(n 2p/(p+q)) + 1. A line goes if an earlier line (by doc_id, then by place)
+is similar to it.
 
 Lines with the same words are one class. Variants of one line could make a number
-of pairs that is square in the size of their group, so each class is first
-compared with a few leaders: the words are dealt into ``PIECES`` pieces by hash, and
-the most repeated of the classes that share a piece leads it (a line with one word
-changed shares two pieces at least). Pairs whose later line is already similar to an earlier
-leader are then left out of the join: they can change no decision. Every
-leader pair is verified as well, and a class whose leader fails goes back in.
+of pairs that is square in the size of their group, so classes of a crowd (many
+that share two neighbouring words of their prefixes) are first compared with a few
+leaders of it. A class that an earlier leader removes needs no other partner: it
+stays in the join as an earlier line, and is left out as a later one.
 
 Defined cases: null text stays null and has no lines; lines without a word
 (blank ones too) always stay; lines of three words or fewer at p/q = 4/5 go only
 if the same words came before; rows that repeat doc_id and text are one document
-and are treated alike; a null doc_id sorts first; extra columns are kept.
+and are treated alike; a null doc_id sorts first; extra columns are kept; a line
+may be of any length, and is compared whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketforge.llm.bit_table import bit_table, in_table
-from basketforge.session import staged
+from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
 #: Places of the hashed word counts: bounds the table of rarities that tasks hold.
 COUNT_BUCKETS = 2**18
-#: Pieces into which a line's words are dealt to find its leaders.
-PIECES = 4
 #: Words of a line from which on its size is kept as "large" in postings.
 LARGE = 2**22 - 1
+#: Last words of a line's prefix by whose neighbouring pairs it looks for a leader.
+STAR_WORDS = 4
+#: Classes from which on a pair of words is looked at for leaders, leaders drawn of each, and how many of them a class is compared with.
+CROWD, DRAWN, TRIED = 6, 8, 12
+#: Words of a line from which on its sketch has 128 bits.
+LONG = 64
+#: Bits of a word's hash; those above hold its rarity.
+HASH_BITS = 56
 ROW = ["doc_id", "row_key"]
 
 
@@ -53,9 +60,12 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity_classes(docs: DataFrame) -> Column:
-    """Array by hash place: how frequent its words are, in eighths of a doubling (0: absent)."""
-    lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    """Array by hash place: how frequent its words are, in quarters of a doubling (0: absent).
+
+    A literal of a fixed size: as a column of a broadcast row the array would be
+    copied with every line, which took twenty times as long.
+    """
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("at")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2("n") * 4 + 1)).cast("int")
     #: Packed on the executors: 256 rows come to the driver, for any corpus.
@@ -64,51 +74,77 @@ def rarity_classes(docs: DataFrame) -> Column:
     for r in packed.collect():
         for k, v in r["cells"]:
             levels[r["page"] << 10 | k] = v
-    return F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<int>)")
+    return F.expr(f"cast(split('{','.join(map(str, levels))}', ',') as array<bigint>)")
+
+
+def _split_lines(docs: DataFrame) -> DataFrame:
+    """One row per line that has words: doc_id, row_key, line, said (the line, lower-cased)."""
+    # The key is made before the lines are, once for each text.
+    keyed = docs.where("text is not null").select("doc_id", _row_key().alias("row_key"), F.lower("text").alias("text"))
+    return keyed.select(*ROW, F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.trim("said") != "")
 
 
 def _lines(docs: DataFrame, p: int, q: int) -> DataFrame:
-    """One row per line that has words: its place, set hash, size, sketch, pieces and prefix."""
-    classes = rarity_classes(docs)
-    rows = docs.where("text is not null").select("doc_id", _row_key().alias("row_key"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "words"))
-    hashed = rows.select(*ROW, "line", F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))).alias("h"))
-    hashed = hashed.where(F.size("h") > 0)
-    ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.element_at(classes, _bucket(h) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    n = F.size("h")
-    prefix = F.when(F.col("n") * (q - p) < p, F.lit(0)).otherwise(F.col("n") - F.ceil(F.col("n") * F.lit(p) / F.lit(q)).cast("int") + 1)
-    sketch = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(_one_bit(h)))
-    return hashed.select(
+    """One row per line that has words: its place, hash of its set, size, sketch and prefix."""
+    levels = rarity_classes(docs)
+    rank = lambda h: F.shiftleft(F.get(levels, _bucket(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(2**HASH_BITS - 1)))
+    ranked = F.sort_array(F.array_distinct(F.transform(F.transform(_words(F.col("said")), lambda w: F.xxhash64(w)), rank)))
+    rows = _split_lines(docs).select(*ROW, "line", ranked.alias("ranked"))
+    n = F.size("ranked")
+    prefix = F.when(n * (q - p) < p, F.lit(0)).otherwise(n - F.ceil(n * F.lit(p) / F.lit(q)).cast("int") + 1)
+    none = F.lit(0).cast("long")
+    sketch = F.aggregate("ranked", none, lambda a, h: a.bitwiseXOR(_one_bit(F.lit(1).cast("long"), h)))
+    # The words of the upper half of a sketch of 128 bits: the lower half is what the two differ in.
+    upper = F.aggregate("ranked", none, lambda a, h: a.bitwiseXOR(_one_bit(F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long")), h)))
+    return rows.select(
         *ROW,
         "line",
+        F.xxhash64("ranked").alias("same"),
         n.alias("n"),
         sketch.alias("sketch"),
-        ranked.alias("ranked"),
-    ).select(*ROW, "line", F.xxhash64("ranked").alias("same"), "n", "sketch", F.array_compact(F.array(*map(_piece, range(PIECES)))).alias("pieces"), F.transform(F.slice("ranked", 1, prefix), _low_bits).alias("prefix"))
-
-
-def _piece(k: int) -> Column:
-    """Hash of the words that fall to one of the pieces, if they are two or more."""
-    own = F.filter("ranked", lambda x: x.bitwiseAND(F.lit(PIECES - 1)) == k)
-    return F.when(F.size(own) > 1, _low_bits(F.xxhash64(F.lit(k), own)))
+        F.when(n > LONG, upper).otherwise(none).alias("upper"),
+        F.transform(F.slice("ranked", F.lit(1), prefix), _low_bits).alias("prefix"),
+    )
 
 
 def _low_bits(h: Column) -> Column:
     return h.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
-def _one_bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+def _one_bit(bit: Column, h: Column) -> Column:
+    return F.call_function("shiftleft", bit, h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+class Posting:
+    """Columns of a posting: the size, the place in the prefix, the order in the corpus and a mark are packed in one number."""
 
+    COLUMNS = ("cid", "sketch", "upper", "m")
 
-def _near(p: int, q: int) -> Column:
-    """Length and sketch filters of a pair."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-    return (small * q >= large * p) & (apart * (p + q) <= (small + large) * (q - p))
+    @staticmethod
+    def packed(n: Column, at: Column, order: Column, led: Column) -> Column:
+        size, place = F.least(n, F.lit(LARGE)).cast("long"), F.least(at, F.lit(2**20 - 1)).cast("long")
+        return F.shiftleft(size, 41).bitwiseOR(F.shiftleft(place, 21)).bitwiseOR(F.shiftleft(order, 1)).bitwiseOR(led.cast("long"))
 
+    def __init__(self, name: str):
+        part = lambda by, bits: F.shiftright(f"m_{name}", by).bitwiseAND(F.lit(2**bits - 1))
+        self.n, self.at, self.order, self.led = part(41, 22), part(21, 20), part(1, 20), part(0, 1) == 1
+        self.cid, self.sketch, self.upper = (F.col(f"{c}_{name}") for c in self.COLUMNS[:3])
 
-def _named(df: DataFrame, side: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*(F.col(c).alias(c if c in keep else f"{c}_{side}") for c in df.columns))
+    @classmethod
+    def named(cls, posts: DataFrame, name: str) -> DataFrame:
+        return posts.withColumnsRenamed({c: f"{c}_{name}" for c in cls.COLUMNS})
+
+
+def _near(x: Posting, y: Posting, p: int, q: int, first_match: bool) -> Column:
+    """Length, sketch and, at the first word that both prefixes have, positional filter of a pair of postings."""
+    small, large = F.least(x.n, y.n), F.greatest(x.n, y.n)
+    fits = small * q >= large * p
+    if first_match:
+        fits = fits & ((F.least(x.n - x.at, y.n - y.at) * (p + q) >= (small + large) * p) | (large == LARGE))
+    whole, upper = x.sketch.bitwiseXOR(y.sketch), x.upper.bitwiseXOR(y.upper)
+    most = (small + large) * (q - p)
+    both_halves = (F.bit_count(whole.bitwiseXOR(upper)) + F.bit_count(upper)) * (p + q) <= most
+    return fits & (((F.bit_count(whole) * (p + q) <= most) & ((small <= LONG) | both_halves)) | (large == LARGE))
 
 
 class LineDedup:
@@ -117,111 +153,137 @@ class LineDedup:
     def __init__(self, p: int = 4, q: int = 5):
         self.p, self.q = p, q
 
-    def decisions(self, docs: DataFrame) -> DataFrame:
-        """One row per document: doc_id, row_key, n_lines (with words), removed (line numbers from 0)."""
-        lines = staged(_lines(docs.select("doc_id", "text"), self.p, self.q), "lines")
+    def removed_lines(self, docs: DataFrame) -> DataFrame:
+        """Documents that lose lines, staged: doc_id, row_key, removed (line numbers from 0, in order)."""
+        docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        lines = staged(_lines(docs, self.p, self.q), "lines")
         first = F.min(F.struct(*ROW, "line")).alias("first")
-        alike = [F.first(c).alias(c) for c in ("n", "sketch", "pieces", "prefix")]
+        alike = [F.first(c).alias(c) for c in ("n", "sketch", "upper", "prefix")]
         classes = lines.groupBy("same").agg(first, F.count("*").alias("copies"), *alike)
         # Written with a short number for each class, which the joins carry in place of its hash.
         classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
         gone = self._removed(docs, classes)
-        state = classes.select("cid", "same", "first", "copies").join(gone.withColumn("gone", F.lit(True)), "cid", "left").drop("cid")
-        judged = lines.select(*ROW, "line", "same").join(state.where("copies > 1 or gone"), "same", "left")
-        here = F.struct(*ROW, "line")
-        out = F.coalesce(F.col("gone"), F.lit(False)) | F.coalesce(~here.eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
+        state = classes.select("cid", "same", "first", "copies").join(gone.withColumn("gone", F.lit(True)), "cid", "left").drop("cid").where("copies > 1 or gone")
+        judged = lines.select(*ROW, "line", "same").join(state, "same")
+        out = F.col("gone").isNotNull() | ~F.struct(*ROW, "line").eqNullSafe(F.col("first"))
         # Repeated rows count a line several times: sets of line numbers make them alike.
-        return judged.withColumn("out", out).groupBy(*ROW).agg(
-            F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed")
-        )
+        removed = staged(judged.where(out).groupBy(*ROW).agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed-lines")
+        dropped(lines, classes, gone)
+        return removed
 
     def _removed(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """Numbers of the classes similar to a class that begins earlier."""
-        long_enough = classes.where(F.col("n") * (self.q - self.p) >= self.p)
-        stars = staged(self._stars(long_enough), "line-stars")
-        later = stars.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cid")).distinct()
-        led = long_enough.select("cid", "first.doc_id", "n", "sketch", "prefix").join(later.withColumn("led", F.lit(1)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(0)))
-        pairs = staged(stars.select("a", "b").union(self._prefix_pairs(led)).distinct(), "line-pairs")
-        gone = staged(self._verified(docs, pairs, classes), "line-matches").distinct()
-        # Classes that were left out for a leader which then failed the exact test.
-        failed = later.join(gone, "cid", "left_anti")
-        if failed.isEmpty():
-            return gone
-        again = led.drop("led").join(failed.withColumn("led", F.lit(0)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(1)))
-        more = self._prefix_pairs(again).join(pairs, ["a", "b"], "left_anti")
-        return gone.union(self._verified(docs, staged(more, "line-pairs"), classes)).distinct()
+        bounds = classes.agg(F.min("first.doc_id").cast("double").alias("lo"), F.max("first.doc_id").cast("double").alias("hi")).first()
+        low, span = bounds["lo"] or 0.0, max((bounds["hi"] or 0.0) - (bounds["lo"] or 0.0), 1.0)
+        # The place of doc_id between the corpus's bounds: of two steps the smaller is the earlier, within a step either may be.
+        order = F.coalesce(F.floor((F.col("first.doc_id").cast("double") - low) / span * (2**20 - 1)).cast("long"), F.lit(0))
+        long_enough = classes.where(F.size("prefix") > 0).select("cid", "copies", "sketch", "upper", "n", "prefix", order.alias("order"))
+        stars = self._stars(long_enough)
+        led = self._verified(docs, stars, classes)
+        pairs = self._prefix_pairs(long_enough, led)
+        more = self._verified(docs, pairs, classes)
+        gone = staged(led.union(more).distinct(), "line-matches")
+        dropped(stars, led, pairs, more)
+        return gone
+
+    def _postings(self, classes: DataFrame, *more: str) -> DataFrame:
+        """One row per class and word of its prefix; ``classes`` have a mark, led."""
+        posts = classes.select("cid", "sketch", "upper", "n", "order", "led", *more, F.posexplode("prefix").alias("at", "word"))
+        return posts.select("word", "cid", "sketch", "upper", Posting.packed(F.col("n"), F.col("at"), F.col("order"), F.col("led")).alias("m"), *more)
 
     def _stars(self, classes: DataFrame) -> DataFrame:
-        """Pairs of a class and the most repeated class that shares one of its pieces."""
-        rows = classes.select("cid", "copies", F.explode("pieces").alias("key"))
-        # The power of two of the copies above, the class number below: one number to take the largest of.
-        weight = F.floor(F.log2("copies")).cast("long")
-        leader = rows.groupBy("key").agg(F.max(F.shiftleft(weight, 57).bitwiseOR(F.col("cid"))).alias("top"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-        leader = leader.where("lo < hi").select("key", F.col("top").bitwiseAND(F.lit(2**57 - 1)).alias("b"))
-        pairs = rows.select(F.col("cid").alias("a"), "key").join(leader, "key").where("a <> b").select("a", "b").distinct()
-        meta = classes.select("cid", "n", "sketch", "first")
-        for side in "ab":
-            pairs = pairs.join(meta.toDF(side, f"n_{side}", f"sketch_{side}", f"first_{side}"), side)
-        return pairs.where(_near(self.p, self.q)).select("a", "b", "first_a", "first_b")
-
-    def _prefix_pairs(self, led: DataFrame) -> DataFrame:
-        """Pairs that share a prefix word and pass every filter, unless the later one is led already.
-
-        A pair can only remove its later class. Which is later is told by the place
-        of doc_id between the corpus's bounds in 2^20 steps; within a step a pair
-        is left out only if both are led.
+        """At most ``TRIED`` pairs (a, b) for each class b of a crowd: leaders a that come before b and are near.
+
+        Leaders of a pair of words: the earliest class that has it, the most repeated one, and some drawn by hash.
+        """
+        # More copies first, then earlier ones: one number to take the largest of.
+        weight = F.shiftleft(F.floor(F.log2("copies")).cast("long"), 20).bitwiseOR(2**20 - 1 - F.col("order"))
+        # The last words of a prefix are the least rare there: variants of a line have most of them in common, and other lines seldom two of them.
+        last = F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - STAR_WORDS + 1), F.lit(STAR_WORDS))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("prefix"), F.lit(STAR_WORDS)) - 1))
+        few = classes.withColumn("last", last).withColumn("pairs", F.transform(places, lambda k: F.xxhash64(F.slice("last", k, 2))))
+        crowds = staged(few.select(F.explode("pairs").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD), "line-crowds")
+        posts = self._postings(few.select("cid", "sketch", "upper", "n", "order", F.col("pairs").alias("prefix"), weight.alias("weight"), F.lit(False).alias("led")), "weight")
+        posts = staged(posts.where(in_table(bit_table(crowds, "word"), F.col("word"))).join(crowds.select("word"), "word"), "line-crowded")
+        whole = [F.col(c) for c in Posting.COLUMNS]
+        order = F.shiftright("m", 1).bitwiseAND(F.lit(2**20 - 1))
+        picks = [F.min_by(F.struct(*whole), order), F.max_by(F.struct(*whole), F.col("weight")), *(F.max_by(F.struct(*whole), F.xxhash64("cid", F.lit(k))) for k in range(DRAWN))]
+        leaders = posts.groupBy("word").agg(F.array(*picks).alias("leaders"))
+        met = Posting.named(posts.drop("weight"), "b").join(leaders, "word").select("*", F.explode("leaders").alias("l"))
+        met = met.select(*(f"{c}_b" for c in Posting.COLUMNS), *(F.col(f"l.{c}").alias(f"{c}_a") for c in Posting.COLUMNS))
+        x, y = Posting("a"), Posting("b")
+        apart = F.bit_count(x.sketch.bitwiseXOR(y.sketch)) + F.bit_count(x.upper.bitwiseXOR(y.upper))
+        near = met.where((x.order < y.order) & _near(x, y, self.p, self.q, False)).select(x.cid.alias("a"), y.cid.alias("b"), apart.alias("apart")).distinct()
+        nth = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+        stars = staged(near.withColumn("nth", nth).where(F.col("nth") <= TRIED).select("a", "b"), "line-stars")
+        dropped(crowds, posts)
+        return stars
+
+    def _prefix_pairs(self, classes: DataFrame, removed: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share a prefix word and pass every filter, where the later class is not removed yet.
+
+        One join takes the classes that stay so far as the smaller ones, against all;
+        another those that are removed, against the ones that stay and share a word.
         """
         p, q = self.p, self.q
-        bounds = led.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
-        low, span = bounds["lo"] or 0.0, max((bounds["hi"] or 0.0) - (bounds["lo"] or 0.0), 1.0)
-        order = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / span * (2**20 - 1)).cast("long"), F.lit(0))
-        posts = led.select("cid", "sketch", "n", "led", order.alias("order"), F.posexplode("prefix").alias("at", "word"))
-        # Size, place, order and mark in one number: postings are the largest table here.
-        size, place = F.least(F.col("n"), F.lit(LARGE)).cast("long"), F.least(F.col("at"), F.lit(2**20 - 1)).cast("long")
-        packed = F.shiftleft(size, 41).bitwiseOR(F.shiftleft(place, 21)).bitwiseOR(F.shiftleft("order", 1)).bitwiseOR(F.col("led").cast("long"))
-        posts = posts.select("word", "cid", "sketch", packed.alias("m"))
-        a, b = _named(posts, "a", ("word",)), _named(posts, "b", ("word",))
-        part = lambda x, by, bits: F.shiftright(f"m_{x}", by).bitwiseAND(F.lit(2**bits - 1))
-        n, at, when, mark = ({x: part(x, *where) for x in "ab"} for where in ((41, 22), (21, 20), (1, 20), (0, 1)))
-        small, large = F.least(n["a"], n["b"]), F.greatest(n["a"], n["b"])
-        apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-        room = F.least(n["a"] - at["a"], n["b"] - at["b"])
-        done = F.when(when["a"] < when["b"], mark["b"] == 1).when(when["b"] < when["a"], mark["a"] == 1).otherwise((mark["a"] == 1) & (mark["b"] == 1))
-        fits = (F.col("cid_a") < F.col("cid_b")) & (apart * (p + q) <= (small + large) * (q - p)) & (small * q >= large * p)
-        fits = fits & ((room * (p + q) >= (small + large) * p) | (large == LARGE)) & ~done
-        return a.join(b, "word").where(fits).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+        marked = classes.join(removed.withColumn("led", F.lit(True)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(False)))
+        # Of a smaller line the places that count are fewer.
+        as_smaller = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(2 * p) / F.lit(p + q)).cast("int") + 1)
+        small, large = marked.withColumn("prefix", as_smaller), self._postings(marked)
+        x, y = Posting("x"), Posting("y")
+        fits = (x.n <= y.n) & (x.cid != y.cid) & _near(x, y, p, q, True)
+        pair = F.least(x.cid, y.cid).alias("a"), F.greatest(x.cid, y.cid).alias("b")
+        staying = Posting.named(self._postings(small.where("not led")), "x")
+        pairs = staying.join(Posting.named(large, "y"), "word").where(fits & ((y.order <= x.order) | ~y.led)).select(*pair)
+        if not removed.isEmpty():
+            gone = self._postings(small.where("led"))
+            code = F.xxhash64("word")
+            met = self._postings(marked.where("not led")).where(in_table(bit_table(gone.select(code.alias("code")), "code"), code))
+            more = Posting.named(gone, "x").join(Posting.named(met, "y"), "word").where(fits & (x.order <= y.order)).select(*pair)
+            pairs = pairs.union(more)
+        return staged(pairs.distinct(), "line-pairs")
 
     def _verified(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Of pairs (a, b), the later class of each whose words are similar."""
+        """Of pairs (a, b), the classes (cid) whose words are similar to an earlier one's."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        places = ids.join(classes.select("cid", "first"), "cid")
-        wanted = staged(places.groupBy(F.col("first.row_key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "cid", "first")).alias("wanted")), "line-places")
-        # Texts without a wanted line stay where they are, as far as the bit table tells.
-        there = in_table(bit_table(wanted, "key"), _row_key())
-        texts = docs.where("text is not null").where(there).select(_row_key().alias("key"), F.split(F.lower("text"), "\n").alias("lines"))
-        found = texts.join(wanted, "key").select("lines", F.explode("wanted").alias("w"))
-        words = F.array_distinct(F.transform(_words(F.element_at("lines", F.col("w.line") + 1)), lambda x: F.xxhash64(x)))
-        sets = staged(found.select(F.col("w.cid").alias("cid"), F.col("w.first").alias("first"), words.alias("h")).dropDuplicates(["cid"]), "line-sets")
-        both = pairs.join(_named(sets, "a"), F.col("a") == F.col("cid_a")).join(_named(sets, "b"), F.col("b") == F.col("cid_b"))
+        wanted = staged(ids.join(classes.select("cid", "first"), "cid").select("cid", "first", F.col("first.row_key").alias("key"), F.col("first.line").alias("at")), "line-places")
+        # Texts and lines that are not wanted stay where they are, as far as the bit tables tell.
+        place = F.xxhash64("key", "at").alias("place")
+        texts, lines = bit_table(wanted, "key"), bit_table(wanted.select(place), "place")
+        found = _split_lines(docs.where(in_table(texts, _row_key()))).select(F.col("row_key").alias("key"), F.col("line").alias("at"), "said")
+        found = found.where(in_table(lines, F.xxhash64("key", "at"))).join(wanted, ["key", "at"])
+        words = F.array_distinct(F.transform(_words(F.col("said")), lambda x: F.xxhash64(x)))
+        sets = staged(found.select("cid", "first", words.alias("h")), "line-sets")
+        both = pairs
+        for x in "ab":
+            both = both.join(sets.toDF(x, f"first_{x}", f"h_{x}"), x)
         shared, total = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
         alike = both.where(shared * self.q >= (total - shared) * self.p)
-        return alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cid"))
+        out = staged(alike.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cid")).distinct(), "line-verified")
+        dropped(wanted, sets)
+        return out
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the removed lines taken out of ``text``; same columns, same rows."""
-        found = self.decisions(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key"), "removed")
+        removed = self.removed_lines(docs)
+        found = removed.select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key"), "removed")
         # The row travels as one column, so that its names cannot clash.
-        rows = docs.select(F.struct("*").alias("doc"), _row_key().alias("key"))
-        there = rows.join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
+        rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("key"))
+        # Texts that surely lose no line stay where they are.
+        loses = F.coalesce(in_table(bit_table(found, "lost_key"), F.col("key")), F.lit(False))
+        there = rows.where(loses).join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
         text = F.col("doc.text")
         kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
         text = F.when(F.col("removed").isNull(), text).otherwise(kept)
-        return there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
+        changed = there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
+        return changed.union(rows.where(~loses).select("doc.*"))
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: doc_id, n_lines (with words), n_removed, removed_lines (numbers from 0, comma-joined)."""
     docs = table(spark, folder, "documents")
-    found = LineDedup().decisions(docs)
-    rows = docs.select("doc_id", _row_key().alias("key"))
+    found = LineDedup().removed_lines(docs)
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    rows = docs.select("doc_id", _row_key().alias("key"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
     there = rows.join(found.withColumnRenamed("doc_id", "id"), (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return there.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+    return there.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))

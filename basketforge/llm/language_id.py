@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketforge.llm.batches import slices
 from basketforge.llm.folds import held_out
 from basketforge.sources.tables import table
 
 PROFILE = 300
 #: Bound of the sample learnt from, for each language: CELLS cells of a hash of doc_id, PER_CELL rows of each.
 CELLS, PER_CELL = 32, 16
+#: Languages up to which the sample's ids are broadcast: CELLS * PER_CELL rows of each.
+BROADCAST_LANGUAGES = 500
 UNKNOWN = "und"
 
 _letter = np.zeros(0x110000, bool)
@@ -66,7 +69,11 @@ def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
     first = Window.partitionBy("lang", "cell").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     #: Spark keeps only the first rows of each window before the shuffle.
     chosen = known.select("doc_id", "lang", cell.alias("cell")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PER_CELL)
-    texts = known.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen.select("doc_id", "lang", "cell").distinct(), "doc_id")
+    ids = chosen.select("doc_id", "lang", "cell").distinct()
+    if known.select("lang").distinct().count() <= BROADCAST_LANGUAGES:
+        # The sample is bounded by the languages: texts outside it are not shuffled.
+        ids = F.broadcast(ids)
+    texts = known.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id")
 
     def count(batches):
         for batch in batches:
@@ -116,7 +123,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     known = rank_table(profiles)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [nearest(text, *known) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

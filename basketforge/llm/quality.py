@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketforge.llm.batches import slices
 from basketforge.llm.folds import held_out
 from basketforge.sources.tables import table
 
@@ -35,7 +36,7 @@ SHARDS = 4
 ROUNDS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-6, 1e-6
 ACCEPT = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _runs = re.compile(r"[^\W\d_]+|\d+|(.)\1+", re.DOTALL)
 
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches):
         w = held.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [score_text(text, w) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
@@ -155,11 +156,10 @@ def keep_good(docs: DataFrame, weights: np.ndarray, accept: float = ACCEPT) -> D
     """``docs`` whose score is at least ``accept``; same columns."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        return pd.Series([score_text(x, held.value) for x in text], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = slices([pa.RecordBatch.from_arrays([texts], ["text"])])
+        return pa.array([score_text(x, held.value) for part in parts for x in part.column(0).to_pylist()], pa.float64())
 
     return docs.where(scored(F.col("text").cast("string")) >= accept)
 

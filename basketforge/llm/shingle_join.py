@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketforge.llm.batches import slices
 from basketforge.llm.bit_table import bit_table, in_table
 from basketforge.llm.components import connected_components
 from basketforge.session import dropped, staged
@@ -161,7 +162,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def _sign(words: int, p: int, q: int):
     def run(batches):
         bands, seen = Bands(p, q), set()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, one, two, keys, sketches = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 h = shingle_hashes(text, words)
@@ -198,7 +199,7 @@ def _verify(words: int, p: int, q: int):
 
     def run(batches):
         now, held = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for leader, kind, own, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 mine = shingle_hashes(text, words)

@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 500_000
+#: Entries of a worker's two caches; a full cache is begun anew.
+CACHE_CHUNKS = 300_000
 LONG_CHUNK = 64
 #: Characters of text that are encoded together; a longer text is encoded alone.
-PART_CHARS = 8_000_000
+PART_CHARS = 4_000_000
 
 #: The split rule of the word-BPE tokenizer, and its form for ASCII and Latin-1.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -105,6 +106,7 @@ class ChunkEncoder(dict):
             ids, ends = self._encoded(pc.fill_null(texts.slice(low, high - low), ""))
             yield low, high, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, high - low + 1)
             low = high
+        pa.default_memory_pool().release_unused()
 
     def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and the end of each text in them."""
@@ -125,7 +127,10 @@ class ChunkEncoder(dict):
         n = lengths[chunk]
         after = np.cumsum(n)
         # Where each id lies among the ids of the distinct chunks.
-        place = np.repeat(begins[chunk] - (after - n), n) + np.arange(after[-1] if len(after) else 0)
+        total = int(after[-1]) if len(after) else 0
+        narrow = np.int32 if total < 2**31 else np.int64
+        place = np.repeat((begins[chunk] - (after - n)).astype(narrow), n)
+        place += np.arange(total, dtype=narrow)
         offsets = split.offsets.to_numpy()
         return np.frombuffer(b"".join(known), np.uint32)[place], np.concatenate([[0], after])[offsets[1:] - offsets[0]]
 

@@ -1,14 +1,15 @@
 """Secret scan: patterns, and sliding-window entropy over candidate strings, DataFrame functions only.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). ``entropy``
-spans are added: candidate strings are runs of 20 or more token characters that
-mix letters and digits; over each, a window of ``WINDOW`` characters slides, and
-counts of the characters in it, changed by one in and one out, carry the sum of
+spans are added, whether or not they touch a base span: candidate strings are runs
+of 20 or more token characters; over each, a window of ``WINDOW`` characters slides,
+and counts of the characters in it, changed by one in and one out, carry the sum of
 c log2 c from which the window's Shannon entropy follows. The span is the hull of
-the windows at or over the threshold of the string's character class. Base spans,
-and pieces between ``=`` and ``/`` that hold an alphabet or a placeholder word, are
-blanked before, so that what is left of a run on either side is judged as a string
-of its own. Strings of the allow list (UUIDs, word paths) are suppressed.
+the windows at or over the threshold of the string's character class (digits, hex,
+letters, letters and digits, all). Pieces between ``=`` and ``/`` that hold an
+alphabet or a placeholder word are blanked before, so that what is left of a run on
+either side is judged as a string of its own. Strings of the allow list (UUIDs,
+paths of words) are suppressed.
 
 Places count code points, ends are exclusive. Defined cases: null and empty texts
 have no spans; repeated rows are scanned once each; extra columns are ignored.
@@ -30,11 +31,13 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy in bits a character of a window, by class of the whole string.
-THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.8}
+THRESHOLDS = {"digits": 3.0, "hex": 3.0, "letters": 3.9, "alphanumeric": 3.6, "base64": 3.8}
+#: Patterns of the classes; a string is of the first that fits, and of the last if none does.
+CLASSES = {"digits": "^[0-9]+$", "hex": "^[0-9a-fA-F]+$", "letters": "^[A-Za-z]+$", "alphanumeric": "^[A-Za-z0-9]+$"}
 #: Strings that look random but are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[/_-]*[A-Za-z]+([/_-]+[A-Za-z]+)*[/_=-]*[0-9]*[/_=-]*$",
+    r"^[/_-]*[A-Za-z]+([/_-]+[A-Za-z]+)+[/_=-]*[0-9]*[/_=-]*$",
 )
 #: Pieces of a run, between = and /, that hold an alphabet or a placeholder word, with the = and / beside them.
 PIECE = r"(?i)(?:(?<![=/])[=/]++|(?<![A-Z0-9+_-]))[A-Z0-9+_-]*?(?:abcdefghij|0123456789|1234567890|qwertyuiop|example|sample|placeholder|dummy|changeme|xxxx)[A-Z0-9+_-]*+[=/]*+"
@@ -66,21 +69,11 @@ def _places(df: DataFrame, pattern: str, name: str) -> DataFrame:
     return df.withColumn(starts, lead).drop(gaps, sums)
 
 
-def _blanked(pattern: str, found: str | None = None, keep=None) -> Column:
-    """The text with each match of a pattern replaced by as many blanks, except those that ``keep`` names by place."""
-    m = F.col(found) if found else F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    blanks = F.transform(m, lambda x, k: F.when(keep(k), x).otherwise(F.repeat(F.lit(" "), F.length(x))) if keep else F.repeat(F.lit(" "), F.length(x)))
-    return F.when(F.size(m) > 0, F.array_join(F.zip_with(F.split("t", pattern, -1), blanks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("t"))
-
-
-def _free() -> Column:
-    """The text with base spans and placeholder pieces blanked: all matches are of the whole text, so their blanks are put together."""
-    short = lambda k: F.length(F.get("a_v", k)) < ASSIGN_LEAST
-    texts = [_blanked(PIECE), _blanked(ASSIGN, "a_m", short), _blanked(ACCESS, "k_m"), _blanked(HEX, "x_m")]
-    out, *rest = (F.split(x, "") for x in texts)
-    for x in rest:
-        out = F.zip_with(out, x, lambda a, b: F.when(b == " ", b).otherwise(a))
-    return F.when(F.size("base") > 0, F.array_join(out, "")).otherwise(texts[0])
+def _blanked(pattern: str) -> Column:
+    """The text with each match of a pattern replaced by as many blanks."""
+    blanks = F.transform(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)), lambda x: F.repeat(F.lit(" "), F.length(x)))
+    put = F.array_join(F.zip_with(F.split("t", pattern, -1), blanks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.col("t").rlike(pattern), put).otherwise(F.col("t"))
 
 
 def _spans(name: str, kind: int) -> Column:
@@ -94,14 +87,15 @@ def _plogp(n: Column) -> Column:
 
 def entropy_hull(text: Column) -> Column:
     """Struct (lo, hi): the hull of windows of ``text`` at or over its class's threshold, or -1."""
-    hexes, plain = text.rlike("^[0-9a-fA-F]+$"), text.rlike("^[A-Za-z0-9]+$")
-    least = F.when(hexes, THRESHOLDS["hex"]).when(plain, THRESHOLDS["alphanumeric"]).otherwise(THRESHOLDS["base64"])
-    # One-element arrays name a value inside an expression.
-    named = F.transform(F.array(F.struct(F.split(text, "").alias("c"), least.alias("least"))), lambda x: F.struct(F.filter(x["c"], lambda c: c != "").alias("c"), x["least"].alias("least")))
+    least = F.lit(THRESHOLDS["base64"])
+    for name, pattern in reversed(CLASSES.items()):
+        least = F.when(text.rlike(pattern), F.lit(THRESHOLDS[name])).otherwise(least)
+    # One-element arrays name a value inside an expression, so that it is made once and not with each character.
+    split = F.transform(F.array(F.split(text, "")), lambda c: F.filter(c, lambda x: x != ""))
+    named = F.transform(split, lambda c: F.struct(c.alias("c"), F.array_distinct(c).alias("known"), least.alias("least")))
 
     def coded(x: Column) -> Column:
-        known = F.array_distinct(x["c"])
-        return F.struct(F.transform(x["c"], lambda c: F.array_position(known, c).cast("int")).alias("c"), F.size(known).alias("k"), x["least"].alias("least"))
+        return F.struct(F.transform(x["c"], lambda c: F.array_position(x["known"], c).cast("int")).alias("c"), F.size(x["known"]).alias("k"), x["least"].alias("least"))
 
     def slide(x: Column) -> Column:
         begin = F.struct(F.array_repeat(F.lit(0), x["k"]).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
@@ -116,7 +110,9 @@ def entropy_hull(text: Column) -> Column:
             high = (i >= WINDOW - 1) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= x["least"])
             return F.struct(counts.alias("n"), total.alias("s"), F.when(high & (a["lo"] < 0), i - WINDOW + 1).otherwise(a["lo"]).alias("lo"), F.when(high, i + 1).otherwise(a["hi"]).alias("hi"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["c"]) - 1), begin, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+        hull = F.aggregate(F.sequence(F.lit(0), F.size(x["c"]) - 1), begin, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+        # No window of k different characters has more than log2 k bits.
+        return F.when(F.log2(x["k"].cast("double")) >= x["least"], hull).otherwise(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi")))
 
     return F.get(F.transform(F.transform(named, coded), slide), F.lit(0))
 
@@ -129,11 +125,9 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumn("a_v", F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)))
     assign = F.filter(_spans("a", 0), lambda s, k: F.length(F.get("a_v", k)) >= ASSIGN_LEAST)
     df = df.withColumn("base", F.array_sort(F.concat(assign, _spans("k", 1), _spans("x", 2))))
-    df = _places(df.withColumn("t", _free()), CANDIDATE, "c")
+    df = _places(df.withColumn("t", _blanked(PIECE)), CANDIDATE, "c")
     strings = F.transform("c_m", lambda x, k: F.struct(x.alias("x"), F.get("c_s", k).alias("start")))
-    allowed = lambda x: F.lit(False) if not ALLOW else _any(x.rlike(p) for p in ALLOW)
-    mixed = F.filter(strings, lambda c: c["x"].rlike("[0-9]") & c["x"].rlike("[A-Za-z]") & ~allowed(c["x"]))
-    df = df.withColumn("strings", mixed)
+    df = df.withColumn("strings", F.filter(strings, lambda c: ~_any(c["x"].rlike(p) for p in ALLOW)))
     hulls = F.transform("strings", lambda c: F.struct(c["start"].alias("at"), entropy_hull(c["x"]).alias("h")))
     added = F.transform(F.filter(hulls, lambda c: c["h"]["lo"] >= 0), lambda c: F.struct((c["at"] + c["h"]["lo"]).alias("start"), F.lit(3).alias("kind"), (c["at"] + c["h"]["hi"]).alias("end")))
     df = df.withColumn("added", added)

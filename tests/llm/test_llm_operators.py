@@ -284,7 +284,8 @@ def window_hull(text):
     for k in range(len(text) - secret_scan.WINDOW + 1):
         counts = Counter(text[k : k + secret_scan.WINDOW]).values()
         bits = -sum(n / secret_scan.WINDOW * np.log2(n / secret_scan.WINDOW) for n in counts)
-        high += [k] * (bits >= secret_scan.THRESHOLDS[name] - 1e-9)
+        if bits >= secret_scan.THRESHOLDS[name] - 1e-9:
+            high.append(k)
     return f"entropy:{high[0]}:{high[-1] + secret_scan.WINDOW}" if high else ""
 
 

@@ -10,8 +10,10 @@ from basketforge.llm.quality import op1_quality
 from basketforge.llm.secret_scan import op5_secrets
 from basketforge.llm.shingle_join import op2_jaccard_join
 from basketforge.llm.token_store import op4_token_store
+from basketforge.llm.toxicity import op13_toxicity
 from basketforge.llm.url_trust import op9_url_trust
 from basketforge.llm.vector_dedup import op7_vector_dedup
+from basketforge.llm.word_runs import op12_word_runs
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_trust": op9_url_trust,
     "op10_pack": op10_pack,
+    "op12_word_runs": op12_word_runs,
+    "op13_toxicity": op13_toxicity,
 }
 SQL = {"op6_decontaminate": OP6_SQL}

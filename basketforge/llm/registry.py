@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketforge.llm.decontaminate import OP6_SQL, op6_decontaminate
+from basketforge.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from basketforge.llm.language_id import op3_language
 from basketforge.llm.line_dedup import op8_line_dedup
 from basketforge.llm.packing import op10_pack
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_trust": op9_url_trust,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_word_runs": op12_word_runs,
     "op13_toxicity": op13_toxicity,
 }
-SQL = {"op6_decontaminate": OP6_SQL}
+SQL = {"op6_decontaminate": OP6_SQL, "op11_hard_negatives": OP11_SQL}

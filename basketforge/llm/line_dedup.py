@@ -147,6 +147,15 @@ def _near(x: Posting, y: Posting, p: int, q: int, first_match: bool) -> Column:
     return fits & (((F.bit_count(whole) * (p + q) <= most) & ((small <= LONG) | both_halves)) | (large == LARGE))
 
 
+def _without(lines: Column, removed: Column) -> Column:
+    """The lines between the (sorted) removed numbers, in one pass: a slice before each of them, and one after the last."""
+    ends = F.concat(F.array(F.lit(-1)), removed, F.array(F.size(lines)))
+    # A one-element array names both, so that neither is made again for each slice.
+    named = F.array(F.struct(lines.alias("lines"), ends.alias("ends")))
+    between = F.transform(named, lambda x: F.transform(F.sequence(F.lit(1), F.size(x["ends"]) - 1), lambda k: F.slice(x["lines"], F.get(x["ends"], k - 1) + 2, F.get(x["ends"], k) - F.get(x["ends"], k - 1) - 1)))
+    return F.array_join(F.flatten(F.get(between, F.lit(0))), "\n")
+
+
 class LineDedup:
     """Finds, and removes, lines similar to an earlier one (Jaccard of word sets p/q or more)."""
 
@@ -273,8 +282,7 @@ class LineDedup:
         loses = F.coalesce(in_table(bit_table(found, "lost_key"), F.col("key")), F.lit(False))
         there = rows.where(loses).join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
         text = F.col("doc.text")
-        kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("removed", k)), "\n")
-        text = F.when(F.col("removed").isNull(), text).otherwise(kept)
+        text = F.when(F.col("removed").isNull(), text).otherwise(_without(F.split(text, "\n"), F.array_sort("removed")))
         changed = there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
         return changed.union(rows.where(~loses).select("doc.*"))
 

@@ -8,8 +8,10 @@ c log2 c from which the window's Shannon entropy follows. The span is the hull o
 the windows at or over the threshold of the string's character class (digits, hex,
 letters, letters and digits, all). Pieces between ``=`` and ``/`` that hold an
 alphabet or a placeholder word are blanked before, so that what is left of a run on
-either side is judged as a string of its own. Strings of the allow list (UUIDs,
-paths of words) are suppressed.
+either side is judged as a string of its own. Strings of the allow list are
+suppressed: UUIDs, and paths whose every segment has the shape of words (letters,
+a capital for every ``A_CAPITAL`` letters at most or capitals only, no more than five
+consonants in a row, at most ``LONGEST_WORD`` letters).
 
 Places count code points, ends are exclusive. Defined cases: null and empty texts
 have no spans; repeated rows are scanned once each; extra columns are ignored.
@@ -34,16 +36,35 @@ WINDOW = 20
 THRESHOLDS = {"digits": 3.0, "hex": 3.0, "letters": 3.9, "alphanumeric": 3.6, "base64": 3.8}
 #: Patterns of the classes; a string is of the first that fits, and of the last if none does.
 CLASSES = {"digits": "^[0-9]+$", "hex": "^[0-9a-fA-F]+$", "letters": "^[A-Za-z]+$", "alphanumeric": "^[A-Za-z0-9]+$"}
-#: Strings that look random but are no secrets.
-ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[/_-]*[A-Za-z]+([/_-]+[A-Za-z]+)+[/_=-]*[0-9]*[/_=-]*$",
-)
+#: Strings that look random but are no secrets. No pattern repeats a group: Java matches those by recursion.
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Segments between separators that are no words: other characters than letters, or that many consonants in a row.
+NO_WORD = r"[^A-Za-z]|(?i:[bcdfghjklmnpqrstvwxz]{6})"
+LONGEST_WORD = 24
+#: Letters a capital stands for at least, unless all of a segment are capitals.
+A_CAPITAL = 3
 #: Pieces of a run, between = and /, that hold an alphabet or a placeholder word, with the = and / beside them.
 PIECE = r"(?i)(?:(?<![=/])[=/]++|(?<![A-Z0-9+_-]))[A-Z0-9+_-]*?(?:abcdefghij|0123456789|1234567890|qwertyuiop|example|sample|placeholder|dummy|changeme|xxxx)[A-Z0-9+_-]*+[=/]*+"
 BLOCK = 256
 
 
+def is_word(x: Column) -> Column:
+    """Letters in the shape of a word or of words run together: few capitals or nothing else, and vowels between consonants."""
+    capitals = F.length(F.regexp_replace(x, "[^A-Z]", ""))
+    return (F.length(x) <= LONGEST_WORD) & ~x.rlike(NO_WORD) & ((capitals * A_CAPITAL <= F.length(x)) | (capitals == F.length(x)))
+
+
+def is_allowed(x: Column) -> Column:
+    """UUIDs, and paths of two or more words, which a number may end."""
+    path = x
+    for ending in ("/_=-", "0123456789", "/_=-"):
+        path = F.rtrim(path, F.lit(ending))
+    # A one-element array names the segments, so that they are cut once.
+    segments = F.transform(F.array(F.split(path, "[/_-]+")), lambda c: F.filter(c, lambda s: s != ""))
+    words = F.get(F.transform(segments, lambda c: (F.size(c) >= 2) & F.forall(c, is_word)), F.lit(0))
+    return x.rlike(UUID) | words
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
@@ -127,20 +148,13 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(assign, _spans("k", 1), _spans("x", 2))))
     df = _places(df.withColumn("t", _blanked(PIECE)), CANDIDATE, "c")
     strings = F.transform("c_m", lambda x, k: F.struct(x.alias("x"), F.get("c_s", k).alias("start")))
-    df = df.withColumn("strings", F.filter(strings, lambda c: ~_any(c["x"].rlike(p) for p in ALLOW)))
+    df = df.withColumn("strings", F.filter(strings, lambda c: ~is_allowed(c["x"])))
     hulls = F.transform("strings", lambda c: F.struct(c["start"].alias("at"), entropy_hull(c["x"]).alias("h")))
     added = F.transform(F.filter(hulls, lambda c: c["h"]["lo"] >= 0), lambda c: F.struct((c["at"] + c["h"]["lo"]).alias("start"), F.lit(3).alias("kind"), (c["at"] + c["h"]["hi"]).alias("end")))
     df = df.withColumn("added", added)
     return df.select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
-def _any(tests) -> Column:
-    out = None
-    for t in tests:
-        out = t if out is None else out | t
-    return out
-
-
 def _text(spans: str) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -21,17 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketforge.session import staged
+from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
 #: (verdict, host, path), as the contract of the query gives them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 15
-ROUNDS_A_WRITE = 3
+#: Most mass, of one, that may still move when the rounds end.
+UNSETTLED = 1e-3
+ROUNDS_A_WRITE = 4
 MARGIN = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NAMED_HOST = r"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9][a-z0-9-]*)+"
+#: Runs that hold host names, and what stands between two: a dot that no letter or digit follows.
+#: No pattern repeats a group: Java matches those by recursion.
+HOST_RUN, BETWEEN = r"[a-z0-9][a-z0-9.-]*", r"\.[.-]+|\.$"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,32 +58,48 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """``pages`` (host, html) -> src, dst, weight between different hosts of the crawl."""
     hosts = pages.select(F.col("host").alias("dst")).where("host <> ''").distinct()
-    named = F.array_distinct(F.regexp_extract_all(F.lower(F.col("html").cast("string")), F.lit(NAMED_HOST), F.lit(0)))
+    runs = F.filter(F.regexp_extract_all(F.lower(F.col("html").cast("string")), F.lit(HOST_RUN), F.lit(0)), lambda r: r.contains("."))
+    named = F.filter(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.split(r, BETWEEN)))), lambda h: h.contains("."))
     mentions = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(named).alias("dst")).where("src <> dst")
     # Summed before the join: a host with a third of all pages is a few rows by then.
     return mentions.groupBy("src", "dst").agg(F.count("*").alias("weight")).join(hosts, "dst", "left_semi").select("src", "dst", "weight")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank on (kind, src, dst, weight) from seeds (kind, node): kind, node, rank.
+def spread(edges: DataFrame, seeds: DataFrame, unsettled: float = UNSETTLED) -> DataFrame:
+    """Personalised PageRank on (kind, src, dst, weight) from seeds (kind, node): kind, node, rank; staged.
 
-    What a host without links holds returns to the seeds.
+    What a host without links holds returns to the seeds. A round moves at most
+    ``DAMPING`` times what the one before it moved, so the rounds end when what they
+    could still move, the last change times DAMPING / (1 - DAMPING), is less than
+    ``unsettled`` in either kind; that is after log(unsettled) / log(DAMPING) at most,
+    some 60.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     shares = staged(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     # One row a kind: how many seeds it has.
     numbers = seeds.groupBy("kind").agg(F.count("*").alias("n"))
     start = staged(seeds.join(F.broadcast(numbers), "kind").select("kind", "node", (1 / F.col("n")).alias("part")), "seeds")
-    rank = start.select("kind", "node", F.col("part").alias("rank"))
-    for nth in range(rounds):
-        moved = rank.withColumnRenamed("node", "src").join(shares, ["kind", "src"]).select("kind", F.col("dst").alias("node"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        passed = moved.groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
-        kept = passed.groupBy("kind").agg(F.sum("rank").alias("moved"))
-        back = start.join(F.broadcast(kept), "kind", "left").select("kind", "node", (F.col("part") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("rank"))
-        rank = passed.union(back).groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
-        if nth % ROUNDS_A_WRITE == ROUNDS_A_WRITE - 1 or nth == rounds - 1:
-            rank = staged(rank, "ranks")
-    return rank
+    rank, before = start.select("kind", "node", F.col("part").alias("rank")), None
+    while True:
+        for nth in range(ROUNDS_A_WRITE):
+            old = rank
+            moved = rank.withColumnRenamed("node", "src").join(shares, ["kind", "src"]).select("kind", F.col("dst").alias("node"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
+            passed = moved.groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
+            kept = passed.groupBy("kind").agg(F.sum("rank").alias("moved"))
+            back = start.join(F.broadcast(kept), "kind", "left").select("kind", "node", (F.col("part") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("rank"))
+            last = nth == ROUNDS_A_WRITE - 1
+            # The last round before a write also carries what each host had.
+            none = F.lit(0.0).alias("old")
+            rows = passed.select("*", none).union(back.select("*", none))
+            rows = rows.union(old.select("kind", "node", F.lit(0.0), "rank")) if last else rows
+            rank = rows.groupBy("kind", "node").agg(F.sum("rank").alias("rank"), *([F.sum("old").alias("old")] if last else []))
+        rank = staged(rank, "ranks")
+        change = rank.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("c")).agg(F.max("c")).first()[0] or 0.0
+        dropped(before)
+        if change * DAMPING / (1 - DAMPING) < unsettled:
+            dropped(shares, start)
+            return rank
+        before, rank = rank, rank.drop("old")
 
 
 def host_verdicts(pages: DataFrame) -> DataFrame:
@@ -90,6 +109,7 @@ def host_verdicts(pages: DataFrame) -> DataFrame:
     kind = F.when(F.col("rule.verdict") == "allow", "trust").otherwise("distrust")
     seeds = pages.where("rule is not null").select(kind.alias("kind"), F.col("host").alias("node")).distinct()
     ranks = spread(both, seeds)
+    dropped(edges)
     wide = ranks.groupBy("node").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     return wide.select(F.col("node").alias("host"), "trust", "distrust", (F.col("distrust") - F.col("trust") > MARGIN).alias("blocked"))
 

@@ -45,6 +45,12 @@ def category_path(*levels: str) -> Column:
     return F.concat_ws("/", *levels)
 
 
+def spelled(values: Column | str, digits: int = 6) -> Column:
+    """All numbers of a vector as text: whole multiples of 10^-digits, rounded as ``r`` does, with commas between."""
+    values = F.col(values) if isinstance(values, str) else values
+    return F.array_join(F.transform(values, lambda x: F.floor(x * 10**digits + 0.5001).cast("long").cast("string")), ",")
+
+
 def safe_name(text: str) -> str:
     """A column name made of a category label."""
     return text.replace(" ", "_").lower() if text else "unknown"

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketforge.operators.graph import LEVELS, competitive_intensity, product_dim, substitution_clusters
+from basketforge.operators.quantiles import average_ranks, exact_quantiles
+
 
 def _category():
     return Window.partitionBy("sub_commodity")
 
 
 def product_price_stats(prices: DataFrame) -> DataFrame:
-    return prices.groupBy("product_id").agg(
+    medians = exact_quantiles(prices, ["product_id"], ["actual_price"], {"median": 0.5}).toDF("product_id", "median_price")
+    stats = prices.groupBy("product_id").agg(
         F.avg("actual_price").alias("mean_price"),
-        F.median("actual_price").alias("median_price"),
         F.stddev_samp("actual_price").alias("price_std"),
         F.avg("base_price").alias("base_price"),
         F.avg("discount_depth").alias("avg_discount"),
         F.avg(F.col("promo_flag").cast("double")).alias("promo_frequency"),
     )
+    return stats.join(medians, "product_id", "left").select("product_id", "mean_price", "median_price", "price_std", "base_price", "avg_discount", "promo_frequency")
 
 
 def product_info(tx: DataFrame, prices: DataFrame) -> DataFrame:
@@ -40,12 +43,14 @@ def price_tiers(products: DataFrame, high: float = 0.8, low: float = 0.2) -> Dat
 
 
 def price_rank(products: DataFrame) -> DataFrame:
-    """Average rank of the price in its category as a share, and the price's coefficient of variation."""
-    ties = F.count("*").over(Window.partitionBy("sub_commodity", "mean_price"))
-    rank = F.rank().over(_category().orderBy("mean_price"))
+    """Average rank of the price in its category as a share, and the price's coefficient of variation.
+
+    Every product has a mean price; ranks come by ranges, so no task orders a category.
+    """
+    ranks = average_ranks(products, ["sub_commodity"], "mean_price").withColumnsRenamed({"sub_commodity": "_category", "mean_price": "_price"})
     cv = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("price_std") / F.greatest("mean_price", F.lit(0.01))))
-    share = (rank + (ties - 1) / 2) / F.count("*").over(_category())
-    return products.withColumn("category_price_percentile", share).withColumn("price_cv", cv)
+    same = F.col("sub_commodity").eqNullSafe(F.col("_category")) & (F.col("mean_price") == F.col("_price"))
+    return products.join(ranks, same, "left").withColumn("category_price_percentile", F.col("rank") / F.col("size")).withColumn("price_cv", cv).drop("_category", "_price", "rank", "size")
 
 
 def brand_positioning(products: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketforge.functions.columns import flag
+from basketforge.operators.quantiles import exact_quantiles
 
 CELL = ["product_id", "store_id", "week"]
 SERIES = ["product_id", "store_id"]
@@ -78,6 +79,7 @@ def derive_prices(tx: DataFrame) -> DataFrame:
 
 
 def fallback_product_store(prices: DataFrame) -> DataFrame:
+    """Medians of each series, which has no more rows than there are weeks."""
     return prices.groupBy(*SERIES).agg(F.median("actual_price").alias("store_actual"), F.median("base_price").alias("store_base"))
 
 
@@ -92,7 +94,9 @@ def fallback_region_week(prices_with_region: DataFrame) -> DataFrame:
 
 
 def fallback_product(prices: DataFrame) -> DataFrame:
-    return prices.groupBy("product_id").agg(F.median("actual_price").alias("product_actual"), F.median("base_price").alias("product_base"))
+    """Medians of each product over all its stores and weeks, by ranges: a product may hold a large share of all rows."""
+    found = exact_quantiles(prices, ["product_id"], ["actual_price", "base_price"], {"median": 0.5})
+    return found.select("product_id", F.col("actual_price_median").alias("product_actual"), F.col("base_price_median").alias("product_base"))
 
 
 def apply_waterfall(prices: DataFrame, cells: DataFrame, tx: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def discount_bins(prices: DataFrame) -> DataFrame:
 
 def outlier_filter(prices: DataFrame, reach: float = 1.5) -> DataFrame:
     """Rows within the 5th to 95th percentile of their product, widened by ``reach`` ranges."""
-    bounds = prices.groupBy("product_id").agg(F.percentile("actual_price", 0.05).alias("low"), F.percentile("actual_price", 0.95).alias("high"))
+    bounds = exact_quantiles(prices, ["product_id"], ["actual_price"], {"low": 0.05, "high": 0.95}).toDF("product_id", "low", "high")
     span = F.col("high") - F.col("low")
     return prices.join(bounds, "product_id").where((F.col("actual_price") >= F.col("low") - reach * span) & (F.col("actual_price") <= F.col("high") + reach * span)).drop("low", "high")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketforge.operators.sequences import _draw
+from basketforge.operators.quantiles import exact_quantiles
+from basketforge.operators.sequences import _draw, numbered
 
 
 def _share(condition: Column) -> Column:
@@ -27,8 +28,11 @@ def price_report(prices: DataFrame) -> DataFrame:
     p = F.col("actual_price")
     df = prices.agg(
         F.count("*").alias("rows"), F.count_distinct("product_id").alias("products"), F.count_distinct("store_id").alias("stores"), F.count_distinct("week").alias("weeks"), _count(p < 0).alias("negative"), _count(p == 0).alias("zero"),
-        _count(p.isNull()).alias("nulls"), F.avg(p).alias("mean_price"), F.median(p).alias("median_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg("discount_depth").alias("mean_discount"), _share(F.col("promo_flag")).alias("promo_share"),
+        _count(p.isNull()).alias("nulls"), F.avg(p).alias("mean_price"), F.min(p).alias("min_price"), F.max(p).alias("max_price"), F.avg("discount_depth").alias("mean_discount"), _share(F.col("promo_flag")).alias("promo_share"),
     )
+    # The median of the whole table comes by ranges; both tables have one row.
+    median = exact_quantiles(prices, [], ["actual_price"], {"median": 0.5}).toDF("median_price")
+    df = df.crossJoin(F.broadcast(median))
     return df.withColumn("score", _score((F.col("negative") > 0, 20.0), (F.col("nulls") > 0, 20.0), (F.col("zero") > 0, 10.0)))
 
 
@@ -95,13 +99,16 @@ def embedding_report(df: DataFrame, column: str = "vector", share: float = 1.0,
 
 
 def mean_pair_distance(df: DataFrame, key: str, column: str, share: float, seed: int = 4) -> DataFrame:
-    """Mean distance of sampled neighbours: rows in hashed order, each with the next."""
-    from pyspark.sql import Window
-
-    chosen = df.where(_draw(F.lit(seed), F.col(key)) < share).withColumn("cell", F.pmod(F.xxhash64(key), F.lit(64)))
-    after = F.lead(column).over(Window.partitionBy("cell").orderBy(F.md5(F.col(key).cast("string")), key))
-    gap = F.sqrt(F.aggregate(F.zip_with(column, "after", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return chosen.withColumn("after", after).where("after is not null").agg(F.count("*").alias("pairs"), F.avg(gap).alias("mean_distance"))
+    """Mean distance of drawn pairs: the sampled rows in a seeded order, the first with the second, the third with the fourth and so on.
+
+    The order is numbered by ranges, and the two rows of a number meet in a partial
+    aggregate, so tasks are as even as the hash.
+    """
+    drawn = df.where(_draw(F.lit(seed), F.col(key)) < share).select(key, F.col(column).alias("v"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("drawn"))
+    pairs = numbered(drawn, ["drawn", key]).withColumn("pair", F.floor(F.col("nth") / 2)).groupBy("pair")
+    both = pairs.agg(F.max(F.when(F.col("nth") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("nth") % 2 == 1, F.col("v"))).alias("b")).where("a is not null and b is not null")
+    gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    return both.agg(F.count("*").alias("pairs"), F.avg(gap).alias("mean_distance"))
 
 
 def quality_summary(reports: dict[str, DataFrame]) -> DataFrame:

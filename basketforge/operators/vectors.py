@@ -12,7 +12,7 @@ from math import cos, log, pi, sqrt
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketforge.functions.columns import fix_width
@@ -121,10 +121,30 @@ def aggregate_hop(features: DataFrame, edges: DataFrame, width: int) -> DataFram
     return df.select("node", F.concat("vector", *(F.coalesce(F.col(t), zeros) for t in EDGE_TYPES)).alias("vector"))
 
 
+def weight_rows(spark: SparkSession, rows: int, columns: int, nth: int) -> DataFrame:
+    """The fixed weight matrix of a layer as a relation: place, weights (one row of the matrix)."""
+    key = F.concat(F.lit(f"weight:{nth}:"), F.col("id").cast("string"))
+    return spark.range(rows).select(F.col("id").cast("int").alias("place"), hash_vector(key, columns, sqrt(2.0 / rows)).alias("weights"))
+
+
 @lru_cache(maxsize=8)
 def _weights(rows: int, columns: int, nth: int) -> np.ndarray:
-    """The fixed weight matrix of a layer."""
-    return np.random.default_rng([SEED, rows, columns, nth]).standard_normal((rows, columns)) * np.sqrt(2.0 / rows)
+    """The same matrix for Arrow batches."""
+    return np.array([hash_numbers(f"weight:{nth}:{r}", columns, sqrt(2.0 / rows)) for r in range(rows)])
+
+
+def relation_product(vectors: DataFrame, weights: DataFrame, columns: int) -> DataFrame:
+    """``vectors`` (node, vector) times ``weights`` (place, weights) as a join and a sum: node, vector.
+
+    Numbers that are not zero meet the row of their place, and each node adds up what
+    they bring; sums are partial before anything moves, so one vector a node and task
+    is shuffled. The matrix has a fixed size, so it may be broadcast.
+    """
+    cells = vectors.select("node", F.posexplode("vector").alias("place", "value")).where("value <> 0")
+    brought = cells.join(F.broadcast(weights), "place").select("node", F.transform("weights", lambda w: w * F.col("value")).alias("brought"))
+    sums = brought.groupBy("node").agg(vector_to_array(Summarizer.sum(array_to_vector("brought"))).alias("sum"))
+    zeros = F.array_repeat(F.lit(0.0), columns)
+    return vectors.select("node").join(sums, "node", "left").select("node", F.coalesce("sum", zeros).alias("vector"))
 
 
 def project(values: Column, rows: int, columns: int, nth: int, how: str = "relu") -> Column:

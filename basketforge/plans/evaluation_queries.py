@@ -292,7 +292,10 @@ def m6(spark, sf):
     return tidy(Q.embedding_report(_emb(spark, sf)))
 
 
-@register("m6_pair_distance")
+_DRAWN = "drawn AS (SELECT vector, row_number() OVER (ORDER BY md5('4:' || vec_id), vec_id) - 1 AS nth FROM emb WHERE (('0x' || substr(md5('4:' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < 0.5)"
+
+
+@register("m6_pair_distance", with_sql(f"{_EMB}, {_DRAWN}", "SELECT count(*) AS pairs, avg(list_distance(a.vector, b.vector)) AS mean_distance FROM drawn a JOIN drawn b ON b.nth = a.nth + 1 WHERE a.nth % 2 = 0", "mean_distance"))
 def m6_pairs(spark, sf):
     return tidy(Q.mean_pair_distance(_emb(spark, sf), "vec_id", "vector", 0.5))
 

@@ -194,6 +194,7 @@ brands AS (SELECT product_id, sub_commodity, commodity, sub_department, departme
   mean_price / greatest(avg(mean_price) OVER (PARTITION BY sub_commodity), 0.01::DOUBLE) AS relative_price, count(*) OVER (PARTITION BY pseudo_brand_id) AS brand_size, mean_price, base_price, avg_discount, promo_frequency
   FROM named LEFT JOIN intens USING (product_id))"""
 BRANDS = f"RECURSIVE {ALL_PRICES}, {_DIM}, {_PAIRS}, {_LIFT}, {_CAT}, {_SUB}, {_REACH}, {_INFO}, {_TIERS}, {_BRANDS}"
+BRANDS_AND_EDGES = f"{BRANDS}, {_CO}, {_HIER}, {_NODES}, {_EDGES}"
 
 
 def brands(spark, sf):

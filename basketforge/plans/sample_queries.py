@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import functions as F
 
-from basketforge.functions.columns import tidy
+from basketforge.functions.columns import spelled, tidy
 from basketforge.operators import affinity as A
 from basketforge.operators import graph as G
 from basketforge.operators import missions as M
@@ -21,7 +21,7 @@ from basketforge.operators.labels import label_code
 from basketforge.operators.price_features import price_features
 from basketforge.plans.customer_queries import AFFINITY, BASKETS, MISSIONS
 from basketforge.plans.feature_queries import _CTX, _FOUR, _OPS_VEC, FEATURES, PROFILE, profile, told, told_sql
-from basketforge.plans.graph_queries import BRANDS, GAP, GRAPH, JACCARD, brands, graph, prices
+from basketforge.plans.graph_queries import BRANDS, BRANDS_AND_EDGES, GAP, GRAPH, JACCARD, brands, graph, prices
 from basketforge.plans.registry import register
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
 from basketforge.plans.temporal_queries import CALENDAR, META, PAIRS, meta, pairs
@@ -246,10 +246,48 @@ def j4(spark, sf):
     return tidy(V.aggregate_hop(features, G.build_graph(t, JACCARD, GAP), 8).select("node", *told("vector")), 5)
 
 
-@register("j5_product_embeddings", shared=True)
+def zeros_sql(width: int, value: str = "0.0") -> str:
+    return f"list_resize([]::DOUBLE[], {width}, {value}::DOUBLE)"
+
+
+def spelled_sql(v: str, digits: int = 6) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: CAST(floor(x * {10**digits} + 0.5001::DOUBLE) AS BIGINT)), ',')"
+
+
+def hop_sql(source: str, out: str, width: int) -> str:
+    """J4 over lists: ``source`` (node, vector) -> ``out`` (node, vector), along ``each_way``."""
+    joins = " ".join(f"LEFT JOIN {out}_mean m{k} ON m{k}.node = f.node AND m{k}.edge_type = '{t}'" for k, t in enumerate(V.EDGE_TYPES))
+    return f"""{out}_cell AS (SELECT e.node, edge_type, weight, unnest(coalesce(vector, {zeros_sql(width)})) AS x, generate_subscripts(coalesce(vector, {zeros_sql(width)}), 1) AS d FROM each_way e LEFT JOIN {source} f ON f.node = other WHERE weight > 0),
+{out}_mean AS (SELECT node, edge_type, list(m ORDER BY d) AS m FROM (SELECT node, edge_type, d, sum(x * weight) / sum(weight) AS m FROM {out}_cell GROUP BY ALL) GROUP BY ALL),
+{out} AS (SELECT f.node, {concat_sql('vector', *(f"coalesce(m{k}.m, {zeros_sql(width)})" for k in range(3)))} AS vector FROM {source} f {joins})"""
+
+
+def product_sql(source: str, out: str, key: str, rows: int, columns: int, nth: int, how: str) -> str:
+    """``source`` (key, vector) times the weights of a layer, each product through ``how`` (with {x}): ``out`` (key, vector)."""
+    weight = hash_sql(f"'weight:{nth}:' || r", columns, (2.0 / rows) ** 0.5)
+    return f"""{out}_cell AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS c FROM (SELECT r, {weight} AS w FROM range({rows}) t(r))),
+{out}_w AS (SELECT c, list(w ORDER BY r) AS w FROM {out}_cell GROUP BY ALL),
+{out} AS (SELECT {key}, list({how.format(x='list_inner_product(vector, w)')} ORDER BY c) AS vector FROM {source}, {out}_w GROUP BY ALL)"""
+
+
+def unit_sql(v: str) -> str:
+    return f"(SELECT CASE WHEN n > 0 THEN list_transform(u, lambda x: x / n) ELSE u END FROM (SELECT {v} AS u, sqrt(list_sum(list_transform({v}, lambda y: y * y))) AS n))"
+
+
+_RELU, _TANH = "greatest({x}, 0.0)", "tanh({x})"
+_EMBEDDED = ", ".join(
+    (
+        BRANDS_AND_EDGES, _NODE, "each_way AS (SELECT src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges)",
+        hop_sql("nf", "hop1", 144), product_sql("hop1", "layer1", "node", 576, 256, 1, _RELU), hop_sql("layer1", "hop2", 256), product_sql("hop2", "layer2", "node", 1024, 256, 2, _RELU),
+    )
+)
+EMBEDDINGS = f"WITH {_EMBEDDED} SELECT node, {unit_sql('vector')} AS vector FROM layer2"
+
+
+@register("j5_product_embeddings", f"SELECT node, {spelled_sql('vector')} AS vector FROM ({EMBEDDINGS})", shared=True)
 def j5(spark, sf):
-    e = V.product_embeddings(graph(spark, sf), brands(spark, sf))
-    return tidy(e)
+    """All 256 numbers of each product, in millionths."""
+    return tidy(V.product_embeddings(graph(spark, sf), brands(spark, sf)).select("node", spelled("vector").alias("vector")))
 
 
 _LABELS = concat_sql(label_sql("type", "BASKET_TYPE", 16), label_sql("focus", "BASKET_DOMINANT_MISSION", 16), label_sql("sensitivity", "BASKET_PRICE_SENSITIVITY", 8), label_sql("size", "BASKET_SIZE", 8))
@@ -347,14 +385,34 @@ def _embedded(spark, sf):
     return V.customer_embeddings(_history(spark, sf), M.assemble_missions(tx(spark, sf)), _counts(spark, sf))
 
 
-@register("j7_history_vectors", shared=True)
+_HISTORY = f"""{TX}, {_VOCAB}, {_TV},
+attended AS (SELECT *, raw / sum(raw) OVER (PARTITION BY customer_id) AS attention FROM (SELECT *, exp(CASE WHEN n = 1 THEN -1.0 ELSE -(r - 1) / (n - 1) END) AS raw FROM (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n FROM t1))),
+tp AS (SELECT basket_id, value, row_number() OVER (PARTITION BY basket_id ORDER BY value) AS k FROM (SELECT DISTINCT BASKET_ID AS basket_id, PROD_CODE AS value FROM tx)),
+pvec AS (SELECT value, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (SELECT value, {hash_sql('value', 128)} AS v FROM vocab)),
+tcell AS (SELECT basket_id, d, avg(x) AS x FROM tp JOIN pvec USING (value) WHERE k <= 50 GROUP BY ALL UNION ALL SELECT basket_id, generate_subscripts(l, 1) + 128, unnest(l) FROM (SELECT basket_id, {_LABELS} AS l FROM t1)),
+summed AS (SELECT customer_id, list(x ORDER BY d) AS vector FROM (SELECT customer_id, d, sum(x * attention) AS x FROM attended JOIN tcell USING (basket_id) GROUP BY ALL) GROUP BY ALL),
+{product_sql('summed', 'history', 'customer_id', 176, 128, 3, _TANH)}"""
+HISTORY = f"WITH {_HISTORY} SELECT customer_id, vector FROM history"
+
+
+@register("j7_history_vectors", f"SELECT customer_id, {spelled_sql('vector')} AS vector FROM ({HISTORY})", shared=True)
 def j7(spark, sf):
-    return tidy(_history(spark, sf))
+    """All 128 numbers of each customer, in millionths."""
+    return tidy(_history(spark, sf).select("customer_id", spelled("vector").alias("vector")))
+
 
+_ALPHA = "CASE WHEN {n} < 5 THEN 0.8::DOUBLE ELSE greatest(0.2::DOUBLE, 1 / ln({n} + 1)) END"
+_BLENDED = concat_sql(f"list_transform(coalesce(vector, {zeros_sql(128)}), lambda x: x * (1 - alpha))", f"coalesce(stats, {zeros_sql(32, '0.5')})")
+CUSTOMERS = f"""WITH history AS ({HISTORY}), st AS (WITH {MISSIONS} SELECT customer_id, list_resize([{_MV}], 32, 0.0::DOUBLE) AS stats FROM missions),
+counted AS (WITH {TX} SELECT CUST_CODE AS customer_id, count(DISTINCT BASKET_ID) AS trips FROM tx WHERE CUST_CODE IS NOT NULL GROUP BY ALL),
+blended AS (SELECT customer_id, trips, {_BLENDED} AS v FROM (SELECT *, {_ALPHA.format(n='trips')} AS alpha FROM counted) LEFT JOIN history USING (customer_id) LEFT JOIN st USING (customer_id))
+SELECT customer_id, {unit_sql('v')} AS vector, trips FROM blended"""
 
-@register("j9_customer_embeddings", shared=True)
+
+@register("j9_customer_embeddings", f"SELECT customer_id, {spelled_sql('vector', 5)} AS vector, trips FROM ({CUSTOMERS})", shared=True)
 def j9(spark, sf):
-    return tidy(_embedded(spark, sf))
+    """All 160 numbers of each customer, in units of 10^-5, and the trips they come from."""
+    return tidy(_embedded(spark, sf).select("customer_id", spelled("vector", 5).alias("vector"), "trips"))
 
 
 def _customer_context(spark, sf):
@@ -363,14 +421,32 @@ def _customer_context(spark, sf):
     return V.customer_context(segments, _embedded(spark, sf), A.assemble_affinity(t))
 
 
-@register("j12_customer_context", shared=True)
+_AFFINE = ["loyalty_score", "switching_rate", "region_diversity / 10", "1 - loyalty_score"]
+_OWN = ", ".join((*(f"CAST({x} AS DOUBLE)" for x in _AFFINE), *(f"({x}) * ({x})" for x in _AFFINE), *(f"{f}(({x}) * {pi!r})" for f in ("sin", "cos") for x in _AFFINE)))
+_DAMPED = lambda v: f"list_transform({v}, lambda x: x * (1 - alpha / 2))"
+T1 = f"""WITH seg AS (WITH {TX} SELECT CUST_CODE AS customer_id, min(seg_1) AS seg_1, min(seg_2) AS seg_2 FROM tx WHERE CUST_CODE IS NOT NULL GROUP BY ALL),
+ce AS ({CUSTOMERS}), aff AS (WITH {AFFINITY} SELECT customer_id, {concat_sql(hash_sql("'store:' || coalesce(primary_store, 'UNK')", 16), f'[{_OWN}]')} AS own FROM affinity),
+whole AS (SELECT customer_id, seg_1, seg_2, list_slice(coalesce(vector, {zeros_sql(160)}), 1, 96) AS past, coalesce(own, {zeros_sql(32)}) AS own, {_ALPHA.format(n='coalesce(trips, 0)')} AS alpha FROM seg LEFT JOIN ce USING (customer_id) LEFT JOIN aff USING (customer_id))
+SELECT customer_id, {concat_sql(label_sql('seg1', 'seg_1', 32), label_sql('seg2', 'seg_2', 32), _DAMPED('past'), _DAMPED('own'))} AS vector FROM whole"""
+
+
+@register("j12_customer_context", f"SELECT customer_id, {spelled_sql('vector', 5)} AS vector FROM ({T1})", shared=True)
 def j12(spark, sf):
-    return tidy(_customer_context(spark, sf))
+    """All 192 numbers of each customer (T1), in units of 10^-5."""
+    return tidy(_customer_context(spark, sf).select("customer_id", spelled("vector", 5).alias("vector")))
+
+
+T5 = f"WITH {PROFILE}, {_SV} SELECT store_id, {concat_sql(label_sql('format', 'format', 24), label_sql('region', 'region', 24), 'ctx_vec', hash_sql(chr(39) + 'store:' + chr(39) + ' || store_id', 16, V.SCALE * 0.5))} AS vector FROM sv"
+T6 = f"WITH {TX}, att AS (SELECT BASKET_ID AS basket_id, min(BASKET_TYPE) AS BASKET_TYPE, min(BASKET_DOMINANT_MISSION) AS BASKET_DOMINANT_MISSION, min(BASKET_PRICE_SENSITIVITY) AS BASKET_PRICE_SENSITIVITY, min(BASKET_SIZE) AS BASKET_SIZE FROM tx GROUP BY ALL) SELECT basket_id, {_LABELS} AS vector FROM att"
+_PARTS = concat_sql(f"coalesce(a.vector, {zeros_sql(192)})", f"coalesce(b.vector, {zeros_sql(64)})", f"coalesce(c.vector, {zeros_sql(96)})", f"coalesce(d.vector, {zeros_sql(48)})")
+DENSE = f"""WITH a AS ({T1}), b AS (WITH {CALENDAR} SELECT basket_id, {_TEMP} AS vector FROM calendar), c AS ({T5}), d AS ({T6}), m AS (WITH {META} SELECT basket_id, customer_id, store_id FROM meta)
+SELECT m.basket_id, {_PARTS} AS vector FROM m LEFT JOIN a ON a.customer_id = m.customer_id LEFT JOIN b ON b.basket_id = m.basket_id LEFT JOIN c ON c.store_id = m.store_id LEFT JOIN d ON d.basket_id = m.basket_id"""
 
 
-@register("j17_dense_context", shared=True)
+@register("j17_dense_context", f"SELECT basket_id, {spelled_sql('vector', 4)} AS vector FROM ({DENSE})", shared=True)
 def j17(spark, sf):
-    return tidy(_dense(spark, sf))
+    """All 400 numbers of each basket (T1, T3, T5, T6), in units of 10^-4."""
+    return tidy(_dense(spark, sf).select("basket_id", spelled("vector", 4).alias("vector")))
 
 
 def _labels(spark, sf):
@@ -391,18 +467,35 @@ def _item_features(spark, sf):
     return V.item_features(items, V.product_embeddings(graph(spark, sf), brands(spark, sf)), price_features(prices(spark, sf)))
 
 
-@register("j17_item_features", shared=True)
+ITEM_VECTORS = f"""WITH e AS ({EMBEDDINGS}), p AS (WITH {FEATURES} SELECT product_id, store_id, week, features FROM pf), i AS (WITH {TX} SELECT BASKET_ID AS basket_id, LINE_SEQ AS position, PROD_CODE AS product_id, STORE_CODE AS store_id, SHOP_WEEK AS week FROM tx)
+SELECT basket_id, position, list_concat(coalesce(vector, {zeros_sql(256)}), coalesce(features, {zeros_sql(64)})) AS vector FROM i LEFT JOIN e ON node = i.product_id LEFT JOIN p USING (product_id, store_id, week)"""
+
+
+@register("j17_item_features", f"SELECT basket_id, position, {spelled_sql('vector', 4)} AS vector FROM ({ITEM_VECTORS})", shared=True)
 def j17_items(spark, sf):
-    return tidy(_item_features(spark, sf).withColumn("vector", F.col("vector").cast("array<float>")))
+    """All 320 numbers of each item (T2, T4), in units of 10^-4."""
+    return tidy(_item_features(spark, sf).select("basket_id", "position", spelled("vector", 4).alias("vector")))
+
+
+def _code_sql(column: str, labels) -> str:
+    return f"CAST(CASE min({column}) {' '.join(f'WHEN {chr(39)}{x}{chr(39)} THEN {k + 1}' for k, x in enumerate(labels))} ELSE 0 END AS BIGINT)"
+
+
+_CODED = ", ".join(f"{_code_sql(c, labels)} AS {n}_label" for n, c, labels in (("size", "BASKET_SIZE", "SML"), ("sensitivity", "BASKET_PRICE_SENSITIVITY", ("LA", "MM", "UM")), ("type", "BASKET_TYPE", M.MISSION_TYPES), ("focus", "BASKET_DOMINANT_MISSION", M.MISSION_FOCUSES)))
+_SAMPLES = f"""WITH k AS (WITH {TOKENS}, {_MASK} SELECT * FROM masked), de AS ({DENSE}), it AS ({ITEM_VECTORS}), lb AS (WITH {TX} SELECT BASKET_ID AS basket_id, {_CODED} FROM tx GROUP BY ALL), mt AS (WITH {META} SELECT basket_id, split, bucket FROM meta),
+li AS (SELECT basket_id, string_agg(v, ';' ORDER BY position) AS item_features, count(*) AS n_items FROM (SELECT basket_id, position, {spelled_sql('vector', 4)} AS v FROM it WHERE position <= {TOKEN_LENGTH}) GROUP BY ALL)
+SELECT basket_id, array_to_string(masked, ',') AS masked, array_to_string(targets, ',') AS targets, split, bucket, size_label, sensitivity_label, type_label, focus_label, {spelled_sql('de.vector', 4)} AS dense_context, item_features, n_items
+FROM k JOIN de USING (basket_id) JOIN li USING (basket_id) JOIN lb USING (basket_id) JOIN mt USING (basket_id)"""
 
 
-@register("k13_masked_samples", shared=True)
+@register("k13_masked_samples", _SAMPLES, shared=True)
 def k13(spark, sf):
-    """Masked tokens with the dense context (T1, T3, T5, T6), the item features (T2, T4) and the labels of the basket."""
+    """Masked tokens with the dense context (T1, T3, T5, T6), the item features (T2, T4; one vector for each item) and the labels of the basket."""
     masked = S.mask_items(_tokens(spark, sf))
     samples = V.training_samples(masked, _dense(spark, sf), _item_features(spark, sf), _labels(spark, sf), TOKEN_LENGTH, pad=False)
     df = samples.join(meta(spark, sf).select("basket_id", "split", "bucket"), "basket_id")
-    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", F.col("dense_context").cast("array<float>").alias("dense_context"), F.col("item_features").cast("array<array<float>>").alias("item_features"), "n_items"))
+    items = F.array_join(F.transform("item_features", lambda v: spelled(v, 4)), ";")
+    return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", spelled("dense_context", 4).alias("dense_context"), items.alias("item_features"), "n_items"))
 
 
 @register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))

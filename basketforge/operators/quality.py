@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketforge.operators.quantiles import exact_quantiles
-from basketforge.operators.sequences import _draw, numbered
+from basketforge.operators.sequences import draw, numbered
 
 
 def _share(condition: Column) -> Column:
@@ -92,7 +92,7 @@ def customer_embedding_report(df: DataFrame, width: int = 160) -> DataFrame:
 
 def embedding_report(df: DataFrame, column: str = "vector", share: float = 1.0, seed: int = 2) -> DataFrame:
     """Norms, mean variance of the places, and zero vectors; ``share`` samples rows by a seeded hash."""
-    rows = df if share >= 1 else df.where(_draw(F.lit(seed), F.col(df.columns[0])) < share)
+    rows = df if share >= 1 else df.where(draw(F.lit(seed), F.col(df.columns[0])) < share)
     size = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))
     norms = rows.select(size.alias("norm")).agg(F.count("*").alias("rows"), F.avg("norm").alias("mean_norm"), F.stddev_samp("norm").alias("std_norm"), _count(F.col("norm") == 0).alias("zero_norm"))
     return norms.crossJoin(dimension_stats(rows, column).agg(F.avg("variance").alias("mean_variance"), _count(F.col("variance") < 1e-10).alias("constant_dims")))
@@ -104,7 +104,7 @@ def mean_pair_distance(df: DataFrame, key: str, column: str, share: float, seed:
     The order is numbered by ranges, and the two rows of a number meet in a partial
     aggregate, so tasks are as even as the hash.
     """
-    drawn = df.where(_draw(F.lit(seed), F.col(key)) < share).select(key, F.col(column).alias("v"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("drawn"))
+    drawn = df.where(draw(F.lit(seed), F.col(key)) < share).select(key, F.col(column).alias("v"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("drawn"))
     pairs = numbered(drawn, ["drawn", key]).withColumn("pair", F.floor(F.col("nth") / 2)).groupBy("pair")
     both = pairs.agg(F.max(F.when(F.col("nth") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("nth") % 2 == 1, F.col("v"))).alias("b")).where("a is not null and b is not null")
     gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -147,7 +147,7 @@ def sample_trip_context(missions: DataFrame, types: dict[str, str], focuses: dic
     """A trip context per customer: type and focus drawn by weight, sensitivity and size by mean."""
 
     def drawn(columns: dict[str, str], salt: int) -> Column:
-        u = _draw(F.lit(seed + salt), F.col("customer_id"))
+        u = draw(F.lit(seed + salt), F.col("customer_id"))
         out, left = F.lit(list(columns)[-1]), sum((F.col(c) for c in list(columns.values())[1:]), F.col(list(columns.values())[0]))
         bound = F.lit(0.0)
         tests = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketforge.operators.sequences import _draw
+from basketforge.operators.sequences import draw
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def above_threshold(scores: DataFrame, threshold: float) -> DataFrame:
 
 def sample_from_scores(scores: DataFrame, temperature: float = 1.0, seed: int = 5) -> DataFrame:
     """One item per sample drawn from the softmax of score / temperature (Gumbel maximum)."""
-    u = (_draw(F.lit(seed), F.col("sample_id"), F.col("item")) * 4294967296.0 + 1) / 4294967297.0
+    u = (draw(F.lit(seed), F.col("sample_id"), F.col("item")) * 4294967296.0 + 1) / 4294967297.0
     noisy = F.col("score") / temperature - F.log(-F.log(u))
     return scores.withColumn("noisy", noisy).groupBy("sample_id").agg(F.max_by("item", F.struct("noisy", "item")).alias("item"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketforge.operators.temporal import last_known
 from basketforge.session import staged
 
 PAD = 0
@@ -83,7 +84,7 @@ def sequence_embeddings(tokens: DataFrame, embeddings: DataFrame, width: int) ->
     return rows.select("basket_id", "pos", F.zip_with(own, positional_encoding(F.col("pos"), width), lambda a, b: a + b).alias("vector"))
 
 
-def _draw(*parts: Column) -> Column:
+def draw(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
@@ -94,13 +95,13 @@ def mask_items(tokens: DataFrame, share: float = 0.15, seed: int = 7) -> DataFra
     Rows: basket_id, masked tokens, positions and their targets.
     """
     place = F.sequence(F.lit(0), F.size("tokens") - 2)
-    ranked = F.transform(F.array_sort(F.transform(place, lambda k: F.struct(_draw(F.lit(seed), F.col("basket_id"), k).alias("u"), k.alias("k")))), lambda x: x["k"])
+    ranked = F.transform(F.array_sort(F.transform(place, lambda k: F.struct(draw(F.lit(seed), F.col("basket_id"), k).alias("u"), k.alias("k")))), lambda x: x["k"])
     count = F.greatest(F.lit(1), F.floor((F.size("tokens") - 1) * share).cast("int"))
     df = tokens.where(F.size("tokens") > 1).withColumn("positions", F.array_sort(F.slice(ranked, 1, count)))
 
     def changed(token: Column, k: Column) -> Column:
-        u = _draw(F.lit(seed + 1), F.col("basket_id"), k)
-        other = F.floor(_draw(F.lit(seed + 2), F.col("basket_id"), k) * (F.col("end_token") - 1)).cast("int") + 1
+        u = draw(F.lit(seed + 1), F.col("basket_id"), k)
+        other = F.floor(draw(F.lit(seed + 2), F.col("basket_id"), k) * (F.col("end_token") - 1)).cast("int") + 1
         return F.when(~F.array_contains("positions", k), token).when(u < 0.8, F.col("end_token") + 1).when(u < 0.9, other).otherwise(token)
 
     targets = F.transform("positions", lambda k: F.get("tokens", k))
@@ -111,7 +112,7 @@ def mask_history(history: DataFrame, mask_token: int, share: float = 0.15, seed:
     """``history`` (basket_id, grid) with a share of the items masked; labels are -100 elsewhere."""
 
     def chosen(i: Column, j: Column, x: Column) -> Column:
-        return (x != PAD) & (_draw(F.lit(seed), F.col("basket_id"), i, j) < share)
+        return (x != PAD) & (draw(F.lit(seed), F.col("basket_id"), i, j) < share)
 
     masked = F.transform("grid", lambda row, i: F.transform(row, lambda x, j: F.when(chosen(i, j, x), F.lit(mask_token)).otherwise(x)))
     labels = F.transform("grid", lambda row, i: F.transform(row, lambda x, j: F.when(chosen(i, j, x), x).otherwise(F.lit(-100))))
@@ -162,12 +163,46 @@ def index_prices(features: DataFrame, products: DataFrame, stores: DataFrame, we
     return df.join(weeks.select(F.col("week_original").alias("week"), F.col("week").alias("week_idx")), "week").select("product_idx", "store_idx", "week_idx", "features")
 
 
-def next_basket_samples(pairs: DataFrame, vocab: DataFrame, length: int = 50) -> DataFrame:
-    """Input tokens and target set of each pair with the context of the target basket."""
-    inputs = encode_products(pairs, vocab, "input_basket_id", "input_products").withColumn("input_ids", F.slice("ids", 1, length)).drop("ids")
-    targets = multihot(pairs, vocab, "target_basket_id", "target_products")
-    df = pairs.join(inputs, "input_basket_id").join(targets, "target_basket_id")
-    return df.select("customer_id", "input_basket_id", "target_basket_id", "input_ids", "target", "target_store_id", "target_week_original", "target_weekday", "target_hour", "num_history_baskets", "split", "bucket")
+def ended(ids: Column, end: Column, length: int) -> Column:
+    """A sequence of at most ``length`` tokens: items, then the end token."""
+    return F.concat(F.slice(ids, 1, length - 1), F.array(end))
+
+
+def input_prices(pairs: DataFrame, features: DataFrame, length: int = 50, width: int = 64) -> DataFrame:
+    """Price vectors of the items of each input basket: input_basket_id, price_weeks, input_price_features.
+
+    An item's price is that of the last week, at or before the input's, in which its
+    product has one in the input's store: ``price_weeks`` has that week, or 0 and a
+    vector of zeros where there is none. ``features``: product_id, store_id, week, features.
+    """
+    items = pairs.select("input_basket_id", F.col("input_store_id").alias("store_id"), F.col("input_week_original").alias("week"), F.posexplode(F.slice("input_products", 1, length - 1)).alias("pos", "product_id"))
+    by = ["product_id", "store_id"]
+    weeks = last_known(items, features.select(*by, "week", F.col("week").alias("price")), by, "week", ["price"])
+    # Vectors are joined once for each wanted cell, then meet the items.
+    cells = weeks.join(features.select(*by, F.col("week").alias("known_price"), "features"), [*by, "known_price"], "left")
+    found = items.join(cells, [*by, "week"], "left")
+    zeros = F.array_repeat(F.lit(0.0), width)
+    one = F.struct("pos", F.coalesce("known_price", F.lit(0)).alias("week"), F.coalesce("features", zeros).alias("features"))
+    kept = found.groupBy("input_basket_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    return kept.select("input_basket_id", F.col("items.week").alias("price_weeks"), F.col("items.features").alias("input_price_features"))
+
+
+def next_basket_samples(pairs: DataFrame, vocab: DataFrame, features: DataFrame, length: int = 50) -> DataFrame:
+    """Input sequence with prices, target set and sequence of each pair, and the context of both baskets.
+
+    Both sequences end with the end token N+1 and have at most ``length`` tokens with it.
+    """
+    end = vocab.agg((F.max("idx") + 1).alias("end_token"))
+    inputs = encode_products(pairs, vocab, "input_basket_id", "input_products").withColumnRenamed("ids", "input_items")
+    known = encode_products(pairs, vocab, "target_basket_id", "target_products")
+    target = F.array_sort(F.array_distinct(F.filter("ids", lambda x: x > PAD)))
+    targets = known.select("target_basket_id", target.alias("target"), F.col("ids").alias("target_items"))
+    df = pairs.join(inputs, "input_basket_id").join(targets, "target_basket_id").join(input_prices(pairs, features, length), "input_basket_id").crossJoin(F.broadcast(end))
+    df = df.withColumn("input_ids", ended(F.col("input_items"), F.col("end_token"), length)).withColumn("target_ids", ended(F.col("target_items"), F.col("end_token"), length))
+    return df.select(
+        "customer_id", "input_basket_id", "target_basket_id", "input_ids", F.size("input_ids").alias("input_length"), "input_store_id", F.col("input_week_original").alias("input_week"), "price_weeks", "input_price_features",
+        "target", "target_ids", F.size("target_ids").alias("target_length"), "target_store_id", "target_week_original", "target_weekday", "target_hour", "week_gap", "num_history_baskets", "split", "bucket",
+    )
 
 
 def store_visit_samples(pairs: DataFrame, stores: DataFrame) -> DataFrame:

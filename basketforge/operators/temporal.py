@@ -155,6 +155,20 @@ def next_basket_pairs(meta: DataFrame, baskets: DataFrame, least: int = 2, gap:
     return df.where((F.col("target_size") >= least) & (F.col("input_size") > 0) & (F.col("week_gap") <= gap) & (F.col("num_history_baskets") >= history))
 
 
+def last_known(wanted: DataFrame, known: DataFrame, by: list[str], at: str, carried: list[str]) -> DataFrame:
+    """As-of join: each distinct (``by``, ``at``) of ``wanted`` with the ``carried`` columns of the last row of ``known`` at or before it.
+
+    Both streams are merged in order in one window. It holds the distinct places of a
+    group, never its rows: a group asked for a million times is one row a place. Rows
+    of ``known`` are one a place too. Without an earlier row the carried columns are null.
+    """
+    asked = wanted.select(*by, at).distinct().withColumn("_row", F.lit(None).cast(known.select(F.struct(*carried).alias("s")).schema["s"].dataType))
+    both = known.select(*by, at, F.struct(*carried).alias("_row"), F.lit(0).alias("_side")).unionByName(asked.withColumn("_side", F.lit(1)))
+    past = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(past)).where("_side = 1")
+    return found.select(*by, at, *(F.col("_row").getField(c).alias(f"known_{c}") for c in carried))
+
+
 def training_samples(histories: DataFrame, meta: DataFrame, tx: DataFrame, least: int = 2) -> DataFrame:
     """History, distinct target products and flags of each basket that is large enough."""
     targets = min_basket(basket_products(tx, distinct=True), least).withColumnRenamed("products", "target_products")

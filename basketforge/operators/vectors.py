@@ -305,13 +305,27 @@ def vocab_vectors(vocab: DataFrame, features: DataFrame, key: str, columns: list
     return df.select("value", "idx", fix_width(values, width).alias("vector"))
 
 
-def category_mean_vectors(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """Mean vector of each group, for members that have none: ``groups`` (node, group)."""
-    known = groups.join(features, "node")
-    return known.groupBy("group").agg(vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("mean"))
+def fill_by_levels(known: DataFrame, groups: DataFrame, levels: list[str]) -> DataFrame:
+    """A vector for every node of ``groups`` (node and a column for each level, nearest first): node, vector, source.
+
+    Nodes of ``known`` (node, vector) keep theirs. Any other takes the mean of the known
+    nodes of its group at the nearest level that has one (an inductive fill along the
+    hierarchy), and zeros where none has. ``source`` is ``own``, the level or ``none``.
+    """
+    members = groups.join(known, "node")
+    df = groups.join(known, "node", "left")
+    source, vector = F.when(F.col("vector").isNotNull(), "own"), F.col("vector")
+    for level in levels:
+        mean = members.where(F.col(level).isNotNull()).groupBy(level).agg(vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias(f"_mean_{level}"))
+        df = df.join(mean, level, "left")
+        source, vector = source.when(F.col(f"_mean_{level}").isNotNull(), level), F.coalesce(vector, F.col(f"_mean_{level}"))
+    width = known.agg(F.max(F.size("vector")).alias("_width"))
+    df = df.crossJoin(F.broadcast(width))
+    zeros = F.array_repeat(F.lit(0.0), F.coalesce("_width", F.lit(0)))
+    return df.select("node", F.coalesce(vector, zeros).alias("vector"), source.otherwise("none").alias("source"))
 
 
 def fill_unseen(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """Vectors of all nodes of ``groups`` (node, group): own, else the group's mean."""
-    means = category_mean_vectors(features, groups)
-    return groups.join(features, "node", "left").join(means, "group", "left").select("node", F.coalesce("vector", "mean").alias("vector"), F.col("vector").isNull().alias("filled"))
+    """Vectors of all nodes of ``groups`` (node, group): own, else the group's mean; null where the group has none."""
+    filled = fill_by_levels(features, groups, ["group"])
+    return filled.select("node", F.when(F.col("source") != "none", F.col("vector")).alias("vector"), (F.col("source") != "own").alias("filled"))

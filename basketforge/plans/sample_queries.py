@@ -170,20 +170,11 @@ def k5(spark, sf):
 
 
 _HOT = "hot AS (SELECT target_basket_id, list_sort(list_distinct(list(idx))) AS target FROM (SELECT target_basket_id, unnest(target_products) AS value FROM pairs) JOIN vocab USING (value) GROUP BY ALL)"
-_IN = "inp AS (SELECT BASKET_ID AS input_basket_id, list_slice(list(idx ORDER BY LINE_SEQ), 1, 50) AS input_ids FROM tx JOIN vocab ON value = PROD_CODE GROUP BY ALL)"
-
-
 @register("h19_multihot", with_sql(f"{PAIRS}, {_VOCAB}, {_HOT}", "SELECT target_basket_id, array_to_string(target, ',') AS target FROM hot"))
 def h19(spark, sf):
     return tidy(S.multihot(pairs(spark, sf), _vocab(spark, sf), "target_basket_id", "target_products").select("target_basket_id", _joined("target").alias("target")))
 
 
-@register("k14_next_basket_samples", with_sql(f"{PAIRS}, {_VOCAB}, {_HOT}, {_IN}", "SELECT customer_id, input_basket_id, target_basket_id, array_to_string(input_ids, ',') AS input_ids, array_to_string(target, ',') AS target, target_store_id, target_week_original, target_weekday, target_hour, num_history_baskets, split, bucket FROM pairs JOIN hot USING (target_basket_id) JOIN inp USING (input_basket_id)"))
-def k14(spark, sf):
-    s = S.next_basket_samples(pairs(spark, sf), _vocab(spark, sf))
-    return tidy(s.withColumn("input_ids", _joined("input_ids")).withColumn("target", _joined("target")))
-
-
 @register("k15_store_visit_samples", with_sql(f"{PAIRS}, {_VOCAB}", "SELECT customer_id, input_basket_id, target_basket_id, a.idx AS previous_store, b.idx AS target_store, target_week_original, target_weekday, target_hour, split, bucket FROM pairs JOIN svocab a ON a.value = input_store_id JOIN svocab b ON b.value = target_store_id"))
 def k15(spark, sf):
     return tidy(S.store_visit_samples(pairs(spark, sf), S.build_vocab(tx(spark, sf), "STORE_CODE")))
@@ -284,6 +275,31 @@ _EMBEDDED = ", ".join(
 EMBEDDINGS = f"WITH {_EMBEDDED} SELECT node, {unit_sql('vector')} AS vector FROM layer2"
 
 
+_SEQUENCES = f"""ended AS (SELECT max(idx) + 1 AS e FROM vocab), placed AS (SELECT BASKET_ID AS basket_id, PROD_CODE AS product_id, idx, row_number() OVER (PARTITION BY BASKET_ID ORDER BY LINE_SEQ) AS k FROM tx JOIN vocab ON value = PROD_CODE),
+sequences AS (SELECT basket_id, list_append(list(idx ORDER BY k), any_value(e)) AS ids FROM placed, ended WHERE k < {TOKEN_LENGTH} GROUP BY ALL),
+pf AS (WITH {FEATURES} SELECT product_id, store_id, week, features FROM pf),
+asked AS (SELECT input_basket_id, k, product_id, input_store_id AS store_id, input_week_original AS week FROM pairs JOIN placed ON basket_id = input_basket_id WHERE k < {TOKEN_LENGTH}),
+attached AS (SELECT input_basket_id, k, pf.week AS price_week, features FROM asked ASOF LEFT JOIN pf ON asked.product_id = pf.product_id AND asked.store_id = pf.store_id AND asked.week >= pf.week),
+priced_inputs AS (SELECT input_basket_id, string_agg(CAST(coalesce(price_week, 0) AS VARCHAR), ',' ORDER BY k) AS price_weeks, string_agg({{spelled}}, ';' ORDER BY k) AS input_price_features FROM attached GROUP BY ALL)"""
+
+
+@register(
+    "k14_next_basket_samples",
+    with_sql(
+        f"{PAIRS}, {_VOCAB}, {_HOT}, {_SEQUENCES.format(spelled=spelled_sql(f'coalesce(features, {zeros_sql(64)})', 4))}",
+        "SELECT customer_id, input_basket_id, target_basket_id, array_to_string(a.ids, ',') AS input_ids, CAST(len(a.ids) AS BIGINT) AS input_length, input_store_id, input_week_original AS input_week, price_weeks, input_price_features, "
+        "array_to_string(target, ',') AS target, array_to_string(b.ids, ',') AS target_ids, CAST(len(b.ids) AS BIGINT) AS target_length, target_store_id, target_week_original, target_weekday, target_hour, week_gap, num_history_baskets, split, bucket "
+        "FROM pairs JOIN hot USING (target_basket_id) JOIN sequences a ON a.basket_id = input_basket_id JOIN sequences b ON b.basket_id = target_basket_id JOIN priced_inputs USING (input_basket_id)",
+    ),
+    shared=True,
+)
+def k14(spark, sf):
+    """Sequences with their end token, the prices of the input as of its week (64 numbers an item, in units of 10^-4), and the target as set and sequence."""
+    s = S.next_basket_samples(pairs(spark, sf), _vocab(spark, sf), price_features(prices(spark, sf)), TOKEN_LENGTH)
+    vectors = F.array_join(F.transform("input_price_features", lambda v: spelled(v, 4)), ";")
+    return tidy(s.withColumn("input_price_features", vectors).withColumns({c: _joined(c) for c in ("input_ids", "price_weeks", "target", "target_ids")}))
+
+
 @register("j5_product_embeddings", f"SELECT node, {spelled_sql('vector')} AS vector FROM ({EMBEDDINGS})", shared=True)
 def j5(spark, sf):
     """All 256 numbers of each product, in millionths."""
@@ -498,11 +514,25 @@ def k13(spark, sf):
     return tidy(df.select("basket_id", _joined("masked").alias("masked"), _joined("targets").alias("targets"), "split", "bucket", "size_label", "sensitivity_label", "type_label", "focus_label", spelled("dense_context", 4).alias("dense_context"), items.alias("item_features"), "n_items"))
 
 
-@register("c13_fetch_embeddings", with_sql(f"{META}, sv AS (SELECT DISTINCT store_id FROM meta)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, CASE WHEN store_id IN (SELECT store_id FROM sv) THEN {hash_sql('store_id', 8)} ELSE list_resize([]::DOUBLE[], 8, 0.0::DOUBLE) END AS v FROM meta)", "v_sum, v_dot"))
+#: A split of entities: shares of products, whole categories and stores that training never sees.
+UNSEEN, UNSEEN_CATEGORIES, SPLIT_SEED = 0.3, 0.2, 5
+
+
+def _unseen(share: float, column: str):
+    return S.draw(F.lit(SPLIT_SEED), F.col(column)) < share
+
+
+def _unseen_sql(share: float, column: str) -> str:
+    return f"{_U(repr(str(SPLIT_SEED)), column)} < {share}::DOUBLE"
+
+
+@register("c13_fetch_embeddings", with_sql(META, f"SELECT basket_id, known, {spelled_sql('v')} AS vector FROM (SELECT basket_id, NOT ({_unseen_sql(UNSEEN, 'store_id')}) AS known, CASE WHEN {_unseen_sql(UNSEEN, 'store_id')} THEN {zeros_sql(8)} ELSE {hash_sql('store_id', 8)} END AS v FROM meta)"))
 def c13(spark, sf):
+    """Store vectors of all baskets from a table that knows only the stores of the entity split's training side; others are zeros."""
     m = meta(spark, sf)
-    known = m.select("store_id").distinct().withColumn("vector", V.hash_vector(F.col("store_id"), 8))
-    return tidy(V.fetch_embeddings(m.select("basket_id", "store_id"), known, "store_id", 8).select("basket_id", *told("vector")))
+    known = m.select("store_id").distinct().where(~_unseen(UNSEEN, "store_id")).withColumn("vector", V.hash_vector(F.col("store_id"), 8))
+    found = V.fetch_embeddings(m.select("basket_id", "store_id"), known, "store_id", 8)
+    return tidy(found.select("basket_id", (~_unseen(UNSEEN, "store_id")).alias("known"), spelled("vector").alias("vector")))
 
 
 @register("j18_vocab_vectors", with_sql(f"{PROFILE}, {_VOCAB}", f"SELECT value, idx, {told_sql('v')} FROM (SELECT value, idx, list_resize([baskets_per_week, avg_spend, weekend_share], 128, 0.0::DOUBLE) AS v FROM svocab JOIN profile ON store_id = value)", "v_sum, v_dot", 5))
@@ -511,12 +541,30 @@ def j18(spark, sf):
     return tidy(v.select("value", "idx", *told("vector")), 5)
 
 
-_UNSEEN = f"""grp AS (SELECT DISTINCT PROD_CODE AS node, PROD_CODE_10 AS grp FROM tx), own AS (SELECT node, grp, list_sum(v) AS s, list_sum(list_transform(range(1, 9), lambda i: v[i] * i)) AS d FROM (SELECT node, grp, {hash_sql('node', 8)} AS v FROM grp)),
-gm AS (SELECT grp, avg(s) AS s, avg(d) AS d FROM own GROUP BY ALL)"""
+def _filled_sql(entity: str, table: str, levels: list[str]) -> str:
+    """``table`` (node, unseen and the levels) filled along the levels."""
+    means = ", ".join(f"{table}_{c} AS (SELECT {c}, list(x ORDER BY d) AS m FROM (SELECT {c}, d, avg(x) AS x FROM {table}_cell GROUP BY ALL) GROUP BY ALL)" for c in levels)
+    joins = " ".join(f"LEFT JOIN {table}_{c} USING ({c})" for c in levels)
+    source = " ".join(f"WHEN {table}_{c}.m IS NOT NULL THEN '{c}'" for c in levels)
+    vector = f"coalesce(CASE WHEN NOT unseen THEN {hash_sql('node', 8)} END, {', '.join(f'{table}_{c}.m' for c in levels)}, {zeros_sql(8)})"
+    cell = f"{table}_cell AS (SELECT {', '.join(levels)}, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (SELECT *, {hash_sql('node', 8)} AS v FROM {table} WHERE NOT unseen))"
+    return f"SELECT * FROM (WITH {cell}, {means} SELECT '{entity}' AS entity, node, CASE WHEN NOT unseen THEN 'own' {source} ELSE 'none' END AS source, {spelled_sql(vector)} AS vector FROM {table} {joins})"
+
 
+_PRODUCT_LEVELS, _STORE_LEVELS = ["category", "commodity", "department"], ["format_region", "format"]
+_SPLIT = f"""pg AS (SELECT *, {_unseen_sql(UNSEEN, 'node')} OR {_unseen_sql(UNSEEN_CATEGORIES, 'category')} AS unseen FROM (SELECT DISTINCT PROD_CODE AS node, PROD_CODE_10 AS category, PROD_CODE_20 AS commodity, PROD_CODE_40 AS department FROM tx)),
+sg AS (SELECT *, {_unseen_sql(UNSEEN, 'node')} AS unseen FROM (SELECT DISTINCT STORE_CODE AS node, STORE_FORMAT || '|' || STORE_REGION AS format_region, STORE_FORMAT AS format FROM tx))"""
 
-@register("p7_unseen_vectors", with_sql(f"{TX}, {_UNSEEN}", "SELECT grp.node, own.node IS NULL AS filled, coalesce(own.s, gm.s) AS v_sum, coalesce(own.d, gm.d) AS v_dot FROM grp LEFT JOIN own ON own.node = grp.node LEFT JOIN gm ON gm.grp = grp.grp", "v_sum, v_dot"))
+
+@register("p7_unseen_vectors", with_sql(f"{TX}, {_SPLIT}", f"{_filled_sql('product', 'pg', _PRODUCT_LEVELS)} UNION ALL {_filled_sql('store', 'sg', _STORE_LEVELS)}"))
 def p7(spark, sf):
-    groups = tx(spark, sf).select(F.col("PROD_CODE").alias("node"), F.col("PROD_CODE_10").alias("group")).distinct()
-    known = groups.select("node", V.hash_vector(F.col("node"), 8).alias("vector"))
-    return tidy(V.fill_unseen(known, groups).select("node", "filled", *told("vector")[1:]))
+    """Vectors of all products and stores from those of the entity split's training side: own, or the mean of the nearest level that has any."""
+    t = tx(spark, sf)
+    products = t.select(F.col("PROD_CODE").alias("node"), F.col("PROD_CODE_10").alias("category"), F.col("PROD_CODE_20").alias("commodity"), F.col("PROD_CODE_40").alias("department")).distinct()
+    stores = t.select(F.col("STORE_CODE").alias("node"), F.concat_ws("|", "STORE_FORMAT", "STORE_REGION").alias("format_region"), F.col("STORE_FORMAT").alias("format")).distinct()
+    out = None
+    for entity, groups, levels, unseen in (("product", products, _PRODUCT_LEVELS, _unseen(UNSEEN, "node") | _unseen(UNSEEN_CATEGORIES, "category")), ("store", stores, _STORE_LEVELS, _unseen(UNSEEN, "node"))):
+        known = groups.where(~unseen).select("node", V.hash_vector(F.col("node"), 8).alias("vector"))
+        rows = V.fill_by_levels(known, groups, levels).select(F.lit(entity).alias("entity"), "node", "source", spelled("vector").alias("vector"))
+        out = rows if out is None else out.union(rows)
+    return tidy(out)

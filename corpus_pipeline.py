@@ -14,8 +14,6 @@ keeps one of them. Of equal scores and sizes the smaller doc_id comes first.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from basketforge.llm import quality
@@ -23,7 +21,7 @@ from basketforge.llm.decontaminate import decontaminate
 from basketforge.llm.line_dedup import LineDedup
 from basketforge.llm.packing import pack_documents
 from basketforge.llm.shingle_join import keep_one_of_each
-from basketforge.session import shared_folder
+from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
 
@@ -48,8 +46,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, keep_ids=False)
+    """Pieces of the remaining documents, with their token ids, in sequences of at most 2048 tokens."""
+    return pack_documents(docs)
 
 
 STAGES = [
@@ -65,10 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder."""
+    """All stages over ``documents``; each but the last is written to the shared folder, until the next one is."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_folder(spark)}/basketforge/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # The next stage reads this one's table alone.
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

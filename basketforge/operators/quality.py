@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketforge.operators.quantiles import exact_quantiles
 from basketforge.operators.sequences import draw, numbered
+from basketforge.session import staged
 
 
 def _share(condition: Column) -> Column:
@@ -111,13 +112,43 @@ def mean_pair_distance(df: DataFrame, key: str, column: str, share: float, seed:
     return both.agg(F.count("*").alias("pairs"), F.avg(gap).alias("mean_distance"))
 
 
-def quality_summary(reports: dict[str, DataFrame]) -> DataFrame:
-    """Score of each section, and the mean of all."""
+def affinity_score(affinity: DataFrame) -> DataFrame:
+    """No points without customers; 20 are lost if any lacks a loyalty score."""
+    nulls = _count(F.col("loyalty_score").isNull())
+    return affinity.agg(F.when(F.count("*") == 0, 0.0).otherwise(_score((nulls > 0, 20.0))).alias("score"))
+
+
+def mission_score(missions: DataFrame, columns: list[str]) -> DataFrame:
+    """No points without customers; 30 are lost unless 95 % have shares that add up to 1."""
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    valid = _share(F.abs(total - 1) <= 0.01)
+    return missions.agg(F.when(F.count("*") == 0, 0.0).otherwise(_score((valid < 0.95, 30.0))).alias("score"))
+
+
+def brand_score(brands: DataFrame) -> DataFrame:
+    """20 points are lost if most brands have one product, and 20 if there are fewer than ten."""
+    return brand_report(brands).select(_score((F.col("singleton_share") > 0.5, 20.0), (F.col("brands") < 10, 20.0)).alias("score"))
+
+
+def embedding_score(df: DataFrame, width: int) -> DataFrame:
+    """30 points are lost for bad numbers, 20 for zero vectors, 20 if over a tenth of the places are constant."""
+    bad = df.agg(F.coalesce(_count(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))), F.lit(0)).alias("bad_rows"))
+    return embedding_report(df.select("vector")).crossJoin(bad).select(_score((F.col("bad_rows") > 0, 30.0), (F.col("zero_norm") > 0, 20.0), (F.col("constant_dims") > width * 0.1, 20.0)).alias("score"))
+
+
+def quality_summary(parts: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """part, section, score: of every report (one row with a score), the mean of each part, and the mean of the parts.
+
+    Reports have one row each, so they are evaluated once, into a small staged table.
+    """
     out = None
-    for name, report in reports.items():
-        rows = report.select(F.lit(name).alias("section"), "score")
-        out = rows if out is None else out.union(rows)
-    return out.union(out.agg(F.avg("score").alias("score")).select(F.lit("overall").alias("section"), "score"))
+    for part, reports in parts.items():
+        for name, report in reports.items():
+            rows = report.select(F.lit(part).alias("part"), F.lit(name).alias("section"), "score")
+            out = rows if out is None else out.union(rows)
+    scores = staged(out, "scores")
+    means = scores.groupBy("part").agg(F.lit("mean").alias("section"), F.avg("score").alias("score"))
+    return scores.union(means).union(means.agg(F.lit("overall").alias("part"), F.lit("mean").alias("section"), F.avg("score").alias("score")))
 
 
 def customer_activity(tx: DataFrame) -> DataFrame:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketforge.functions.columns import tidy
+from basketforge.operators import affinity as A
+from basketforge.operators import graph as G
+from basketforge.operators import missions as M
 from basketforge.operators import pricing as P
 from basketforge.operators import quality as Q
 from basketforge.operators import stores as ST
 from basketforge.operators import temporal as T
 from basketforge.operators import vectors as V
-from basketforge.operators.price_features import price_features
-from basketforge.plans.evaluation_queries import _EMB, _PR, _SCORED, _check_sql, _emb
+from basketforge.plans.evaluation_queries import _PR, _SCORED, _check_sql
 from basketforge.plans.feature_queries import _FOUR, FEATURES, PROFILE
-from basketforge.plans.registry import register
-from basketforge.plans.sample_queries import _IDENT, _LABELS, _NORM10, _SV, _TEMP, _attributes, _embedded, _stores, concat_sql, hash_sql, label_sql
+from basketforge.plans.customer_queries import AFFINITY, MISSIONS
+from basketforge.plans.graph_queries import BRANDS, brands, graph, prices
+from basketforge.plans.registry import SQL, register
+from basketforge.plans.sample_queries import (
+    _IDENT, _NORM10, _SV, _TEMP, CUSTOMERS, EMBEDDINGS, T1, T5, T6, _attributes, _customer_context, _embedded, _stores, concat_sql, hash_sql, label_sql, price_vectors, product_vectors,
+)
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
 from basketforge.plans.temporal_queries import _PRIOR, CALENDAR, META, PAIRS, meta, pairs
 from basketforge.session import staging_path
@@ -32,16 +38,18 @@ def _store_vectors(spark, sf):
     return vectors.join(stores.select("store_id", "format"), "store_id")
 
 
-def _price_vectors(spark, sf):
-    return price_features(P.derive_prices(tx(spark, sf)))
-
-
 @register("m5_price_feature_report", with_sql(f"{FEATURES}, {_check_sql('features', 'pf', 64)}", f"SELECT *, (SELECT max(list_max(list_slice(features, 1, 24))) FROM pf) AS fourier_max, (SELECT min(list_min(list_slice(features, 1, 24))) FROM pf) AS fourier_min FROM ({_MOSTLY})", "mean, mean_std, score, fourier_max, fourier_min", 4))
 def m5(spark, sf):
-    return tidy(Q.price_feature_report(_price_vectors(spark, sf)), 4)
+    return tidy(Q.price_feature_report(price_vectors(spark, sf)), 4)
+
 
+_CUSTOMER_REPORT = f"""WITH ce AS ({CUSTOMERS}), {_check_sql('vector', 'ce', 160)}, nm AS (SELECT sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM ce)
+SELECT *, 100.0 - CASE WHEN bad_rows > 0 THEN 30.0 ELSE 0.0 END - CASE WHEN constant_dims > 16 THEN 20.0 ELSE 0.0 END AS score FROM (
+  SELECT (SELECT count(*) FROM ce) AS rows, (SELECT avg(n) FROM nm) AS mean_norm, (SELECT stddev_samp(n) FROM nm) AS std_norm, (SELECT CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) FROM nm) AS zero_norm, avg(s2) AS mean_variance, CAST(count(*) FILTER (WHERE s2 < 1e-10) AS BIGINT) AS constant_dims,
+    (SELECT avg(trips) FROM ce) AS mean_trips, (SELECT CAST(count(*) FILTER (WHERE trips < 5) AS BIGINT) FROM ce) AS cold_start, (SELECT CAST(count(*) FILTER (WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) > 0) AS BIGINT) FROM ce) AS bad_rows FROM dims)"""
 
-@register("m6_customer_report", shared=True)
+
+@register("m6_customer_report", with_sql("one AS (SELECT 1)", _CUSTOMER_REPORT, "mean_norm, std_norm, mean_variance, mean_trips, score"), shared=True)
 def m6_customers(spark, sf):
     return tidy(Q.customer_embedding_report(_embedded(spark, sf)))
 
@@ -51,43 +59,77 @@ def m7(spark, sf):
     return tidy(Q.store_report(_store_vectors(spark, sf)))
 
 
-_CONTEXT = {"T3": f"SELECT {_TEMP} AS v FROM calendar", "T6": f"SELECT {_LABELS} AS v FROM att"}
-_ATT = "att AS (SELECT BASKET_ID AS basket_id, min(BASKET_TYPE) AS BASKET_TYPE, min(BASKET_DOMINANT_MISSION) AS BASKET_DOMINANT_MISSION, min(BASKET_PRICE_SENSITIVITY) AS BASKET_PRICE_SENSITIVITY, min(BASKET_SIZE) AS BASKET_SIZE FROM tx GROUP BY ALL)"
+_TENSORS = {
+    "T1": (T1, 192), "T2": (EMBEDDINGS, 256), "T3": (f"WITH {CALENDAR} SELECT {_TEMP} AS vector FROM calendar", 64), "T4": (f"WITH {FEATURES} SELECT features AS vector FROM pf", 64), "T5": (T5, 96), "T6": (T6, 48),
+}
 
 
-def _context_sql(name: str, width: int) -> str:
-    check = _check_sql("v", name.lower(), width).replace("dims AS", f"dims{name} AS").replace("FROM dims)", f"FROM dims{name})").replace("chk AS", f"chk{name} AS")
-    return f"{name.lower()} AS ({_CONTEXT[name]}), {check}"
+def _tensor_sql(name: str) -> str:
+    sql, width = _TENSORS[name]
+    return f"SELECT '{name}' AS context, * FROM (WITH t AS ({sql}), {_check_sql('vector', 't', width)} {_SCORED.replace('> 32', f'> {width / 2}')})"
 
 
-_CHECKED = " UNION ALL ".join(f"SELECT '{n}' AS context, * FROM ({_SCORED.replace('FROM chk', f'FROM chk{n}').replace('> 32', f'> {w / 2}')})" for n, w in (("T3", 64), ("T6", 48)))
+def tensor_checks(spark, sf):
+    """Checks of all six contexts: customers, products, time, prices, stores and trips."""
+    store = V.store_context(_stores(spark, sf), ST.context_vector(*(F.col(c) for c in _FOUR)))
+    tables = {
+        "T1": _customer_context(spark, sf), "T2": product_vectors(spark, sf), "T3": V.temporal_context(T.calendar_features(meta(spark, sf))), "T4": price_vectors(spark, sf).select(F.col("features").alias("vector")),
+        "T5": store, "T6": V.trip_context(_attributes(spark, sf)),
+    }
+    return {name: Q.vector_check(df, _TENSORS[name][1]) for name, df in tables.items()}
 
 
-@register("m8_context_checks", with_sql(f"{CALENDAR}, {_ATT}, {_context_sql('T3', 64)}, {_context_sql('T6', 48)}", _CHECKED, "mean, mean_std, score"))
+@register("m8_context_checks", with_sql("one AS (SELECT 1)", " UNION ALL ".join(map(_tensor_sql, _TENSORS)), "mean, mean_std, score", 4), shared=True)
 def m8_contexts(spark, sf):
-    """Checks of the temporal (T3) and trip (T6) context of all baskets."""
-    found = {"T3": (V.temporal_context(T.calendar_features(meta(spark, sf))), 64), "T6": (V.trip_context(_attributes(spark, sf)), 48)}
+    """Width, bad numbers, constant places and score of T1 to T6."""
     out = None
-    for name, (df, width) in found.items():
-        row = Q.vector_check(df, width).select(F.lit(name).alias("context"), "*")
+    for name, check in tensor_checks(spark, sf).items():
+        row = check.select(F.lit(name).alias("context"), "*")
         out = row if out is None else out.union(row)
-    return tidy(out)
+    return tidy(out, 4)
 
 
-@register("m8_customer_context_check", shared=True)
+@register("m8_customer_context_check", with_sql("one AS (SELECT 1)", f"SELECT * EXCLUDE (context) FROM ({_tensor_sql('T1')})", "mean, mean_std, score"), shared=True)
 def m8_customers(spark, sf):
-    """Check of the customer embeddings that T1 is made of."""
-    return tidy(Q.vector_check(_embedded(spark, sf).select("customer_id", "vector"), 160))
-
-
-_SECTIONS = f"SELECT 'prices' AS section, score FROM ({_PR}) UNION ALL SELECT 'price_features', score FROM ({_MOSTLY}) UNION ALL SELECT 'stores', score FROM ({_STORE_REPORT}) UNION ALL SELECT 'embeddings', score FROM ({_SCORED.replace('FROM chk', 'FROM chkE')})"
-_EMB_CHECK = _check_sql("vector", "emb", 64).replace("dims AS", "dimsE AS").replace("FROM dims)", "FROM dimsE)").replace("chk AS", "chkE AS")
-
-
-@register("m9_quality_summary", with_sql(f"{_STORE_VECTORS}, {FEATURES[len(TX) + 2 :]}, {_check_sql('features', 'pf', 64)}, {_EMB}, {_EMB_CHECK}, s AS ({_SECTIONS})", "SELECT * FROM s UNION ALL SELECT 'overall', avg(score) FROM s", "score"), shared=True)
+    """Check of the customer context T1, all 192 places."""
+    return tidy(Q.vector_check(_customer_context(spark, sf).select("customer_id", "vector"), 192))
+
+
+_PRODUCT_SCORE = """SELECT 100.0 - CASE WHEN (SELECT sum(bad) FROM dims) > 0 THEN 30.0 ELSE 0.0 END - CASE WHEN (SELECT count(*) FROM e WHERE list_sum(list_transform(vector, lambda x: x * x)) = 0) > 0 THEN 20.0 ELSE 0.0 END
+- CASE WHEN (SELECT count(*) FROM dims WHERE s2 < 1e-10) > 25.6 THEN 20.0 ELSE 0.0 END AS score"""
+_SECTIONS = {
+    "data_pipeline": {
+        "prices": f"WITH {ALL_PRICES} {_PR}", "graph": SQL["i9_graph_metrics"],
+        "affinity": f"WITH {AFFINITY} SELECT CASE WHEN count(*) = 0 THEN 0.0 WHEN count(*) > count(loyalty_score) THEN 80.0 ELSE 100.0 END AS score FROM affinity",
+        "missions": f"WITH {MISSIONS} SELECT CASE WHEN count(*) = 0 THEN 0.0 WHEN avg((abs(p_mission_full_shop + p_mission_top_up + p_mission_small_shop + p_mission_emergency - 1) <= 0.01)::INT) < 0.95 THEN 70.0 ELSE 100.0 END AS score FROM missions",
+    },
+    "features": {
+        "pseudo_brands": f"WITH {BRANDS}, sz AS (SELECT pseudo_brand_id, count(*) AS n FROM brands GROUP BY ALL) SELECT 100.0 - CASE WHEN avg((n = 1)::INT) > 0.5 THEN 20.0 ELSE 0.0 END - CASE WHEN count(*) < 10 THEN 20.0 ELSE 0.0 END AS score FROM sz",
+        "price_features": f"WITH {FEATURES}, {_check_sql('features', 'pf', 64)} {_MOSTLY}", "product_embeddings": f"WITH e AS ({EMBEDDINGS}), {_check_sql('vector', 'e', 256)} {_PRODUCT_SCORE}",
+        "customer_embeddings": _CUSTOMER_REPORT, "stores": f"WITH {_STORE_VECTORS} {_STORE_REPORT}",
+    },
+    "tensors": {name: _tensor_sql(name) for name in _TENSORS},
+}
+_SCORES = " UNION ALL ".join(f"SELECT '{part}' AS part, '{name}' AS section, score FROM ({sql})" for part, own in _SECTIONS.items() for name, sql in own.items())
+
+
+@register("m9_quality_summary", f"WITH s AS ({_SCORES}), m AS (SELECT part, 'mean' AS section, avg(score) AS score FROM s GROUP BY part) SELECT part, section, floor(CAST(score AS DOUBLE) * 1000000 + 0.5001) / 1000000 AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT 'overall', 'mean', avg(score) FROM m)", shared=True)
 def m9(spark, sf):
-    sections = {"prices": Q.price_report(P.derive_prices(tx(spark, sf))), "price_features": Q.price_feature_report(_price_vectors(spark, sf)), "stores": Q.store_report(_store_vectors(spark, sf)), "embeddings": Q.vector_check(_emb(spark, sf), 64)}
-    return tidy(Q.quality_summary(sections))
+    """Scores of all sections of the three parts, the mean of each part, and the mean of those."""
+    t = tx(spark, sf)
+    missions = M.assemble_missions(t)
+    parts = {
+        "data_pipeline": {
+            "prices": Q.price_report(prices(spark, sf)), "graph": G.graph_metrics(G.graph_nodes(t), graph(spark, sf)), "affinity": Q.affinity_score(A.assemble_affinity(t)),
+            "missions": Q.mission_score(missions, ["p_mission_full_shop", "p_mission_top_up", "p_mission_small_shop", "p_mission_emergency"]),
+        },
+        "features": {
+            "pseudo_brands": Q.brand_score(brands(spark, sf)), "price_features": Q.price_feature_report(price_vectors(spark, sf)), "product_embeddings": Q.embedding_score(product_vectors(spark, sf), 256),
+            "customer_embeddings": Q.customer_embedding_report(_embedded(spark, sf)), "stores": Q.store_report(_store_vectors(spark, sf)),
+        },
+        "tensors": tensor_checks(spark, sf),
+    }
+    return tidy(Q.quality_summary(parts))
 
 
 @register("d30_pair_report", with_sql(PAIRS, "SELECT split, count(*) AS samples, count(DISTINCT customer_id) AS customers, avg(num_history_baskets) AS mean_history, avg(len(input_products)) AS mean_input_size, avg(len(target_products)) AS mean_target_size, avg(week_gap) AS mean_week_gap FROM pairs GROUP BY ALL", "mean_history, mean_input_size, mean_target_size, mean_week_gap"))

@@ -295,7 +295,7 @@ priced_inputs AS (SELECT input_basket_id, string_agg(CAST(coalesce(price_week, 0
 )
 def k14(spark, sf):
     """Sequences with their end token, the prices of the input as of its week (64 numbers an item, in units of 10^-4), and the target as set and sequence."""
-    s = S.next_basket_samples(pairs(spark, sf), _vocab(spark, sf), price_features(prices(spark, sf)), TOKEN_LENGTH)
+    s = S.next_basket_samples(pairs(spark, sf), _vocab(spark, sf), price_vectors(spark, sf), TOKEN_LENGTH)
     vectors = F.array_join(F.transform("input_price_features", lambda v: spelled(v, 4)), ";")
     return tidy(s.withColumn("input_price_features", vectors).withColumns({c: _joined(c) for c in ("input_ids", "price_weeks", "target", "target_ids")}))
 
@@ -303,7 +303,15 @@ def k14(spark, sf):
 @register("j5_product_embeddings", f"SELECT node, {spelled_sql('vector')} AS vector FROM ({EMBEDDINGS})", shared=True)
 def j5(spark, sf):
     """All 256 numbers of each product, in millionths."""
-    return tidy(V.product_embeddings(graph(spark, sf), brands(spark, sf)).select("node", spelled("vector").alias("vector")))
+    return tidy(product_vectors(spark, sf).select("node", spelled("vector").alias("vector")))
+
+
+def product_vectors(spark, sf):
+    return once("product-embeddings", lambda: V.product_embeddings(graph(spark, sf), brands(spark, sf)), sf)
+
+
+def price_vectors(spark, sf):
+    return once("price-features", lambda: price_features(prices(spark, sf)), sf)
 
 
 _LABELS = concat_sql(label_sql("type", "BASKET_TYPE", 16), label_sql("focus", "BASKET_DOMINANT_MISSION", 16), label_sql("sensitivity", "BASKET_PRICE_SENSITIVITY", 8), label_sql("size", "BASKET_SIZE", 8))
@@ -398,7 +406,7 @@ def _counts(spark, sf):
 
 
 def _embedded(spark, sf):
-    return V.customer_embeddings(_history(spark, sf), M.assemble_missions(tx(spark, sf)), _counts(spark, sf))
+    return once("customer-embeddings", lambda: V.customer_embeddings(_history(spark, sf), M.assemble_missions(tx(spark, sf)), _counts(spark, sf)), sf)
 
 
 _HISTORY = f"""{TX}, {_VOCAB}, {_TV},
@@ -480,7 +488,7 @@ def _dense(spark, sf):
 def _item_features(spark, sf):
     t = tx(spark, sf)
     items = t.select(F.col("BASKET_ID").alias("basket_id"), F.col("LINE_SEQ").alias("position"), F.col("PROD_CODE").alias("product_id"), F.col("STORE_CODE").alias("store_id"), F.col("SHOP_WEEK").alias("week"))
-    return V.item_features(items, V.product_embeddings(graph(spark, sf), brands(spark, sf)), price_features(prices(spark, sf)))
+    return V.item_features(items, product_vectors(spark, sf), price_vectors(spark, sf))
 
 
 ITEM_VECTORS = f"""WITH e AS ({EMBEDDINGS}), p AS (WITH {FEATURES} SELECT product_id, store_id, week, features FROM pf), i AS (WITH {TX} SELECT BASKET_ID AS basket_id, LINE_SEQ AS position, PROD_CODE AS product_id, STORE_CODE AS store_id, SHOP_WEEK AS week FROM tx)

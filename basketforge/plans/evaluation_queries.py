@@ -46,15 +46,17 @@ def _md5_share(*parts):
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 6), 16, 10).cast("double") / 16777216.0
 
 
-def _item_scores(spark, sf, best=None):
-    """Scores and truth; with ``best``, the best items of each sample alone.
+def _item_scores(spark, sf, best=None, over=None):
+    """Scores and truth; with ``best``, the best items of each sample alone, with ``over``, those of a higher score.
 
-    A sample's scores are those of its store, so a store's best items are picked before they are joined.
+    A sample's scores are those of its store, so a store's items are picked before they are joined.
     """
     m = meta(spark, sf)
     lines = tx(spark, sf).select(F.col("BASKET_ID").alias("basket_id"), F.col("PROD_CODE").alias("item"))
     known = lines.join(m.select("basket_id", "store_id", "split"), "basket_id")
     pop = known.where("split = 'train'").groupBy("store_id", "item").agg(F.count("*").alias("n")).withColumn("score", F.col("n") + _md5_share("store_id", "item"))
+    if over is not None:
+        pop = R.above_threshold(pop, over)
     if best:
         pop = R.topk(pop.withColumnRenamed("store_id", "sample_id"), best).select(F.col("sample_id").alias("store_id"), "item", "n", "score")
     scores = m.where("split = 'test'").select(F.col("basket_id").alias("sample_id"), "store_id").join(pop, "store_id").select("sample_id", "item", "score")
@@ -80,7 +82,7 @@ def f7(spark, sf):
 
 @register("f8_above_threshold", with_sql(ITEMS, "SELECT sample_id, count(*) AS n FROM scores WHERE score > 4 GROUP BY ALL"))
 def f8(spark, sf):
-    return tidy(R.above_threshold(_item_scores(spark, sf)[0], 4.0).groupBy("sample_id").agg(F.count("*").alias("n")))
+    return tidy(_item_scores(spark, sf, over=4.0)[0].groupBy("sample_id").agg(F.count("*").alias("n")))
 
 
 @register("f9_sampled_items", with_sql(ITEMS, "SELECT sample_id, arg_max(item, (score / 2.0::DOUBLE - ln(-ln((('0x' || substr(md5('5:' || sample_id || ':' || item), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE)), item)) AS item FROM scores GROUP BY ALL"))

@@ -7,28 +7,26 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basketforge.functions.columns import tidy
+from basketforge.functions.columns import spelled, tidy
 from basketforge.operators import affinity as A
 from basketforge.operators import price_features as X
 from basketforge.operators import pricing as P
 from basketforge.operators import stores as S
 from basketforge.plans.customer_queries import AFFINITY
 from basketforge.plans.registry import register
-from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
+from basketforge.plans.shared_sql import ALL_PRICES, TX, spelled_sql, with_sql
 from basketforge.sources.transactions import transactions as tx
 
 KEY = "product_id, store_id, week"
 
 
-def told(values: str | Column, name: str = "v") -> list[Column]:
-    v = F.col(values) if isinstance(values, str) else values
-    weighted = F.transform(v, lambda x, k: x * (k + 1))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return [F.size(v).alias(f"{name}_width"), add(v).alias(f"{name}_sum"), add(weighted).alias(f"{name}_dot")]
+def told(values: str | Column, digits: int = 4) -> Column:
+    """Every number of a vector, in units of 10^-digits."""
+    return spelled(values, digits).alias("vector")
 
 
-def told_sql(v: str, name: str = "v") -> str:
-    return f"CAST(len({v}) AS BIGINT) AS {name}_width, list_sum({v}) AS {name}_sum, list_sum(list_transform(range(1, len({v}) + 1), lambda i: {v}[i] * i)) AS {name}_dot"
+def told_sql(v: str, digits: int = 4) -> str:
+    return f"{spelled_sql(v, digits)} AS vector"
 
 
 def _pad(v: str, width: int) -> str:
@@ -60,22 +58,22 @@ def _prices(spark, sf):
     return P.derive_prices(tx(spark, sf))
 
 
-@register("h1_fourier", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {FOURIER.replace('(p *', '(actual_price *')} AS v FROM prices)", "v_sum, v_dot", 5))
+@register("h1_fourier", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {FOURIER.replace('(p *', '(actual_price *')} AS v FROM prices)"))
 def h1(spark, sf):
-    return tidy(_prices(spark, sf).select(*P.CELL, *told(X.fourier_features(F.col("actual_price")))), 5)
+    return tidy(_prices(spark, sf).select(*P.CELL, told(X.fourier_features(F.col("actual_price")))), 5)
 
 
-@register("h2_log_features", with_sql(f"{ALL_PRICES}, {_LOGS}", f"SELECT {KEY}, {told_sql('log_features', 'v')} FROM logs", "v_sum, v_dot", 5))
+@register("h2_log_features", with_sql(f"{ALL_PRICES}, {_LOGS}", f"SELECT {KEY}, {told_sql('log_features')} FROM logs"))
 def h2(spark, sf):
-    return tidy(X.log_features(_prices(spark, sf)).select(*P.CELL, *told("log_features")), 5)
+    return tidy(X.log_features(_prices(spark, sf)).select(*P.CELL, told("log_features")), 5)
 
 
 _ITEM_LOG = _pad(_list("a", "b", "b - a", "a * a", "exp(-a)", "tanh(a)", "a * b", "abs(b - a)"), 16)
 
 
-@register("h3_log_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_LOG} AS v FROM (SELECT *, {_LA} AS a, {_LB} AS b FROM prices))", "v_sum, v_dot", 5))
+@register("h3_log_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_LOG} AS v FROM (SELECT *, {_LA} AS a, {_LB} AS b FROM prices))"))
 def h3(spark, sf):
-    return tidy(_prices(spark, sf).select(*P.CELL, *told(X.log_features_item(F.col("actual_price"), F.col("base_price")))), 5)
+    return tidy(_prices(spark, sf).select(*P.CELL, told(X.log_features_item(F.col("actual_price"), F.col("base_price")))), 5)
 
 
 @register("d20_weekly_category_prices", with_sql(f"{ALL_PRICES}, {_WEEKLY}", "SELECT * FROM weekly", "week_mean, week_std, week_min, week_max"))
@@ -88,17 +86,17 @@ def e7(spark, sf):
     return tidy(X.expanding_category_prices(X.weekly_category_prices(_prices(spark, sf))))
 
 
-@register("h4_relative_features", with_sql(f"{ALL_PRICES}, {_WEEKLY}, {_EXP}, {_REL}", f"SELECT {KEY}, {told_sql('relative_features', 'v')} FROM rel", "v_sum, v_dot", 4))
+@register("h4_relative_features", with_sql(f"{ALL_PRICES}, {_WEEKLY}, {_EXP}, {_REL}", f"SELECT {KEY}, {told_sql('relative_features')} FROM rel"))
 def h4(spark, sf):
-    return tidy(X.relative_features(_prices(spark, sf)).select(*P.CELL, *told("relative_features")), 4)
+    return tidy(X.relative_features(_prices(spark, sf)).select(*P.CELL, told("relative_features")), 4)
 
 
 _ITEM_REL = _list("r", "ln(r + 1e-6)", "r * r", *_BANDS("r"), f"sin(least(r, 2.0) * {pi!r})", f"cos(least(r, 2.0) * {pi!r})", *_POW("r"))
 
 
-@register("h5_relative_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_REL} AS v FROM (SELECT *, actual_price / (base_price + 1e-6) AS r FROM prices))", "v_sum, v_dot", 5))
+@register("h5_relative_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_REL} AS v FROM (SELECT *, actual_price / (base_price + 1e-6) AS r FROM prices))"))
 def h5(spark, sf):
-    return tidy(_prices(spark, sf).select(*P.CELL, *told(X.relative_features_item(F.col("actual_price"), F.col("base_price")))), 5)
+    return tidy(_prices(spark, sf).select(*P.CELL, told(X.relative_features_item(F.col("actual_price"), F.col("base_price")))), 5)
 
 
 @register("e8_price_velocity", with_sql(f"{ALL_PRICES}, {_VEL}", f"SELECT {KEY}, velocity, acceleration FROM vel", "velocity, acceleration"))
@@ -106,18 +104,18 @@ def e8(spark, sf):
     return tidy(X.price_velocity(_prices(spark, sf)).select(*P.CELL, "velocity", "acceleration"))
 
 
-@register("h6_velocity_features", with_sql(f"{ALL_PRICES}, {_VEL}", f"SELECT {KEY}, {told_sql('velocity_features', 'v')} FROM velf", "v_sum, v_dot", 5))
+@register("h6_velocity_features", with_sql(f"{ALL_PRICES}, {_VEL}", f"SELECT {KEY}, {told_sql('velocity_features')} FROM velf"))
 def h6(spark, sf):
-    return tidy(X.velocity_features(_prices(spark, sf)).select(*P.CELL, *told("velocity_features")), 5)
+    return tidy(X.velocity_features(_prices(spark, sf)).select(*P.CELL, told("velocity_features")), 5)
 
 
 _QV = "greatest(-1.0, least(1.0, (actual_price - base_price) / (base_price + 1e-6)))"
 _ITEM_VEL = _list("v0", "abs(v0)", "v0 * v0", "(v0 > 0.05)::INT", "(v0 < -0.05)::INT", "(v0 >= -0.05 AND v0 <= 0.05)::INT", f"sin(v0 * {pi!r})", f"cos(v0 * {pi!r})")
 
 
-@register("h6_velocity_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_VEL} AS v FROM (SELECT *, {_QV} AS v0 FROM prices))", "v_sum, v_dot", 5))
+@register("h6_velocity_features_item", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_ITEM_VEL} AS v FROM (SELECT *, {_QV} AS v0 FROM prices))"))
 def h6_item(spark, sf):
-    return tidy(_prices(spark, sf).select(*P.CELL, *told(X.velocity_features_item(F.col("actual_price"), F.col("base_price")))), 5)
+    return tidy(_prices(spark, sf).select(*P.CELL, told(X.velocity_features_item(F.col("actual_price"), F.col("base_price")))), 5)
 
 
 _Q_LOG = _pad(_list("a", "b", "b - a", "a", "b", "a * a", "exp(-a)", "tanh(a)"), 16)
@@ -126,15 +124,15 @@ _Q_VEL = _list("v0", "0", "(v0 < -0.05)::INT", "(v0 > 0.05)::INT", "(v0 < -0.05)
 _Q = f"list_concat(list_concat({_pad(_list(*_FLAT), 24)}, {_Q_LOG}), list_concat({_Q_REL}, {_Q_VEL}))"
 
 
-@register("h7_encode_quotes", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_Q} AS v FROM (SELECT *, actual_price AS p, {_LA} AS a, {_LB} AS b, actual_price / (base_price + 1e-6) AS r, {_QV} AS v0 FROM prices))", "v_sum, v_dot", 5))
+@register("h7_encode_quotes", with_sql(ALL_PRICES, f"SELECT {KEY}, {told_sql('v')} FROM (SELECT {KEY}, {_Q} AS v FROM (SELECT *, actual_price AS p, {_LA} AS a, {_LB} AS b, actual_price / (base_price + 1e-6) AS r, {_QV} AS v0 FROM prices))"))
 def h7(spark, sf):
     quotes = _prices(spark, sf).select(*P.CELL, F.col("actual_price").alias("price"), "base_price", F.col("base_price").alias("category_avg"), F.col("base_price").alias("prior_price"))
-    return tidy(X.encode_quotes(quotes).select(*P.CELL, *told("features")), 5)
+    return tidy(X.encode_quotes(quotes).select(*P.CELL, told("features")), 5)
 
 
-@register("j10_price_features", with_sql(FEATURES, f"SELECT {KEY}, {told_sql('features', 'v')} FROM pf", "v_sum, v_dot", 4))
+@register("j10_price_features", with_sql(FEATURES, f"SELECT {KEY}, {told_sql('features')} FROM pf"))
 def j10(spark, sf):
-    return tidy(X.price_features(_prices(spark, sf)).select(*P.CELL, *told("features")), 4)
+    return tidy(X.price_features(_prices(spark, sf)).select(*P.CELL, told("features")), 4)
 
 
 _STORES = """store_dim AS (SELECT STORE_CODE AS store_id, min(STORE_FORMAT) AS format, min(STORE_REGION) AS region, count(DISTINCT BASKET_ID) AS total_baskets, count(DISTINCT CUST_CODE) AS unique_customers, sum(SPEND) AS total_spend, sum(QUANTITY) AS total_quantity,
@@ -175,9 +173,9 @@ def d24(spark, sf):
     return tidy(profile(spark, sf).select("store_id", *_N))
 
 
-@register("h16_store_vector", with_sql(PROFILE, f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {_OPS_VEC} AS v FROM profile)", "v_sum, v_dot"))
+@register("h16_store_vector", with_sql(PROFILE, f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {_OPS_VEC} AS v FROM profile)"))
 def h16(spark, sf):
-    return tidy(profile(spark, sf).select("store_id", *told(S.operations_vector([F.col(c) for c in _N]))))
+    return tidy(profile(spark, sf).select("store_id", told(S.operations_vector([F.col(c) for c in _N]))))
 
 
 _FOUR = ["baskets_per_week_norm", "customers_per_week_norm", "spend_cv_norm", "mean_loyalty_norm"]
@@ -185,19 +183,19 @@ _s, _t, _c, _a = _FOUR
 _CTX = _pad(_list(*_FOUR, *(f"1 - {x}" for x in _FOUR), *(f"{f}({x} * {pi * k!r})" for x in _FOUR for k in (1, 2) for f in ("sin", "cos")), f"{_s} * {_t}", f"{_c} * (1 - {_t})", f"{_a} * {_s}", f"{_t} * (1 - {_c})"), 32)
 
 
-@register("h16_store_context_vector", with_sql(PROFILE, f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {_CTX} AS v FROM profile)", "v_sum, v_dot"))
+@register("h16_store_context_vector", with_sql(PROFILE, f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {_CTX} AS v FROM profile)"))
 def h16_context(spark, sf):
-    return tidy(profile(spark, sf).select("store_id", *told(S.context_vector(*(F.col(c) for c in _FOUR)))))
+    return tidy(profile(spark, sf).select("store_id", told(S.context_vector(*(F.col(c) for c in _FOUR)))))
 
 
 _AFF = ["loyalty_score", "switching_rate", "region_diversity / 10", "1 - loyalty_score"]
 
 
-@register("h15_affinity_features", with_sql(AFFINITY, f"SELECT customer_id, {told_sql('v')} FROM (SELECT customer_id, {_list(*_AFF, *(f'({x}) * ({x})' for x in _AFF), *(f'sin(({x}) * {pi!r})' for x in _AFF), *(f'cos(({x}) * {pi!r})' for x in _AFF))} AS v FROM affinity)", "v_sum, v_dot"))
+@register("h15_affinity_features", with_sql(AFFINITY, f"SELECT customer_id, {told_sql('v')} FROM (SELECT customer_id, {_list(*_AFF, *(f'({x}) * ({x})' for x in _AFF), *(f'sin(({x}) * {pi!r})' for x in _AFF), *(f'cos(({x}) * {pi!r})' for x in _AFF))} AS v FROM affinity)"))
 def h15(spark, sf):
     from basketforge.operators.vectors import affinity_features
 
-    return tidy(A.assemble_affinity(tx(spark, sf)).select("customer_id", *told(affinity_features())))
+    return tidy(A.assemble_affinity(tx(spark, sf)).select("customer_id", told(affinity_features())))
 
 
 @register("h14_blend_alpha", with_sql(f"{TX}, k AS (SELECT CUST_CODE AS customer_id, count(DISTINCT BASKET_ID) AS n FROM tx WHERE CUST_CODE IS NOT NULL GROUP BY ALL)", "SELECT customer_id, CASE WHEN n < 5 THEN 0.8::DOUBLE ELSE greatest(0.2::DOUBLE, 1 / ln(n + 1)) END AS alpha FROM k", "alpha"))

@@ -23,7 +23,7 @@ from basketforge.plans.customer_queries import AFFINITY, BASKETS, MISSIONS
 from basketforge.plans.feature_queries import _CTX, _FOUR, _OPS_VEC, FEATURES, PROFILE, profile, told, told_sql
 from basketforge.plans.graph_queries import BRANDS, BRANDS_AND_EDGES, GAP, GRAPH, JACCARD, brands, graph, prices
 from basketforge.plans.registry import register
-from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
+from basketforge.plans.shared_sql import ALL_PRICES, TX, spelled_sql, with_sql
 from basketforge.plans.temporal_queries import CALENDAR, META, PAIRS, meta, pairs
 from basketforge.session import once
 from basketforge.sources.transactions import transactions as tx
@@ -86,11 +86,11 @@ _D = 16
 _POS = "list_transform(range(0, 16), lambda k: CASE WHEN k % 2 = 0 THEN sin(pos * pow(10000.0, -(k / 16))) ELSE cos(pos * pow(10000.0, -((k - 1) / 16))) END)"
 
 
-@register("h18_positions", with_sql(f"{META}, p AS (SELECT DISTINCT week AS pos FROM meta)", f"SELECT pos, {told_sql('v')} FROM (SELECT pos, {_POS} AS v FROM p)", "v_sum, v_dot"))
+@register("h18_positions", with_sql(f"{META}, p AS (SELECT DISTINCT week AS pos FROM meta)", f"SELECT pos, {told_sql('v')} FROM (SELECT pos, {_POS} AS v FROM p)"))
 def h18(spark, sf):
     """Encodings of the week numbers."""
     weeks = T.week_index(tx(spark, sf)).select(F.col("week").alias("pos"))
-    return tidy(weeks.select("pos", *told(S.positional_encoding(F.col("pos"), _D))))
+    return tidy(weeks.select("pos", told(S.positional_encoding(F.col("pos"), _D))))
 
 
 def hash_sql(key: str, width: int, scale: float = V.SCALE) -> str:
@@ -110,23 +110,18 @@ def concat_sql(*parts: str) -> str:
     return out
 
 
-@register("j1_hash_vectors", with_sql(f"{TX}, {_VOCAB}", f"SELECT value, {told_sql('v')} FROM (SELECT value, {hash_sql('value', 8)} AS v FROM vocab)", "v_sum, v_dot"))
+@register("j1_hash_vectors", with_sql(f"{TX}, {_VOCAB}", f"SELECT value, {told_sql('v')} FROM (SELECT value, {hash_sql('value', 8)} AS v FROM vocab)"))
 def j1(spark, sf):
-    return tidy(_vocab(spark, sf).select("value", *told(V.hash_vector(F.col("value"), 8))))
-
-
-@register("j2_embedding_tables", with_sql(TX, f"SELECT value, {told_sql('v')} FROM (SELECT value, {label_sql('format', 'value', 16)} AS v FROM (SELECT DISTINCT STORE_FORMAT AS value FROM tx))", "v_sum, v_dot"))
-def j2(spark, sf):
-    return tidy(V.embedding_table(tx(spark, sf), "format", "STORE_FORMAT", 16).select("value", *told("vector")))
+    return tidy(_vocab(spark, sf).select("value", told(V.hash_vector(F.col("value"), 8))))
 
 
 _SEQ = f"rows AS (SELECT basket_id, unnest(tokens) AS idx, generate_subscripts(tokens, 1) - 1 AS pos FROM tok), emb AS (SELECT idx, {hash_sql('value', _D)} AS vector FROM vocab)"
 
 
-@register("k3_sequence_embeddings", with_sql(f"{TOKENS}, {_SEQ}", f"SELECT basket_id, pos, {told_sql('v')} FROM (SELECT basket_id, pos, list_transform(list_zip(coalesce(vector, list_resize([]::DOUBLE[], 16, 0.0::DOUBLE)), {_POS}), lambda z: z[1] + z[2]) AS v FROM rows LEFT JOIN emb USING (idx))", "v_sum, v_dot"))
+@register("k3_sequence_embeddings", with_sql(f"{TOKENS}, {_SEQ}", f"SELECT basket_id, pos, {told_sql('v')} FROM (SELECT basket_id, pos, list_transform(list_zip(coalesce(vector, list_resize([]::DOUBLE[], 16, 0.0::DOUBLE)), {_POS}), lambda z: z[1] + z[2]) AS v FROM rows LEFT JOIN emb USING (idx))"))
 def k3(spark, sf):
     emb = _vocab(spark, sf).select("idx", V.hash_vector(F.col("value"), _D).alias("vector"))
-    return tidy(S.sequence_embeddings(_tokens(spark, sf), emb, _D).select("basket_id", "pos", *told("vector")))
+    return tidy(S.sequence_embeddings(_tokens(spark, sf), emb, _D).select("basket_id", "pos", told("vector")))
 
 
 _U = lambda *p: f"(('0x' || substr(md5({' || chr(58) || '.join(p)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
@@ -196,9 +191,9 @@ def _items(spark, sf):
     return S.lookup_price_features(items, price_features(P.derive_prices(t)))
 
 
-@register("c11_price_lookup", with_sql(_ITEMS, f"SELECT BASKET_ID, LINE_SEQ, {told_sql('v')} FROM found", "v_sum, v_dot", 4))
+@register("c11_price_lookup", with_sql(_ITEMS, f"SELECT BASKET_ID, LINE_SEQ, {told_sql('v')} FROM found"))
 def c11(spark, sf):
-    return tidy(_items(spark, sf).select("BASKET_ID", "LINE_SEQ", *told("features")), 4)
+    return tidy(_items(spark, sf).select("BASKET_ID", "LINE_SEQ", told("features")), 4)
 
 
 @register("j14_price_context", with_sql(_ITEMS, "SELECT BASKET_ID AS basket_id, CAST(least(count(*), 50) AS BIGINT) AS items, sum(CASE WHEN LINE_SEQ <= 50 THEN list_sum(v) ELSE 0 END) AS total FROM found GROUP BY ALL", "total", 3))
@@ -219,32 +214,15 @@ def k10(spark, sf):
 _NODE = f"nf AS (SELECT product_id AS node, {concat_sql(label_sql('product', 'product_id', 64), label_sql('brand', 'pseudo_brand_id', 32), label_sql('category', 'sub_commodity', 32), label_sql('tier', 'price_tier', 16))} AS vector FROM brands)"
 
 
-@register("j3_node_features", with_sql(f"{BRANDS}, {_NODE}", f"SELECT node, {told_sql('vector', 'v')} FROM nf", "v_sum, v_dot", 5), shared=True)
+@register("j3_node_features", with_sql(f"{BRANDS}, {_NODE}", f"SELECT node, {told_sql('vector')} FROM nf"), shared=True)
 def j3(spark, sf):
-    return tidy(V.node_features(brands(spark, sf)).select("node", *told("vector")), 5)
-
-
-_HOP = f"""feat AS (SELECT value AS node, {hash_sql('value', 8)} AS vector FROM vocab), bw AS (SELECT src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges),
-near AS (SELECT bw.node, edge_type, weight, coalesce(vector, list_resize([]::DOUBLE[], 8, 0.0::DOUBLE)) AS vector FROM bw LEFT JOIN feat ON feat.node = other WHERE weight > 0),
-flat AS (SELECT node, edge_type, weight, unnest(vector) AS x, generate_subscripts(vector, 1) AS d FROM near), mean AS (SELECT node, edge_type, d, sum(x * weight) / sum(weight) AS m FROM flat GROUP BY ALL),
-place AS (SELECT node, d + CASE edge_type WHEN 'copurchase' THEN 8 WHEN 'substitution' THEN 16 ELSE 24 END AS k, m FROM mean UNION ALL SELECT node, generate_subscripts(vector, 1), unnest(vector) FROM feat)"""
-
-
-@register("j4_neighbour_hop", with_sql(f"{GRAPH}, {_VOCAB}, {_HOP}", "SELECT node, CAST(32 AS BIGINT) AS v_width, sum(m) AS v_sum, sum(m * k) AS v_dot FROM place JOIN feat USING (node) GROUP BY ALL", "v_sum, v_dot", 5))
-def j4(spark, sf):
-    t = tx(spark, sf)
-    features = _vocab(spark, sf).select(F.col("value").alias("node"), V.hash_vector(F.col("value"), 8).alias("vector"))
-    return tidy(V.aggregate_hop(features, G.build_graph(t, JACCARD, GAP), 8).select("node", *told("vector")), 5)
+    return tidy(V.node_features(brands(spark, sf)).select("node", told("vector")), 5)
 
 
 def zeros_sql(width: int, value: str = "0.0") -> str:
     return f"list_resize([]::DOUBLE[], {width}, {value}::DOUBLE)"
 
 
-def spelled_sql(v: str, digits: int = 6) -> str:
-    return f"array_to_string(list_transform({v}, lambda x: CAST(floor(x * {10**digits} + 0.5001::DOUBLE) AS BIGINT)), ',')"
-
-
 def hop_sql(source: str, out: str, width: int) -> str:
     """J4 over lists: ``source`` (node, vector) -> ``out`` (node, vector), along ``each_way``."""
     joins = " ".join(f"LEFT JOIN {out}_mean m{k} ON m{k}.node = f.node AND m{k}.edge_type = '{t}'" for k, t in enumerate(V.EDGE_TYPES))
@@ -265,10 +243,21 @@ def unit_sql(v: str) -> str:
     return f"(SELECT CASE WHEN n > 0 THEN list_transform(u, lambda x: x / n) ELSE u END FROM (SELECT {v} AS u, sqrt(list_sum(list_transform({v}, lambda y: y * y))) AS n))"
 
 
+_EACH_WAY = "each_way AS (SELECT src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges)"
+_HOP = f"feat AS (SELECT value AS node, {hash_sql('value', 8)} AS vector FROM vocab), {_EACH_WAY}, {hop_sql('feat', 'hopped', 8)}"
+
+
+@register("j4_neighbour_hop", with_sql(f"{GRAPH}, {_VOCAB}, {_HOP}", f"SELECT node, {told_sql('vector')} FROM hopped"))
+def j4(spark, sf):
+    t = tx(spark, sf)
+    features = _vocab(spark, sf).select(F.col("value").alias("node"), V.hash_vector(F.col("value"), 8).alias("vector"))
+    return tidy(V.aggregate_hop(features, G.build_graph(t, JACCARD, GAP), 8).select("node", told("vector")))
+
+
 _RELU, _TANH = "greatest({x}, 0.0)", "tanh({x})"
 _EMBEDDED = ", ".join(
     (
-        BRANDS_AND_EDGES, _NODE, "each_way AS (SELECT src AS node, dst AS other, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges)",
+        BRANDS_AND_EDGES, _NODE, _EACH_WAY,
         hop_sql("nf", "hop1", 144), product_sql("hop1", "layer1", "node", 576, 256, 1, _RELU), hop_sql("layer1", "hop2", 256), product_sql("hop2", "layer2", "node", 1024, 256, 2, _RELU),
     )
 )
@@ -314,12 +303,40 @@ def price_vectors(spark, sf):
     return once("price-features", lambda: price_features(prices(spark, sf)), sf)
 
 
+#: Label tables: column of the transactions, calendar or brands, and width.
+LABEL_TABLES = {
+    "brand": ("pseudo_brand_id", 32), "category": ("sub_commodity", 32), "tier": ("price_tier", 16), "format": ("STORE_FORMAT", 24), "region": ("STORE_REGION", 24), "type": ("BASKET_TYPE", 16), "focus": ("BASKET_DOMINANT_MISSION", 16),
+    "sensitivity": ("BASKET_PRICE_SENSITIVITY", 8), "size": ("BASKET_SIZE", 8), "seg1": ("seg_1", 32), "seg2": ("seg_2", 32), "week": ("week_of_year", 16), "weekday": ("weekday", 8), "hour": ("hour", 8), "season": ("season", 8),
+}
+_SOURCES = {"brands": ("brand", "category", "tier"), "tx": ("format", "region", "type", "focus", "sensitivity", "size", "seg1", "seg2"), "calendar": ("week", "weekday", "hour", "season")}
+_ALL_LABELS = " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS name, CAST({LABEL_TABLES[n][0]} AS VARCHAR) AS value FROM {t}" for t, names in _SOURCES.items() for n in names)
+_LABEL_CASES = "CASE name " + " ".join(f"WHEN '{n}' THEN {hash_sql(chr(39) + n + ':' + chr(39) + ' || value', w)}" for n, (_, w) in LABEL_TABLES.items()) + " END"
+
+
+@register("j2_embedding_tables", f"WITH brands AS (WITH {BRANDS} SELECT * FROM brands), calendar AS (WITH {CALENDAR} SELECT * FROM calendar), {TX}, labels AS ({_ALL_LABELS}) SELECT name, value, {told_sql(_LABEL_CASES, 5)} FROM labels WHERE value IS NOT NULL", shared=True)
+def j2(spark, sf):
+    """All fifteen label tables: a vector for each label that occurs."""
+    frames = {"brands": brands(spark, sf), "tx": tx(spark, sf), "calendar": T.calendar_features(meta(spark, sf))}
+    out = None
+    for source, names in _SOURCES.items():
+        # One pass a source: a row's labels side by side, distinct before any vector is made.
+        labels = F.array(*(F.struct(F.lit(n).alias("name"), F.col(LABEL_TABLES[n][0]).cast("string").alias("value")) for n in names))
+        rows = frames[source].select(F.explode(labels).alias("l")).select("l.*").where("value is not null").distinct()
+        vector = None
+        for n in names:
+            own = V.hash_vector(F.concat(F.lit(f"{n}:"), "value"), LABEL_TABLES[n][1])
+            vector = F.when(F.col("name") == n, own) if vector is None else vector.when(F.col("name") == n, own)
+        rows = rows.select("name", "value", told(vector, 5))
+        out = rows if out is None else out.union(rows)
+    return tidy(out)
+
+
 _LABELS = concat_sql(label_sql("type", "BASKET_TYPE", 16), label_sql("focus", "BASKET_DOMINANT_MISSION", 16), label_sql("sensitivity", "BASKET_PRICE_SENSITIVITY", 8), label_sql("size", "BASKET_SIZE", 8))
 
 
-@register("j16_trip_context", with_sql(f"{META}, att AS (SELECT BASKET_ID AS basket_id, min(BASKET_TYPE) AS BASKET_TYPE, min(BASKET_DOMINANT_MISSION) AS BASKET_DOMINANT_MISSION, min(BASKET_PRICE_SENSITIVITY) AS BASKET_PRICE_SENSITIVITY, min(BASKET_SIZE) AS BASKET_SIZE FROM tx GROUP BY ALL)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, {_LABELS} AS v FROM att)", "v_sum, v_dot"))
+@register("j16_trip_context", with_sql(f"{META}, att AS (SELECT BASKET_ID AS basket_id, min(BASKET_TYPE) AS BASKET_TYPE, min(BASKET_DOMINANT_MISSION) AS BASKET_DOMINANT_MISSION, min(BASKET_PRICE_SENSITIVITY) AS BASKET_PRICE_SENSITIVITY, min(BASKET_SIZE) AS BASKET_SIZE FROM tx GROUP BY ALL)", f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, {_LABELS} AS v FROM att)"))
 def j16(spark, sf):
-    return tidy(V.trip_context(_attributes(spark, sf)).select("basket_id", *told("vector")))
+    return tidy(V.trip_context(_attributes(spark, sf)).select("basket_id", told("vector")))
 
 
 def _attributes(spark, sf):
@@ -343,9 +360,9 @@ _TEMP = concat_sql(
 )
 
 
-@register("j13_temporal_context", with_sql(CALENDAR, f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, {_TEMP} AS v FROM calendar)", "v_sum, v_dot"))
+@register("j13_temporal_context", with_sql(CALENDAR, f"SELECT basket_id, {told_sql('v')} FROM (SELECT basket_id, {_TEMP} AS v FROM calendar)"))
 def j13(spark, sf):
-    return tidy(V.temporal_context(T.calendar_features(meta(spark, sf))).select("basket_id", *told("vector")))
+    return tidy(V.temporal_context(T.calendar_features(meta(spark, sf))).select("basket_id", told("vector")))
 
 
 _SV = f"sv AS (SELECT p.*, format, region, {_OPS_VEC} AS ops_vec, {_CTX} AS ctx_vec FROM profile p JOIN store_dim USING (store_id))"
@@ -361,22 +378,22 @@ def _stores(spark, sf):
 _NORM10 = [f"{c}_norm" for c in ST.NORMALISED]
 
 
-@register("j11_store_features", with_sql(f"{PROFILE}, {_SV}", f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {concat_sql(_IDENT, label_sql('format', 'format', 16), label_sql('region', 'region', 16), 'ops_vec')} AS v FROM (SELECT *, {hash_sql(chr(39) + 'store:' + chr(39) + ' || store_id', 32)} AS ident FROM sv))", "v_sum, v_dot"))
+@register("j11_store_features", with_sql(f"{PROFILE}, {_SV}", f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {concat_sql(_IDENT, label_sql('format', 'format', 16), label_sql('region', 'region', 16), 'ops_vec')} AS v FROM (SELECT *, {hash_sql(chr(39) + 'store:' + chr(39) + ' || store_id', 32)} AS ident FROM sv))"))
 def j11(spark, sf):
-    return tidy(V.store_features(_stores(spark, sf), ST.operations_vector([F.col(c) for c in _NORM10])).select("store_id", *told("vector")))
+    return tidy(V.store_features(_stores(spark, sf), ST.operations_vector([F.col(c) for c in _NORM10])).select("store_id", told("vector")))
 
 
-@register("j15_store_context", with_sql(f"{PROFILE}, {_SV}", f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {concat_sql(label_sql('format', 'format', 24), label_sql('region', 'region', 24), 'ctx_vec', hash_sql(chr(39) + 'store:' + chr(39) + ' || store_id', 16, V.SCALE * 0.5))} AS v FROM sv)", "v_sum, v_dot"))
+@register("j15_store_context", with_sql(f"{PROFILE}, {_SV}", f"SELECT store_id, {told_sql('v')} FROM (SELECT store_id, {concat_sql(label_sql('format', 'format', 24), label_sql('region', 'region', 24), 'ctx_vec', hash_sql(chr(39) + 'store:' + chr(39) + ' || store_id', 16, V.SCALE * 0.5))} AS v FROM sv)"))
 def j15(spark, sf):
-    return tidy(V.store_context(_stores(spark, sf), ST.context_vector(*(F.col(c) for c in _FOUR))).select("store_id", *told("vector")))
+    return tidy(V.store_context(_stores(spark, sf), ST.context_vector(*(F.col(c) for c in _FOUR))).select("store_id", told("vector")))
 
 
 _MV = ", ".join(f"CAST({c} AS DOUBLE)" for c in V.STATS)
 
 
-@register("j8_mission_vectors", with_sql(MISSIONS, f"SELECT customer_id, {told_sql('v')} FROM (SELECT customer_id, list_resize([{_MV}], 32, 0.0::DOUBLE) AS v FROM missions)", "v_sum, v_dot", 5))
+@register("j8_mission_vectors", with_sql(MISSIONS, f"SELECT customer_id, {told_sql('v')} FROM (SELECT customer_id, list_resize([{_MV}], 32, 0.0::DOUBLE) AS v FROM missions)"))
 def j8(spark, sf):
-    return tidy(V.mission_vector(M.assemble_missions(tx(spark, sf))).select("customer_id", *told("vector")), 5)
+    return tidy(V.mission_vector(M.assemble_missions(tx(spark, sf))).select("customer_id", told("vector")), 5)
 
 
 def _trips(spark, sf):
@@ -386,14 +403,17 @@ def _trips(spark, sf):
 
 
 _TV = f"""t0 AS (SELECT CUST_CODE AS customer_id, BASKET_ID AS basket_id, min(SHOP_WEEK) AS w, min(BASKET_TYPE) AS BASKET_TYPE, min(BASKET_DOMINANT_MISSION) AS BASKET_DOMINANT_MISSION, min(BASKET_PRICE_SENSITIVITY) AS BASKET_PRICE_SENSITIVITY, min(BASKET_SIZE) AS BASKET_SIZE FROM tx WHERE CUST_CODE IS NOT NULL GROUP BY ALL),
-t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY w DESC, basket_id DESC) AS r FROM t0) WHERE r <= 20),
-pv AS (SELECT value, list_sum(v) AS s, list_sum(list_transform(range(1, 129), lambda i: v[i] * i)) AS d FROM (SELECT value, {hash_sql('value', 128)} AS v FROM vocab)),
-pm AS (SELECT basket_id, avg(s) AS s, avg(d) AS d FROM (SELECT DISTINCT BASKET_ID AS basket_id, PROD_CODE AS value FROM tx) JOIN pv USING (value) GROUP BY ALL)"""
+t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY w DESC, basket_id DESC) AS r FROM t0) WHERE r <= 20)"""
 
 
-@register("j6_trip_vectors", with_sql(f"{TX}, {_VOCAB}, {_TV}", f"SELECT customer_id, basket_id, CAST(176 AS BIGINT) AS v_width, s + list_sum(l) AS v_sum, d + list_sum(list_transform(range(1, 49), lambda i: l[i] * (i + 128))) AS v_dot FROM (SELECT customer_id, basket_id, {_LABELS} AS l FROM t1) JOIN pm USING (basket_id)", "v_sum, v_dot", 5))
+_TRIP_CELLS = f"""tp AS (SELECT basket_id, value, row_number() OVER (PARTITION BY basket_id ORDER BY value) AS k FROM (SELECT DISTINCT BASKET_ID AS basket_id, PROD_CODE AS value FROM tx)),
+pvec AS (SELECT value, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (SELECT value, {hash_sql('value', 128)} AS v FROM vocab)),
+tcell AS (SELECT basket_id, d, avg(x) AS x FROM tp JOIN pvec USING (value) WHERE k <= 50 GROUP BY ALL UNION ALL SELECT basket_id, generate_subscripts(l, 1) + 128, unnest(l) FROM (SELECT basket_id, {_LABELS} AS l FROM t1))"""
+
+
+@register("j6_trip_vectors", with_sql(f"{TX}, {_VOCAB}, {_TV}, {_TRIP_CELLS}", f"SELECT customer_id, basket_id, {told_sql('vector', 5)} FROM (SELECT customer_id, basket_id, list(x ORDER BY d) AS vector FROM t1 JOIN tcell USING (basket_id) GROUP BY ALL)"))
 def j6(spark, sf):
-    return tidy(_trips(spark, sf)[1].select("customer_id", "basket_id", *told("vector")), 5)
+    return tidy(_trips(spark, sf)[1].select("customer_id", "basket_id", told("vector", 5)))
 
 
 def _history(spark, sf):
@@ -411,9 +431,7 @@ def _embedded(spark, sf):
 
 _HISTORY = f"""{TX}, {_VOCAB}, {_TV},
 attended AS (SELECT *, raw / sum(raw) OVER (PARTITION BY customer_id) AS attention FROM (SELECT *, exp(CASE WHEN n = 1 THEN -1.0 ELSE -(r - 1) / (n - 1) END) AS raw FROM (SELECT *, count(*) OVER (PARTITION BY customer_id) AS n FROM t1))),
-tp AS (SELECT basket_id, value, row_number() OVER (PARTITION BY basket_id ORDER BY value) AS k FROM (SELECT DISTINCT BASKET_ID AS basket_id, PROD_CODE AS value FROM tx)),
-pvec AS (SELECT value, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (SELECT value, {hash_sql('value', 128)} AS v FROM vocab)),
-tcell AS (SELECT basket_id, d, avg(x) AS x FROM tp JOIN pvec USING (value) WHERE k <= 50 GROUP BY ALL UNION ALL SELECT basket_id, generate_subscripts(l, 1) + 128, unnest(l) FROM (SELECT basket_id, {_LABELS} AS l FROM t1)),
+{_TRIP_CELLS},
 summed AS (SELECT customer_id, list(x ORDER BY d) AS vector FROM (SELECT customer_id, d, sum(x * attention) AS x FROM attended JOIN tcell USING (basket_id) GROUP BY ALL) GROUP BY ALL),
 {product_sql('summed', 'history', 'customer_id', 176, 128, 3, _TANH)}"""
 HISTORY = f"WITH {_HISTORY} SELECT customer_id, vector FROM history"
@@ -543,10 +561,10 @@ def c13(spark, sf):
     return tidy(found.select("basket_id", (~_unseen(UNSEEN, "store_id")).alias("known"), spelled("vector").alias("vector")))
 
 
-@register("j18_vocab_vectors", with_sql(f"{PROFILE}, {_VOCAB}", f"SELECT value, idx, {told_sql('v')} FROM (SELECT value, idx, list_resize([baskets_per_week, avg_spend, weekend_share], 128, 0.0::DOUBLE) AS v FROM svocab JOIN profile ON store_id = value)", "v_sum, v_dot", 5))
+@register("j18_vocab_vectors", with_sql(f"{PROFILE}, {_VOCAB}", f"SELECT value, idx, {told_sql('v')} FROM (SELECT value, idx, list_resize([baskets_per_week, avg_spend, weekend_share], 128, 0.0::DOUBLE) AS v FROM svocab JOIN profile ON store_id = value)"))
 def j18(spark, sf):
     v = V.vocab_vectors(S.build_vocab(tx(spark, sf), "STORE_CODE"), profile(spark, sf), "store_id", ["baskets_per_week", "avg_spend", "weekend_share"])
-    return tidy(v.select("value", "idx", *told("vector")), 5)
+    return tidy(v.select("value", "idx", told("vector")), 5)
 
 
 def _filled_sql(entity: str, table: str, levels: list[str]) -> str:

@@ -63,3 +63,8 @@ def rounded(select: str, doubles: str, digits: int = 6) -> str:
 
 def with_sql(ctes: str, select: str, doubles: str = "", digits: int = 6) -> str:
     return f"WITH {ctes}\n" + (rounded(select, doubles, digits) if doubles else select)
+
+
+def spelled_sql(v: str, digits: int = 6) -> str:
+    """All numbers of a vector as text, as ``functions.columns.spelled`` writes them."""
+    return f"array_to_string(list_transform({v}, lambda x: CAST(floor(x * {10**digits} + 0.5001::DOUBLE) AS BIGINT)), ',')"

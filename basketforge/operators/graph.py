@@ -65,9 +65,10 @@ def prune_topk(edges: DataFrame, k: int = 10) -> DataFrame:
     return edges.join(kept.select("src", "dst"), ["src", "dst"], "left_semi")
 
 
-def copurchase_edges(tx: DataFrame, min_count: int = 5, lift: float = 1.5, k: int | None = 10) -> DataFrame:
-    """Pairs bought together more often than by chance."""
-    edges = pair_lifts(tx, min_count).where(F.col("lift") >= lift).select(F.col("product_a").alias("src"), F.col("product_b").alias("dst"), F.col("lift").alias("weight"), "pair_count")
+def copurchase_edges(tx: DataFrame, min_count: int = 5, lift: float = 1.5, k: int | None = 10, lifts: DataFrame | None = None) -> DataFrame:
+    """Pairs bought together more often than by chance; ``lifts``: those of ``pair_lifts``, where they are at hand."""
+    lifts = pair_lifts(tx, min_count) if lifts is None else lifts
+    edges = lifts.where(F.col("lift") >= lift).select(F.col("product_a").alias("src"), F.col("product_b").alias("dst"), F.col("lift").alias("weight"), "pair_count")
     return prune_topk(edges, k) if k else edges
 
 
@@ -91,9 +92,9 @@ def category_pairs(tx: DataFrame, cap: int = 100) -> DataFrame:
     return df.withColumn("jaccard", F.coalesce(F.try_divide("shared", union), F.lit(0.0))).withColumn("price_gap", F.when((F.col("price_a") > 0) & (F.col("price_b") > 0), gap))
 
 
-def substitution_edges(tx: DataFrame, jaccard: float = 0.6, max_lift: float = 1.2, gap: float = 0.3, buyers: int = 5, default_lift: float = 0.5, min_count: int = 5) -> DataFrame:
-    """Products of one category that share customers, are seldom bought together and cost alike."""
-    lifts = pair_lifts(tx, min_count).select("product_a", "product_b", "lift")
+def substitution_edges(tx: DataFrame, jaccard: float = 0.6, max_lift: float = 1.2, gap: float = 0.3, buyers: int = 5, default_lift: float = 0.5, min_count: int = 5, lifts: DataFrame | None = None) -> DataFrame:
+    """Products of one category that share customers, are seldom bought together and cost alike; ``lifts`` as above."""
+    lifts = (pair_lifts(tx, min_count) if lifts is None else lifts).select("product_a", "product_b", "lift")
     enough = (F.col("customers_a") >= buyers) & (F.col("customers_b") >= buyers) & (F.col("jaccard") >= jaccard)
     df = category_pairs(tx).where(enough).join(lifts, ["product_a", "product_b"], "left").fillna(default_lift, ["lift"])
     df = df.where((F.col("lift") <= max_lift) & (F.col("price_gap") <= gap))
@@ -113,8 +114,9 @@ def hierarchy_edges(tx: DataFrame) -> DataFrame:
 
 
 def build_graph(tx: DataFrame, jaccard: float = 0.6, gap: float = 0.3) -> DataFrame:
-    """All edges: src, dst, edge_type, weight."""
-    parts = (("copurchase", copurchase_edges(tx)), ("substitution", substitution_edges(tx, jaccard, gap=gap)), ("hierarchy", hierarchy_edges(tx)))
+    """All edges: src, dst, edge_type, weight. Pairs of baskets are joined once, for both kinds of edges."""
+    lifts = staged(pair_lifts(tx), "lifts")
+    parts = (("copurchase", copurchase_edges(tx, lifts=lifts)), ("substitution", substitution_edges(tx, jaccard, gap=gap, lifts=lifts)), ("hierarchy", hierarchy_edges(tx)))
     out = None
     for name, edges in parts:
         rows = edges.select("src", "dst", F.lit(name).alias("edge_type"), "weight")

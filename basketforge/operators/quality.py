@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketforge.operators.quantiles import exact_quantiles
 from basketforge.operators.sequences import draw, numbered
+from basketforge.operators.states import SavedAggregate, counted
 from basketforge.session import staged
 
 
@@ -155,6 +156,11 @@ def customer_activity(tx: DataFrame) -> DataFrame:
     return tx.where("CUST_CODE is not null").groupBy(F.col("CUST_CODE").alias("customer_id")).agg(F.count("*").alias("rows"))
 
 
+def saved_activity(spark: SparkSession, path: str) -> SavedAggregate:
+    """``customer_activity`` as a saved aggregate of chunks of known customers' lines."""
+    return SavedAggregate(spark, path, {"customer_id": "CUST_CODE"}, [counted("rows")])
+
+
 def top_customers(tx: DataFrame, n: int) -> DataFrame:
     """The ``n`` customers with most lines; ties go to the smaller code."""
     return customer_activity(tx).orderBy(F.desc("rows"), "customer_id").limit(n)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketforge.operators.states import SavedAggregate, first_by
+
 #: Weeks of holidays, and season by month.
 HOLIDAY_WEEKS = (1, 13, 14, 15, 26, 27, 28, 29, 30, 31, 32, 33, 47, 51, 52)
 SEASONS = (("spring", (3, 4, 5)), ("summer", (6, 7, 8)), ("fall", (9, 10, 11)))
@@ -85,6 +87,11 @@ def basket_time(tx: DataFrame) -> DataFrame:
     return df.withColumn("shop_date", date_string("shop_date"))
 
 
+def saved_basket_time(spark: SparkSession, path: str) -> SavedAggregate:
+    """``basket_time`` as a saved aggregate: the first line of each basket over all chunks that hold some of its lines."""
+    return SavedAggregate(spark, path, {"basket_id": "BASKET_ID"}, [first_by("first", ["LINE_SEQ"], ["SHOP_DATE", "SHOP_WEEKDAY", "SHOP_HOUR"])])
+
+
 def split_report(meta: DataFrame) -> DataFrame:
     """Baskets, customers, cold starts, novel baskets and history of each split and bucket."""
     return meta.groupBy("split", "bucket").agg(

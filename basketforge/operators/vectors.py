@@ -107,14 +107,24 @@ def node_features(brands: DataFrame) -> DataFrame:
 EDGE_TYPES = ("copurchase", "substitution", "hierarchy")
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """Each edge from both of its ends: node, other, edge_type, weight."""
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "edge_type", "weight").union(edges.select("dst", "src", "edge_type", "weight"))
+
+
 def aggregate_hop(features: DataFrame, edges: DataFrame, width: int) -> DataFrame:
+    return hop_from_ends(features, edge_ends(edges), width)
+
+
+def hop_from_ends(features: DataFrame, ends: DataFrame, width: int) -> DataFrame:
     """Own vector followed by the weighted mean of neighbours' vectors for each edge type.
 
-    Nodes without features (categories) count as zeros in the mean.
+    Nodes without features (categories) count as zeros in the mean. Where ``ends`` is
+    a stage in buckets of ``other`` and ``features`` one in buckets of ``node``, they
+    meet without an exchange.
     """
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "edge_type", "weight").union(edges.select("dst", "src", "edge_type", "weight"))
     zeros = F.array_repeat(F.lit(0.0), width)
-    near = both.join(features.toDF("other", "vector"), "other", "left").withColumn("vector", F.coalesce("vector", zeros))
+    near = ends.join(features.toDF("other", "vector"), "other", "left").withColumn("vector", F.coalesce("vector", zeros))
     weighted = near.where("weight > 0").groupBy("node", "edge_type").agg(vector_to_array(Summarizer.mean(array_to_vector("vector"), F.col("weight"))).alias("mean"))
     wide = weighted.groupBy("node").pivot("edge_type", list(EDGE_TYPES)).agg(F.first("mean"))
     df = features.join(wide, "node", "left")

@@ -10,16 +10,17 @@ from basketforge.operators import graph as G
 from basketforge.operators import missions as M
 from basketforge.operators import pricing as P
 from basketforge.operators import quality as Q
+from basketforge.operators import sequences as S
 from basketforge.operators import stores as ST
 from basketforge.operators import temporal as T
 from basketforge.operators import vectors as V
 from basketforge.plans.evaluation_queries import _PR, _SCORED, _check_sql
-from basketforge.plans.feature_queries import _FOUR, FEATURES, PROFILE
+from basketforge.plans.feature_queries import _FOUR, FEATURES, PROFILE, told
 from basketforge.plans.customer_queries import AFFINITY, MISSIONS
-from basketforge.plans.graph_queries import BRANDS, brands, graph, prices
+from basketforge.plans.graph_queries import BRANDS, GAP, GRAPH, JACCARD, brands, graph, prices
 from basketforge.plans.registry import SQL, register
 from basketforge.plans.sample_queries import (
-    _IDENT, _NORM10, _SV, _TEMP, CUSTOMERS, EMBEDDINGS, T1, T5, T6, _attributes, _customer_context, _embedded, _stores, concat_sql, hash_sql, label_sql, price_vectors, product_vectors,
+    _EACH_WAY, _IDENT, _NORM10, _SV, _TEMP, CUSTOMERS, EMBEDDINGS, T1, T5, T6, _attributes, _customer_context, _embedded, _stores, concat_sql, hash_sql, label_sql, price_vectors, product_vectors,
 )
 from basketforge.plans.shared_sql import ALL_PRICES, TX, with_sql
 from basketforge.plans.temporal_queries import _PRIOR, CALENDAR, META, PAIRS, meta, pairs
@@ -165,6 +166,46 @@ def a3(spark, sf):
     return tidy(files.read_stage(spark, path).select("product_id", "store_id", "week", "actual_price", "base_price"))
 
 
+@register("a3_graph_stage", with_sql(f"{GRAPH}, {_EACH_WAY}", "SELECT node, other, edge_type, weight FROM each_way", "weight"))
+def a3_graph(spark, sf):
+    """Every edge from both ends, through a stage in buckets of the other end."""
+    return tidy(files.write_bucketed(V.edge_ends(G.build_graph(tx(spark, sf), JACCARD, GAP)), "ends", ["other"]))
+
+
+@register("a3_embedding_stage", SQL["j4_neighbour_hop"])
+def a3_embeddings(spark, sf):
+    """The neighbour hop of J4, from a stage of edges and one of vectors that meet without an exchange."""
+    t = tx(spark, sf)
+    ends = files.write_bucketed(V.edge_ends(G.build_graph(t, JACCARD, GAP)), "ends", ["other"])
+    vectors = S.build_vocab(t, "PROD_CODE").select(F.col("value").alias("node"), V.hash_vector(F.col("value"), 8).alias("vector"))
+    hop = V.hop_from_ends(files.write_bucketed(vectors, "vectors", ["node"]), ends, 8)
+    return tidy(hop.select("node", told("vector")))
+
+
+@register("d28_chunked_time", SQL["d28_basket_time"])
+def d28_chunks(spark, sf):
+    """Basket times from saved states of three chunks that share baskets, each added without reading the others."""
+    t = tx(spark, sf)
+    saved = T.saved_basket_time(spark, staging_path(spark, "time-states"))
+    for k in range(3):
+        saved.add(t.where(F.col("LINE_SEQ") % 3 == k), str(k))
+    found = saved.result()
+    return tidy(found.select("basket_id", T.date_string("first.SHOP_DATE").alias("shop_date"), F.col("first.SHOP_WEEKDAY").alias("shop_weekday"), F.col("first.SHOP_HOUR").alias("shop_hour")))
+
+
+@register("d31_chunked_activity", SQL["d31_customer_activity"])
+def d31_chunks(spark, sf):
+    """Lines of each customer from saved states of three chunks of weeks; one chunk is added twice, and the states are compacted before the last."""
+    known = tx(spark, sf).where("CUST_CODE is not null")
+    chunk = lambda k: known.where(F.col("SHOP_WEEK") % 3 == k)
+    saved = Q.saved_activity(spark, staging_path(spark, "activity-states"))
+    for k in (0, 1, 0):
+        saved.add(chunk(k), str(k))
+    saved = saved.compacted(staging_path(spark, "activity-compacted"))
+    saved.add(chunk(2), "2")
+    return tidy(saved.result())
+
+
 _CSV = ["BASKET_ID", "CUST_CODE", "PROD_CODE", "STORE_CODE", "SHOP_WEEK", "QUANTITY", "SPEND"]
 
 

@@ -117,7 +117,7 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
 
 def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]
-    kinds += [("ids", pa.list_(pa.int64()))] * keep_ids
+    kinds += [("ids", pa.list_(pa.int32()))] * keep_ids
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
@@ -131,7 +131,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_
     """
     spark, schema = docs.sparkSession, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     cut = _pieces(tokenizer or tokens.default_tokenizer(), end_id, capacity, keep_ids)
-    pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema + ", ids array<long>" * keep_ids), "pieces")
+    pieces = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema + ", ids array<int>" * keep_ids), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     #: At most ``capacity`` rows come to the driver, for any number of documents.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketforge.llm.bit_table import bit_table, in_table
+from basketforge.llm.bit_table import maybe_in, surely_not_in
 from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
@@ -213,7 +213,7 @@ class LineDedup:
         few = classes.withColumn("last", last).withColumn("pairs", F.transform(places, lambda k: F.xxhash64(F.slice("last", k, 2))))
         crowds = staged(few.select(F.explode("pairs").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD), "line-crowds")
         posts = self._postings(few.select("cid", "sketch", "upper", "n", "order", F.col("pairs").alias("prefix"), weight.alias("weight"), F.lit(False).alias("led")), "weight")
-        posts = staged(posts.where(in_table(bit_table(crowds, "word"), F.col("word"))).join(crowds.select("word"), "word"), "line-crowded")
+        posts = staged(maybe_in(posts, F.col("word"), crowds.select("word")).join(crowds.select("word"), "word"), "line-crowded")
         whole = [F.col(c) for c in Posting.COLUMNS]
         order = F.shiftright("m", 1).bitwiseAND(F.lit(2**20 - 1))
         picks = [F.min_by(F.struct(*whole), order), F.max_by(F.struct(*whole), F.col("weight")), *(F.max_by(F.struct(*whole), F.xxhash64("cid", F.lit(k))) for k in range(DRAWN))]
@@ -247,7 +247,7 @@ class LineDedup:
         if not removed.isEmpty():
             gone = self._postings(small.where("led"))
             code = F.xxhash64("word")
-            met = self._postings(marked.where("not led")).where(in_table(bit_table(gone.select(code.alias("code")), "code"), code))
+            met = maybe_in(self._postings(marked.where("not led")), code, gone.select(code.alias("code")))
             more = Posting.named(gone, "x").join(Posting.named(met, "y"), "word").where(fits & (x.order <= y.order)).select(*pair)
             pairs = pairs.union(more)
         return staged(pairs.distinct(), "line-pairs")
@@ -256,11 +256,10 @@ class LineDedup:
         """Of pairs (a, b), the classes (cid) whose words are similar to an earlier one's."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         wanted = staged(ids.join(classes.select("cid", "first"), "cid").select("cid", "first", F.col("first.row_key").alias("key"), F.col("first.line").alias("at")), "line-places")
-        # Texts and lines that are not wanted stay where they are, as far as the bit tables tell.
-        place = F.xxhash64("key", "at").alias("place")
-        texts, lines = bit_table(wanted, "key"), bit_table(wanted.select(place), "place")
-        found = _split_lines(docs.where(in_table(texts, _row_key()))).select(F.col("row_key").alias("key"), F.col("line").alias("at"), "said")
-        found = found.where(in_table(lines, F.xxhash64("key", "at"))).join(wanted, ["key", "at"])
+        # Texts and lines that are not wanted stay where they are, as far as the filters tell.
+        place = F.xxhash64("key", "at")
+        found = _split_lines(maybe_in(docs, _row_key(), wanted.select("key"))).select(F.col("row_key").alias("key"), F.col("line").alias("at"), "said")
+        found = maybe_in(found, place, wanted.select(place)).join(wanted, ["key", "at"])
         words = F.array_distinct(F.transform(_words(F.col("said")), lambda x: F.xxhash64(x)))
         sets = staged(found.select("cid", "first", words.alias("h")), "line-sets")
         both = pairs
@@ -279,12 +278,12 @@ class LineDedup:
         # The row travels as one column, so that its names cannot clash.
         rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("key"))
         # Texts that surely lose no line stay where they are.
-        loses = F.coalesce(in_table(bit_table(found, "lost_key"), F.col("key")), F.lit(False))
-        there = rows.where(loses).join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
+        keys = found.select("lost_key")
+        there = maybe_in(rows, F.col("key"), keys).join(found, (F.col("key") == F.col("lost_key")) & F.col("doc.doc_id").eqNullSafe(F.col("lost_id")), "left")
         text = F.col("doc.text")
         text = F.when(F.col("removed").isNull(), text).otherwise(_without(F.split(text, "\n"), F.array_sort("removed")))
         changed = there.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
-        return changed.union(rows.where(~loses).select("doc.*"))
+        return changed.union(surely_not_in(rows, F.col("key"), keys).select("doc.*"))
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,11 +35,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketforge.llm.batches import slices
-from basketforge.llm.bit_table import bit_table, in_table
+from basketforge.llm.bit_table import maybe_in, surely_not_in
 from basketforge.llm.components import connected_components
 from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
@@ -51,8 +52,8 @@ STAR_ROUNDS = 3
 CHUNK = 256
 #: The chance that a set leaves so many pieces empty that it posts them too, and the deviations that it comes to.
 EMPTY_ODDS, EMPTY_DEVIATIONS = 1e-6, 5.0
-#: Bits of the table of shared keys that tasks hold (2 MB): it only saves rows of a join.
-KEY_BITS = 2**24
+#: Bits for each shared key in the table that tasks hold, and its least and most bits (32 MB): it only saves rows of a join.
+KEY_BITS, LEAST_KEY_BITS, MOST_KEY_BITS = 8, 2**16, 2**28
 #: Sets of which a task remembers that it has seen them.
 SEEN = 2**17
 #: Columns that tell shingle sets apart.
@@ -252,10 +253,10 @@ class JaccardJoin:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), _text_hash("text").alias("t"), F.col("text").cast("string").alias("text")).where("text is not null")
         rows = None
         for kind, side in enumerate(ends):
-            # Texts of documents in no pair stay where they are, as far as the bit table tells.
-            wanted = in_table(bit_table(pairs.select(F.xxhash64(f"id_{side}").alias("code")), "code"), F.xxhash64("id"))
+            # Texts of documents in no pair stay where they are, as far as the filter tells.
+            wanted = maybe_in(texts, F.xxhash64("id"), pairs.select(F.xxhash64(f"id_{side}").alias("code")))
             own = salted.select("leader", "salt", F.col(side).alias("cls"), F.col(f"id_{side}").alias("id"), F.col(f"t_{side}").alias("t")).distinct()
-            own = own.join(texts.where(wanted), ["id", "t"]).select("leader", "salt", F.lit(kind).alias("kind"), "cls", "text")
+            own = own.join(wanted, ["id", "t"]).select("leader", "salt", F.lit(kind).alias("kind"), "cls", "text")
             rows = own if rows is None else rows.union(own)
         ordered = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
         links = staged(ordered.mapInArrow(_verify(self.words, self.p, self.q), "a long, b long"), "links")
@@ -271,8 +272,10 @@ class JaccardJoin:
         classes = staged(classes.select(F.monotonically_increasing_id().alias("cls"), *WHOLE, "sketch", F.col("least.doc_id").alias("id"), F.col("least.t").alias("t")), "classes")
         postings = sets.select(F.explode("keys").alias("key"), "h1")
         shared = staged(postings.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key"), "shared-keys")
-        members = self._members(sets, shared).join(shared, "key").distinct()
+        held = self._key_table(shared)
+        members = self._members(sets, held).join(shared, "key").distinct()
         rest = staged(members.join(classes.select("h1", "cls"), "h1").select("key", "cls"), "members")
+        held.unpersist()
         rows = staged(signed.select("doc_id", "t", *WHOLE), "sets")
         dropped(signed, shared)
         rest, before = staged(rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key"), "postings"), rest
@@ -319,15 +322,19 @@ class JaccardJoin:
         dropped(rows, classes, joined)
         return out
 
-    def _members(self, sets: DataFrame, shared: DataFrame) -> DataFrame:
-        """(key, h1) of the sets, for keys that may be shared: a bit table passes over most others before the join."""
-        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(KEY_BITS // 64 - 1))
+    def _key_table(self, shared: DataFrame) -> Broadcast:
+        """The table of shared keys, sized by their count: 64-bit words, a power of two of them."""
+        bits = min(max(1 << (KEY_BITS * shared.count()).bit_length(), LEAST_KEY_BITS), MOST_KEY_BITS)
+        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(bits // 64 - 1))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
-        #: At most KEY_BITS / 64 rows, whatever the number of keys.
+        #: At most MOST_KEY_BITS / 64 rows, whatever the number of keys.
         found = shared.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        bits = np.zeros(KEY_BITS // 64, np.int64)
-        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-        held = sets.sparkSession.sparkContext.broadcast(bits)
+        words = np.zeros(bits // 64, np.int64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
+        return shared.sparkSession.sparkContext.broadcast(words)
+
+    def _members(self, sets: DataFrame, held: Broadcast) -> DataFrame:
+        """(key, h1) of the sets, for keys that may be shared: the table passes over most others before the join."""
 
         def run(batches):
             table = held.value.view(np.uint64)
@@ -336,7 +343,7 @@ class JaccardJoin:
                 flat = keys.flatten().to_numpy(zero_copy_only=False)
                 owner = np.repeat(h1.to_numpy(), np.diff(keys.offsets.to_numpy()))
                 own = flat.view(np.uint64)
-                maybe = (table[(own >> np.uint64(6)) & np.uint64(KEY_BITS // 64 - 1)] >> (own & np.uint64(63))) & np.uint64(1) == 1
+                maybe = (table[(own >> np.uint64(6)) & np.uint64(len(table) - 1)] >> (own & np.uint64(63))) & np.uint64(1) == 1
                 yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), pa.array(owner[maybe])], names=["key", "h1"])
 
         return sets.where(F.size("keys") > 0).select("keys", "h1").mapInArrow(run, "key long, h1 long")
@@ -392,13 +399,13 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, p: int = 4, q: int = 5) ->
     dropped(ids)
     # The row travels as one column, so that its names cannot clash.
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), _text_hash("text").alias("t"))
-    code, state_code = F.xxhash64("id", "t"), F.xxhash64("state_id", "state_t").alias("code")
+    code, state_code = F.when(F.col("id").isNotNull(), F.xxhash64("id", "t")), F.xxhash64("state_id", "state_t").alias("code")
     same = (F.col("id") == F.col("state_id")) & (F.col("t") == F.col("state_t"))
     # Rows that surely have no state stay where they are.
-    judged = in_table(bit_table(state.select(state_code), "code"), code) & F.col("id").isNotNull()
-    untouched = rows.where(~judged).union(rows.where(judged).join(state, same, "left_anti"))
+    codes = state.select(state_code)
+    untouched = surely_not_in(rows, code, codes).union(maybe_in(rows, code, codes).join(state, same, "left_anti"))
     repeated = state.where(~F.col("goes"))
-    maybe = rows.where(in_table(bit_table(repeated.select(state_code), "code"), code))
+    maybe = maybe_in(rows, code, repeated.select(state_code))
     return untouched.select("doc.*").union(maybe.join(repeated, same).dropDuplicates(["id", "t"]).select("doc.*"))
 
 

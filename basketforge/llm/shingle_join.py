@@ -45,6 +45,7 @@ from basketforge.llm.components import connected_components
 from basketforge.session import dropped, staged
 from basketforge.sources.tables import table
 
+#: Bits of a sketch at least; larger sets have two bits an element and more, so that theirs do not fill.
 SKETCH_BITS = 1024
 LEADER_ORDERS = 3
 STAR_ROUNDS = 3
@@ -155,8 +156,9 @@ def piece_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity sketch: SKETCH_BITS bits as 64-bit words."""
-    bits = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity sketch as 64-bit words: a power of two of them, so that a longer one folds to half its length."""
+    size = max(SKETCH_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    bits = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -180,7 +182,7 @@ def _sign(words: int, p: int, q: int):
                 keys.append(np.empty(0, np.int64) if again else piece_keys(h, bands).view(np.int64))
                 sketches.append(sketch(h))
             ends = np.cumsum([0] + [len(k) for k in keys])
-            words_each = SKETCH_BITS // 64
+            sketch_ends = np.cumsum([0] + [len(k) for k in sketches])
             columns = [
                 batch.column(0),
                 batch.column(1),
@@ -188,7 +190,7 @@ def _sign(words: int, p: int, q: int):
                 pa.array(np.array(one, np.uint64).view(np.int64)),
                 pa.array(np.array(two, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * words_each, pa.int32()), pa.array(np.concatenate(sketches) if keys else np.empty(0, np.int64))),
+                pa.ListArray.from_arrays(pa.array(sketch_ends, pa.int32()), pa.array(np.concatenate(sketches) if keys else np.empty(0, np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "n", "h1", "h2", "keys", "sketch"])
 
@@ -217,9 +219,19 @@ def _verify(words: int, p: int, q: int):
 
 
 def _near(a: str, b: str, p: int, q: int) -> Column:
-    """Size and sketch filters of a pair: neither rejects a linked pair."""
+    """Size and sketch filters of a pair: neither rejects a linked pair.
+
+    Sizes that pass differ by less than a factor of two, so their sketches do by one folding at most.
+    """
     small, large = F.least(f"n_{a}", f"n_{b}"), F.greatest(f"n_{a}", f"n_{b}")
-    apart = F.aggregate(F.zip_with(f"s_{a}", f"s_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def folded(own: str, other: str) -> Column:
+        half = F.floor(F.size(own) / 2).cast("int")
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), halves).otherwise(F.col(own))
+
+    one, two = folded(f"s_{a}", f"s_{b}"), folded(f"s_{b}", f"s_{a}")
+    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (small * q >= large * p) & (apart * (p + q) <= (small + large) * (q - p))
 
 

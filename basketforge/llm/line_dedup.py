@@ -231,26 +231,24 @@ class LineDedup:
     def _prefix_pairs(self, classes: DataFrame, removed: DataFrame) -> DataFrame:
         """Pairs (a, b) that share a prefix word and pass every filter, where the later class is not removed yet.
 
-        One join takes the classes that stay so far as the smaller ones, against all;
-        another those that are removed, against the ones that stay and share a word.
+        One join by word and mark: a smaller class that stays so far meets all, one
+        that is removed meets only those that stay, so no two removed ones are compared.
         """
         p, q = self.p, self.q
         marked = classes.join(removed.withColumn("led", F.lit(True)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(False)))
         # Of a smaller line the places that count are fewer.
         as_smaller = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(2 * p) / F.lit(p + q)).cast("int") + 1)
-        small, large = marked.withColumn("prefix", as_smaller), self._postings(marked)
+        small, large = self._postings(marked.withColumn("prefix", as_smaller)), self._postings(marked)
         x, y = Posting("x"), Posting("y")
+        staying, gone = F.array(F.lit(False)), F.array(F.lit(True))
+        met = staying if removed.isEmpty() else F.when(x.led, staying).otherwise(F.concat(staying, gone))
+        smaller = Posting.named(small, "x").select("*", F.explode(met).alias("mark"))
+        larger = Posting.named(large, "y").withColumn("mark", y.led)
         fits = (x.n <= y.n) & (x.cid != y.cid) & _near(x, y, p, q, True)
-        pair = F.least(x.cid, y.cid).alias("a"), F.greatest(x.cid, y.cid).alias("b")
-        staying = Posting.named(self._postings(small.where("not led")), "x")
-        pairs = staying.join(Posting.named(large, "y"), "word").where(fits & ((y.order <= x.order) | ~y.led)).select(*pair)
-        if not removed.isEmpty():
-            gone = self._postings(small.where("led"))
-            code = F.xxhash64("word")
-            met = maybe_in(self._postings(marked.where("not led")), code, gone.select(code.alias("code")))
-            more = Posting.named(gone, "x").join(Posting.named(met, "y"), "word").where(fits & (x.order <= y.order)).select(*pair)
-            pairs = pairs.union(more)
-        return staged(pairs.distinct(), "line-pairs")
+        # The later of two may not be removed.
+        open_yet = F.when(x.led, x.order <= y.order).otherwise((y.order <= x.order) | ~y.led)
+        pairs = smaller.join(larger, ["word", "mark"]).where(fits & open_yet)
+        return staged(pairs.select(F.least(x.cid, y.cid).alias("a"), F.greatest(x.cid, y.cid).alias("b")).distinct(), "line-pairs")
 
     def _verified(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of pairs (a, b), the classes (cid) whose words are similar to an earlier one's."""

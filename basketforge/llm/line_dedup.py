@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketforge.llm.bit_table import maybe_in, surely_not_in
-from basketforge.session import dropped, staged
+from basketforge.session import ALL_JOIN_KEYS, dropped, staged
 from basketforge.sources.tables import table
 
 #: Places of the hashed word counts: bounds the table of rarities that tasks hold.
@@ -87,7 +87,8 @@ def _split_lines(docs: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, p: int, q: int) -> DataFrame:
     """One row per line that has words: its place, hash of its set, size, sketch and prefix."""
     levels = rarity_classes(docs)
-    rank = lambda h: F.shiftleft(F.get(levels, _bucket(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(2**HASH_BITS - 1)))
+    # Every place has a rarity; said so (no null), arrays are sorted as plain numbers and not as objects.
+    rank = lambda h: F.shiftleft(F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(2**HASH_BITS - 1)))
     ranked = F.sort_array(F.array_distinct(F.transform(F.transform(_words(F.col("said")), lambda w: F.xxhash64(w)), rank)))
     rows = _split_lines(docs).select(*ROW, "line", ranked.alias("ranked"))
     n = F.size("ranked")
@@ -209,8 +210,8 @@ class LineDedup:
         weight = F.shiftleft(F.floor(F.log2("copies")).cast("long"), 20).bitwiseOR(2**20 - 1 - F.col("order"))
         # The last words of a prefix are the least rare there: variants of a line have most of them in common, and other lines seldom two of them.
         last = F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - STAR_WORDS + 1), F.lit(STAR_WORDS))
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("prefix"), F.lit(STAR_WORDS)) - 1))
-        few = classes.withColumn("last", last).withColumn("pairs", F.transform(places, lambda k: F.xxhash64(F.slice("last", k, 2))))
+        n_pairs = F.greatest(F.lit(1), F.least(F.size("prefix"), F.lit(STAR_WORDS)) - 1)
+        few = classes.withColumn("last", last).withColumn("pairs", F.slice(F.array(*(F.xxhash64(F.slice("last", k, 2)) for k in range(1, STAR_WORDS))), F.lit(1), n_pairs))
         crowds = staged(few.select(F.explode("pairs").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD), "line-crowds")
         posts = self._postings(few.select("cid", "sketch", "upper", "n", "order", F.col("pairs").alias("prefix"), weight.alias("weight"), F.lit(False).alias("led")), "weight")
         posts = staged(maybe_in(posts, F.col("word"), crowds.select("word")).join(crowds.select("word"), "word"), "line-crowded")
@@ -233,22 +234,24 @@ class LineDedup:
 
         One join by word and mark: a smaller class that stays so far meets all, one
         that is removed meets only those that stay, so no two removed ones are compared.
+        Both sides are made of the same postings, dealt by word once.
         """
         p, q = self.p, self.q
         marked = classes.join(removed.withColumn("led", F.lit(True)), "cid", "left").withColumn("led", F.coalesce("led", F.lit(False)))
-        # Of a smaller line the places that count are fewer.
-        as_smaller = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(2 * p) / F.lit(p + q)).cast("int") + 1)
-        small, large = self._postings(marked.withColumn("prefix", as_smaller)), self._postings(marked)
+        posts = self._postings(marked).repartition("word")
         x, y = Posting("x"), Posting("y")
+        # Of a smaller line the places that count are fewer (the place of a large line is capped, so all of its count).
+        counts = (x.at < x.n - F.ceil(x.n * F.lit(2 * p) / F.lit(p + q)) + 1) | (x.n == LARGE)
         staying, gone = F.array(F.lit(False)), F.array(F.lit(True))
         met = staying if removed.isEmpty() else F.when(x.led, staying).otherwise(F.concat(staying, gone))
-        smaller = Posting.named(small, "x").select("*", F.explode(met).alias("mark"))
-        larger = Posting.named(large, "y").withColumn("mark", y.led)
+        # An outer explode: a filter would move below the dealing, and the postings would be dealt twice. A null mark meets none.
+        smaller = Posting.named(posts, "x").select("*", F.explode_outer(F.when(counts, met)).alias("mark"))
+        larger = Posting.named(posts, "y").withColumn("mark", y.led)
         fits = (x.n <= y.n) & (x.cid != y.cid) & _near(x, y, p, q, True)
         # The later of two may not be removed.
         open_yet = F.when(x.led, x.order <= y.order).otherwise((y.order <= x.order) | ~y.led)
         pairs = smaller.join(larger, ["word", "mark"]).where(fits & open_yet)
-        return staged(pairs.select(F.least(x.cid, y.cid).alias("a"), F.greatest(x.cid, y.cid).alias("b")).distinct(), "line-pairs")
+        return staged(pairs.select(F.least(x.cid, y.cid).alias("a"), F.greatest(x.cid, y.cid).alias("b")).distinct(), "line-pairs", {ALL_JOIN_KEYS: "false"})
 
     def _verified(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Of pairs (a, b), the classes (cid) whose words are similar to an earlier one's."""

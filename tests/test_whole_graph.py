@@ -13,6 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem".split()
 #: Queries that once left out products after the 50th of a basket or the 100th of a category.
 WHOLE = [
     "i3_substitution_edges",
+    "f2_prune_topk",
 ]
 #: Those of them whose SQL is slow in the other engine: their graph and brands are those of the others.
 SLOW = ["j5_product_embeddings", "j17_item_features", "k13_masked_samples", "m8_context_checks", "m9_quality_summary"]

@@ -14,6 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem".split()
 WHOLE = [
     "i3_substitution_edges",
     "f2_prune_topk",
+    "a3_embedding_stage",
 ]
 #: Those of them whose SQL is slow in the other engine: their graph and brands are those of the others.
 SLOW = ["j5_product_embeddings", "j17_item_features", "k13_masked_samples", "m8_context_checks", "m9_quality_summary"]

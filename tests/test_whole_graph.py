@@ -32,6 +32,7 @@ WHOLE = [
     "j17_item_features",
     "k13_masked_samples",
     "m8_context_checks",
+    "m9_quality_summary",
 ]
 #: Those of them whose SQL is slow in the other engine: their graph and brands are those of the others.
 SLOW = ["j5_product_embeddings", "j17_item_features", "k13_masked_samples", "m8_context_checks", "m9_quality_summary"]
